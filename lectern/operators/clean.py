@@ -7,7 +7,7 @@ always means lowest ``doc_id``. A copy is a row equal in label *and* stripped te
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import n_tokens, strip
+from lectern.functions.text import has_tokens, n_tokens, strip
 from lectern.plans.shared import join_ids, saved
 
 MIN_TOKENS = 6
@@ -35,7 +35,10 @@ def is_short(min_tokens: int = MIN_TOKENS) -> Column:
 
 
 def drop_short(df: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    return with_n_tokens(df).where(~is_short(min_tokens))
+    """Tests for the ``min_tokens``-th token, so a dropped-or-kept decision is cheap and
+    whole texts are counted once, for the rows that stay."""
+    long_enough = has_tokens("text", min_tokens) | ~has_tokens("text", 1)
+    return with_n_tokens(df.where(long_enough))
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:

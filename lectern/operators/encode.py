@@ -1,13 +1,15 @@
 """Vocabulary, word pieces and fixed-length encoding."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.arrays import frame_ids, mask, pad_right
 from lectern.functions.text import words
-from lectern.plans.shared import saved, small_side
+from lectern.plans.shared import BROADCAST_ROWS, saved, small_side
 
 MAX_LEN = 128
 # Longer words are unknown to the published tokenizer, and its prefix
@@ -88,119 +90,187 @@ def special_ids(vocab: DataFrame) -> Specials:
     return Specials(*[found[t] for t in SPECIAL_TOKENS])
 
 
-def split_pieces(df: DataFrame, keys: list[str], vocab: DataFrame, unk: int) -> DataFrame:
-    """Add ``ids``: the pieces of ``word``, one row per ``keys`` (which determine it).
+def _spans(df: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The vocabulary's matches in each ``word``: ``at, size, id`` and the length ``n``.
 
-    Greedy longest match from the left; a word with an unmatched rest becomes one
-    unknown piece. A listed word joins as a whole. For the others every substring is
-    joined with the vocabulary, and the fold walks the matches from position 0, always
-    taking the longest that starts where the last one ended. A null word has no pieces.
+    A listed word matches as a whole. In any other, every substring up to the longest
+    token is looked up. The full word always stays as a row, without an id if unlisted.
     """
+    longest = vocab.agg(F.max(F.length("token"))).first()[0]
     vocab = small_side(vocab)
-    n = F.length("word")
-    spellable = F.col("whole").isNull() & n.between(1, MAX_WORD_CHARS)
     whole_words = vocab.select(F.col("token").alias("word"), F.col("id").alias("whole"))
-    pieces = vocab.select(F.col("token").alias("piece"), F.col("id").alias("piece_id"))
-    first, last = F.lit(0), n - 1
-    spans = (
+    pieces = vocab.select(F.col("token").alias("piece"), "id")
+    spell = F.col("whole").isNull() & F.col("n").between(1, MAX_WORD_CHARS)
+    rest = F.col("n") - F.col("at")
+    starts = F.when(spell, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(0)))
+    sizes = F.when(
+        spell,
+        # The whole word is looked up from position 0 even if no token is that long.
+        F.when(
+            (F.col("at") == 0) & (F.col("n") > longest),
+            F.concat(F.sequence(F.lit(1), F.lit(longest)), F.array(F.col("n"))),
+        ).otherwise(F.sequence(F.lit(1), F.least(rest, F.lit(longest)))),
+    ).otherwise(F.array(F.col("n")))
+    piece = F.when(F.col("at") == 0, F.expr("substring(word, 1, size)")).otherwise(
+        F.concat(F.lit(CONTINUATION), F.expr("substring(word, at + 1, size)"))
+    )
+    full = F.col("size").isNull() | (F.col("size") == F.col("n"))
+    return (
         df.join(whole_words, "word", "left")
-        .withColumn("n", n)
-        .withColumn("spell", spellable)
-        .withColumn(
-            "at",
-            F.explode_outer(
-                F.when(F.col("spell"), F.sequence(first, last)).otherwise(F.array(first))
-            ),
-        )
-        .withColumn(
-            "size",
-            F.explode_outer(
-                F.when(F.col("spell"), F.sequence(F.lit(1), F.col("n") - F.col("at")))
-                .otherwise(F.array(F.col("n")))
-            ),
-        )
-        .withColumn(
-            "piece",
-            F.when(F.col("at") == 0, F.expr("substring(word, 1, size)")).otherwise(
-                F.concat(F.lit(CONTINUATION), F.expr("substring(word, at + 1, size)"))
-            ),
-        )
+        .withColumn("n", F.length("word"))
+        .withColumn("at", F.explode_outer(starts))
+        .withColumn("size", F.explode_outer(sizes))
+        .withColumn("piece", piece)
         .join(pieces, "piece", "left")
-        # Unmatched spans go, except the full one, which stands for the word itself.
-        .where(F.col("piece_id").isNotNull() | F.col("size").isNull() | (F.col("size") == F.col("n")))
+        .where(F.col("id").isNotNull() | full)
     )
-    matches = F.sort_array(
-        F.collect_list(
-            F.struct(F.col("at"), (-F.col("size")).alias("rank"), F.col("piece_id").alias("id"))
-        )
+
+
+def _walk(spans: str, unk: int) -> Column:
+    """Fold sorted spans ``(at_word, at, -size, id, n)`` into the pieces of all words.
+
+    Within a word only a match that starts where the last one ended is taken; the sort
+    puts the longest first. A word not walked to its end gives one unknown piece.
+    """
+    no_ids = F.array().cast("array<int>")
+    nowhere = F.struct(
+        F.lit(-1).alias("word"),
+        F.lit(0).alias("at"),
+        F.lit(0).alias("n"),
+        no_ids.alias("ids"),
+        no_ids.alias("done"),
     )
 
-    def step(walk, match):
-        fits = (match["at"] == walk["at"]) & match["id"].isNotNull()
+    def closed(walk):
+        ids = F.when(walk["at"] == walk["n"], walk["ids"]).otherwise(F.array(F.lit(unk)))
+        return F.concat(walk["done"], ids)
+
+    def take(span, at, ids, done):
+        fits = (span["at"] == at) & span["id"].isNotNull()
+        return F.struct(
+            span["at_word"].alias("word"),
+            F.when(fits, span["at"] - span["rank"]).otherwise(at).alias("at"),
+            span["n"].alias("n"),
+            F.when(fits, F.concat(ids, F.array(span["id"]))).otherwise(ids).alias("ids"),
+            done.alias("done"),
+        )
+
+    def step(walk, span):
         return F.when(
-            fits,
-            F.struct(
-                (match["at"] - match["rank"]).alias("at"),
-                F.concat(walk["ids"], F.array(match["id"])).alias("ids"),
-            ),
-        ).otherwise(walk)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids"))
-    walked = F.aggregate("matches", start, step)
+            span["at_word"] == walk["word"], take(span, walk["at"], walk["ids"], walk["done"])
+        ).otherwise(take(span, F.lit(0), no_ids, closed(walk)))
+
+    return F.aggregate(spans, nowhere, step, closed)
+
+
+def split_pieces(
+    df: DataFrame, key: str, vocab: DataFrame, unk: int, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``key, *carry, ids``: the pieces of each key's words, in ``at_word`` order.
+
+    Greedy longest match from the left. ``df`` has one row per word (``key, at_word,
+    word``), or one with a null word for a key without any. ``carry`` columns depend on
+    ``key``. The words of one key must be few: their matches meet in one row.
+    """
+    span = F.when(
+        F.col("n").isNotNull(),
+        F.struct("at_word", "at", (-F.col("size")).alias("rank"), "id", "n"),
+    )
     return (
-        spans.groupBy(*keys, "word", "n")
-        .agg(matches.alias("matches"))
-        .withColumn("walk", walked)
-        .withColumn(
-            "ids",
-            F.when(F.col("n").isNull(), F.array().cast("array<int>"))
-            .when(F.col("walk.at") == F.col("n"), F.col("walk.ids"))
-            .otherwise(F.array(F.lit(unk))),
+        _spans(df, vocab)
+        .groupBy(key)
+        .agg(
+            *[F.first(c).alias(c) for c in carry],
+            F.sort_array(F.collect_list(span)).alias("spans"),
         )
-        .drop("n", "matches", "walk")
+        .select(key, *carry, _walk("spans", unk).alias("ids"))
     )
 
 
+def _spell_lists(vocab: DataFrame, unk: int, limit: int):
+    """Arrow batch function: word lists to piece ids, cut after ``limit`` ids.
+
+    The vocabulary travels as a broadcast variable; the caller has checked its size.
+    The functions are nested so that they are shipped whole: executors need no copy of
+    this package.
+    """
+    ids = {row.token: row.id for row in vocab.collect()}
+    shared = vocab.sparkSession.sparkContext.broadcast(ids)
+    longest, max_chars, mark = max(map(len, ids)), MAX_WORD_CHARS, CONTINUATION
+
+    def spell(word, listed):
+        """Greedy longest-match pieces of one word."""
+        if len(word) > max_chars:
+            return [unk]
+        found, at, prefix = [], 0, ""
+        while at < len(word):
+            ends = range(min(len(word), at + longest), at, -1)
+            end = next((e for e in ends if prefix + word[at:e] in listed), None)
+            if end is None:
+                return [unk]
+            found.append(listed[prefix + word[at:end]])
+            at, prefix = end, mark
+        return found
+
+    def spell_row(row, listed, spelled):
+        pieces = []
+        for word in row:
+            if word not in spelled:
+                spelled[word] = spell(word, listed)
+            pieces.extend(spelled[word])
+            if len(pieces) >= limit:
+                break
+        return pieces[:limit]
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            spelled = {}  # distinct words of this batch
+            yield pd.Series([spell_row(row, shared.value, spelled) for row in batch])
+
+    return run
+
+
 def encode(
     df: DataFrame,
     vocab: DataFrame,
     max_len: int = MAX_LEN,
     specials: Specials = Specials(),
     keep: tuple[str, ...] = (),
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``doc_id, *keep, n_words, truncated, token_ids, attention_mask`` for every row.
 
-    A word yields at least one piece, so the words after the first ``max_len - 2``
-    cannot reach the encoding and are cut before the words become rows. The cut rows
-    move once, by ``doc_id``; the vocabulary joins and both groupings stay in place.
+    A word yields at least one piece, so words after the first ``max_len - 2`` cannot
+    reach the encoding and are cut before they are looked up.
+
+    A vocabulary of at most ``broadcast_rows`` rows is sent to the tasks, which spell
+    their rows in Arrow batches: no row moves. The join below that limit would look up
+    every substring of every unlisted word, some ten times the work. A larger vocabulary
+    takes that join; the cut rows then move once, by ``doc_id``.
     """
     limit = max_len - 2
-    key = ["doc_id", *keep, "n_words"]
-    lead = (
-        df.select("doc_id", *keep, words("text").alias("words"))
-        .select(
-            "doc_id",
-            *keep,
-            F.size("words").alias("n_words"),
-            F.slice("words", 1, limit).alias("words"),
-        )
-        .repartition("doc_id")
+    carry = (*keep, "n_words")
+    lead = df.select("doc_id", *keep, words("text").alias("words")).select(
+        "doc_id",
+        *keep,
+        F.size("words").alias("n_words"),
+        F.slice("words", 1, limit).alias("words"),
     )
-    occurrences = lead.select(*key, F.posexplode_outer("words").alias("at_word", "word"))
-    by_word = split_pieces(occurrences, [*key, "at_word"], vocab, specials.unk)
-    in_order = F.sort_array(F.collect_list(F.struct("at_word", "ids")))
-    ids = F.flatten(F.transform(in_order, lambda w: w["ids"]))
+    if vocab.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        to_ids = _spell_lists(vocab, specials.unk, limit + 1)
+        with_ids = lead.withColumn("ids", to_ids("words"))
+    else:
+        at_words = F.posexplode_outer("words").alias("at_word", "word")
+        occurrences = lead.repartition("doc_id").select("doc_id", *carry, at_words)
+        with_ids = split_pieces(occurrences, "doc_id", vocab, specials.unk, carry)
     framed = frame_ids(F.col("ids"), max_len, specials.cls, specials.sep)
-    return (
-        by_word.groupBy(*key)
-        .agg(ids.alias("ids"))
-        .withColumn("framed", framed)
-        .select(
-            *key,
-            ((F.col("n_words") > limit) | (F.size("ids") > limit)).alias("truncated"),
-            pad_right(F.col("framed"), max_len, specials.pad).alias("token_ids"),
-            mask(F.size("framed"), max_len).alias("attention_mask"),
-        )
+    return with_ids.withColumn("framed", framed).select(
+        "doc_id",
+        *carry,
+        ((F.col("n_words") > limit) | (F.size("ids") > limit)).alias("truncated"),
+        pad_right(F.col("framed"), max_len, specials.pad).alias("token_ids"),
+        mask(F.size("framed"), max_len).alias("attention_mask"),
     )
 
 

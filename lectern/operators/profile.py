@@ -4,9 +4,10 @@ Counts and lengths come from text digests and token counts, so no text is shuffl
 Operators that show text fetch it for the rows shown only.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import has_tokens
 from lectern.operators.clean import (
     MIN_TOKENS,
     copy_groups,
@@ -110,14 +111,19 @@ def shortest_row(df: DataFrame) -> DataFrame:
     return _extreme(df, F.min_by, F.struct(F.col("n_tokens"), F.col("doc_id")))
 
 
+def _between(low: int, high: int) -> Column:
+    """``low`` to ``high`` tokens, decided without counting whole texts."""
+    return has_tokens("text", low) & ~has_tokens("text", high + 1)
+
+
 def rows_by_length(df: DataFrame, low: int = 0, high: int = 7, first: int | None = None) -> DataFrame:
     """De-duplicated rows of ``low`` to ``high`` tokens; optionally the first n per length.
 
     Copies have equal length, so only the rows in range are compared. The per-length
     limit is applied in each map task before any shuffle.
     """
-    in_range = with_n_tokens(drop_empty(df)).where(F.col("n_tokens").between(low, high))
-    rows = drop_duplicates(in_range).select("n_tokens", "doc_id", "label", "text")
+    in_range = drop_empty(df).where(_between(low, high))
+    rows = with_n_tokens(drop_duplicates(in_range)).select("n_tokens", "doc_id", "label", "text")
     if first is not None:
         order = Window.partitionBy("n_tokens").orderBy("doc_id")
         rows = (
@@ -130,8 +136,7 @@ def rows_by_length(df: DataFrame, low: int = 0, high: int = 7, first: int | None
 
 def count_by_length(df: DataFrame, low: int = 0, high: int = 7) -> DataFrame:
     return (
-        distinct_texts(df)
-        .where(F.col("n_tokens").between(low, high))
+        distinct_texts(drop_empty(df).where(_between(low, high)))
         .groupBy("n_tokens")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )

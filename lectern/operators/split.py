@@ -1,80 +1,77 @@
 """Exact stratified splits and an approximate one."""
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.hashing import seeded_hash, unit_hash
+from lectern.operators.labels import MAX_CLASSES
+from lectern.plans.shared import saved
 
 # Leading hex digits of the seeded hash that form a bucket: 65,536 buckets a label.
 _BUCKET_DIGITS = 4
 _CUT_SCHEMA = "label INT, cut_hash STRING, cut_id BIGINT"
 
 
-def allocate(counts: DataFrame, fraction: float) -> DataFrame:
-    """Rows to keep per label after setting ``fraction`` aside, by largest remainder.
+def allocate(sizes: dict[int, int], fraction: float) -> dict[int, int]:
+    """Rows to keep per class after setting ``fraction`` aside, by largest remainder.
 
-    ``counts`` is ``label, n`` with one row per class, so the windows are tiny. The
-    set-aside part has ``ceil(fraction * N)`` rows; each class keeps its whole share
-    and the largest remainders (lower label first) one more.
+    The set-aside part has ``ceil(fraction * N)`` rows; each class keeps its whole share
+    of the others and the largest remainders (lower label first) one more.
     """
-    everything = Window.partitionBy()
-    total = F.sum("n").over(everything)
-    kept = total - F.ceil(F.lit(fraction) * total)
-    return (
-        counts.withColumn("_kept", kept)
-        .withColumn("_share", F.col("n").cast("double") * F.col("_kept") / total)
-        .withColumn("_whole", F.floor("_share"))
-        .withColumn("_spare", F.col("_kept") - F.sum("_whole").over(everything))
-        .withColumn(
-            "_turn",
-            F.row_number().over(
-                Window.orderBy((F.col("_share") - F.col("_whole")).desc(), "label")
-            ),
-        )
-        .select(
-            "label",
-            "n",
-            (F.col("_whole") + (F.col("_turn") <= F.col("_spare")).cast("int")).alias("quota"),
-        )
-    )
+    if min(sizes.values(), default=0) < 2:
+        raise ValueError("every class needs at least 2 rows to be split")
+    total = sum(sizes.values())
+    kept = total - math.ceil(fraction * total)
+    shares = {label: float(n) * kept / total for label, n in sizes.items()}
+    quotas = {label: math.floor(share) for label, share in shares.items()}
+    by_remainder = sorted(shares, key=lambda label: (quotas[label] - shares[label], label))
+    for label in by_remainder[: kept - sum(quotas.values())]:
+        quotas[label] += 1
+    return quotas
 
 
 def _cut_points(keys: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Per label the greatest (hash, id) that is still kept: one row per class.
+    """Per class the greatest (hash, id) that is still kept: a literal table, a row a class.
 
-    Keeping the k lowest hashes of a class needs the k-th lowest, not a rank for
-    every row: bucket counts find the bucket holding it, and only the rows of that
-    one bucket are ordered.
+    Keeping the k lowest hashes of a class needs the k-th lowest, not a rank for every
+    row: bucket counts find the bucket holding it, and only the rows of that one bucket
+    are ordered. Class sizes and cuts are all that reaches the driver.
     """
+    spark = keys.sparkSession
     keys = keys.withColumn("hash", seeded_hash("doc_id", seed)).withColumn(
         "bucket", F.substring("hash", 1, _BUCKET_DIGITS)
     )
-    counts = keys.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n_bucket"))
-    quotas = allocate(counts.groupBy("label").agg(F.sum("n_bucket").alias("n")), fraction)
+    counts = saved(
+        keys.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n_bucket")), "bucket-counts"
+    )
+    sizes = counts.groupBy("label").agg(F.sum("n_bucket").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    quotas = allocate({row.label: row.n for row in sizes}, fraction)
     running = Window.partitionBy("label").orderBy("bucket")
+    upto, quota = F.col("upto"), F.col("quota")
     edge = (
         counts.withColumn("upto", F.sum("n_bucket").over(running))
-        .join(F.broadcast(quotas), "label")
-        .where(F.col("quota").between(F.col("upto") - F.col("n_bucket") + 1, F.col("upto")))
-        .select("label", "bucket", (F.col("quota") - F.col("upto") + F.col("n_bucket")).alias("nth"))
+        .join(
+            F.broadcast(spark.createDataFrame(list(quotas.items()), "label INT, quota BIGINT")),
+            "label",
+        )
+        .where((quota <= upto) & (quota > upto - F.col("n_bucket")))
+        .select("label", "bucket", (quota - upto + F.col("n_bucket")).alias("nth"))
     )
     in_bucket = Window.partitionBy("label").orderBy("hash", "doc_id")
     cuts = (
         keys.join(F.broadcast(edge), ["label", "bucket"])
         .withColumn("rank", F.row_number().over(in_bucket))
         .where(F.col("rank") == F.col("nth"))
-        .select("label", F.col("hash").alias("cut_hash"), F.col("doc_id").alias("cut_id"))
-    )
-    # One row per class reaches the driver: the sizes are checked there, and the cuts
-    # become a literal table, so the rows themselves are assigned without a shuffle.
-    found = quotas.join(F.broadcast(cuts), "label", "left").collect()
-    if any(row.n < 2 for row in found):
-        raise ValueError("every class needs at least 2 rows to be split")
-    return keys.sparkSession.createDataFrame(
-        [(row.label, row.cut_hash or "", row.cut_id or 0) for row in found], _CUT_SCHEMA
+        .collect()
     )
+    # A class that keeps nothing has no cut: every hash lies beyond the empty string.
+    found = dict.fromkeys(quotas, ("", 0)) | {r.label: (r.hash, r.doc_id) for r in cuts}
+    return spark.createDataFrame([(label, *cut) for label, cut in found.items()], _CUT_SCHEMA)
 
 
 def _beyond(df: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:

@@ -6,9 +6,14 @@ query needs, directly or through others, are written out.
 
 import re
 
-from lectern.functions.text import CONTROL_PATTERN, WHITESPACE, WHITESPACE_CLASS, WORD_PATTERN
+from lectern.functions.text import (
+    IDEOGRAPH_CLASS, PUNCTUATION_CLASS, WHITESPACE, WHITESPACE_CLASS,
+)
 from lectern.operators.encode import MAX_LEN, MAX_WORD_CHARS, SPECIAL_TOKENS
 
+CONTROL = r"[^\P{C}\t\n\r]|\x{fffd}"
+ALONE = f"{PUNCTUATION_CLASS}{IDEOGRAPH_CLASS}"
+WORD = f"[{ALONE}]|[^{ALONE}{WHITESPACE_CLASS}]+"
 LIMIT = MAX_LEN - 2
 SIZE = 32
 EPS = "CAST(1e-7 AS DOUBLE)"
@@ -24,8 +29,8 @@ def _n_tokens(text: str) -> str:
 
 
 def _words(text: str) -> str:
-    bare = f"strip_accents(lower(regexp_replace(coalesce({text}, ''), '{CONTROL_PATTERN}', '', 'g')))"
-    return f"regexp_extract_all({bare}, '{WORD_PATTERN}')"
+    bare = f"strip_accents(lower(regexp_replace(coalesce({text}, ''), '{CONTROL}', '', 'g')))"
+    return f"regexp_extract_all({bare}, '{WORD}')"
 
 
 def _cut(name: str, source: str, seed: int) -> dict[str, str]:

@@ -43,12 +43,12 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 @query
 def first_rows(spark, sf_dir):
-    return profile.first_rows(stages.corpus(spark, sf_dir), 5)
+    return profile.first_rows(stages.labelled(spark, sf_dir), 5)
 
 
 @query
 def point_lookup(spark, sf_dir):
-    return profile.row_at(stages.corpus(spark, sf_dir), 42)
+    return profile.row_at(stages.labelled(spark, sf_dir), 42)
 
 
 @query
@@ -65,12 +65,12 @@ def label_index(spark, sf_dir):
 
 @query
 def label_counts(spark, sf_dir):
-    return profile.label_counts(stages.corpus(spark, sf_dir))
+    return profile.label_counts(stages.labelled(spark, sf_dir))
 
 
 @query
 def label_names(spark, sf_dir):
-    return profile.label_names(stages.corpus(spark, sf_dir))
+    return profile.label_names(stages.labelled(spark, sf_dir))
 
 
 @query
@@ -136,7 +136,7 @@ def drop_short(spark, sf_dir):
 def drop_by_ids(spark, sf_dir):
     """Documents without a label row, by an id list that is itself a table."""
     ids = stages.table(spark, sf_dir, "labels").select("doc_id")
-    return join_ids(stages.corpus(spark, sf_dir), ids, "left_anti").select("doc_id", "label")
+    return join_ids(stages.labelled(spark, sf_dir), ids, "left_anti").select("doc_id", "label")
 
 
 @query
@@ -226,7 +226,7 @@ def split_sizes(spark, sf_dir):
 
 @query
 def approx_split(spark, sf_dir):
-    return split.approximate_split(stages.corpus(spark, sf_dir).select("doc_id", "label"))
+    return split.approximate_split(stages.labelled(spark, sf_dir).select("doc_id", "label"))
 
 
 @query
@@ -247,7 +247,7 @@ def row_weights(spark, sf_dir):
 @query
 def words(spark, sf_dir):
     """Normalised words of every document, in order."""
-    docs = stages.table(spark, sf_dir, "documents")
+    docs = stages.corpus(spark, sf_dir)
     return docs.select("doc_id", text.words("text").alias("words")).select(
         "doc_id", F.size("words").alias("n_words"), _joined("words")
     )
@@ -265,11 +265,11 @@ def word_pieces(spark, sf_dir):
         stages.cleaned(spark, sf_dir)
         .select(F.explode(text.words("text")).alias("word"))
         .distinct()
-        .withColumn("key", F.col("word"))
+        .withColumns({"key": F.col("word"), "at_word": F.lit(0)})
     )
     vocab = stages.vocab(spark, sf_dir)
-    pieces = encode.split_pieces(distinct, ["key"], vocab, encode.Specials().unk)
-    return pieces.select("word", _joined("ids"))
+    pieces = encode.split_pieces(distinct, "key", vocab, encode.Specials().unk)
+    return pieces.select(F.col("key").alias("word"), _joined("ids"))
 
 
 @query

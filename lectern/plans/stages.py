@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import bayes, clean, encode, evaluate, labels, profile, rank, split
-from lectern.plans.shared import scratch_path
+from lectern.plans.shared import scratch_path, spread
 from lectern.sources.tables import write_table
 
 BATCH_SIZE = 32
@@ -30,6 +30,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, task: str = "lang") -> DataFrame:
+    """The rows of a task, laid out for steps that read every text."""
+    return spread(labelled(spark, sf_dir, task))
+
+
+def labelled(spark: SparkSession, sf_dir: str, task: str = "lang") -> DataFrame:
     """``doc_id, label, text`` of a task: the language, or the quality flag."""
     docs = table(spark, sf_dir, "documents")
     if task == "quality":
