@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import words
 from lectern.operators.encode import MAX_LEN, MAX_WORD_CHARS
 from lectern.operators.labels import MAX_CLASSES
-from lectern.plans.shared import saved, small_side
+from lectern.plans.shared import most_frequent, saved, small_side
 
 LOGIT_DIGITS = 6
 
@@ -95,14 +95,9 @@ def token_scores(
     per_class = [
         F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"m{c}") for c in classes
     ]
-    listed = saved(
-        model.tokens.groupBy("token")
-        .agg(F.sum("n").alias("n"), *per_class)
-        .where(F.col("n") >= min_count)
-        .orderBy(F.desc("n"), "token")
-        .limit(max_words),
-        "token-counts",
-    )
+    counts = model.tokens.groupBy("token").agg(F.sum("n").alias("n"), *per_class)
+    counts = saved(counts.where(F.col("n") >= min_count), "token-counts")
+    listed = most_frequent(counts, max_words, "listed-tokens")
     totals = listed.agg(
         F.count(F.lit(1)).alias("v"),
         *[F.coalesce(F.sum(f"m{c}"), F.lit(0)).alias(f"m{c}") for c in classes],

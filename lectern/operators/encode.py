@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.arrays import frame_ids, mask, pad_right
 from lectern.functions.text import words
-from lectern.plans.shared import BROADCAST_ROWS, saved, small_side
+from lectern.plans.shared import BROADCAST_ROWS, most_frequent, saved, small_side
 
 MAX_LEN = 128
 # Longer words are unknown to the published tokenizer, and its prefix
@@ -33,11 +33,11 @@ SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 
 
 def word_counts(df: DataFrame) -> DataFrame:
-    """``word, n`` over whole texts; words too long to be looked up are left out."""
+    """``token, n`` over whole texts; words too long to be looked up are left out."""
     return (
-        df.select(F.explode(words("text")).alias("word"))
-        .where(F.length("word") <= MAX_WORD_CHARS)
-        .groupBy("word")
+        df.select(F.explode(words("text")).alias("token"))
+        .where(F.length("token") <= MAX_WORD_CHARS)
+        .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -52,24 +52,18 @@ def build_vocab(
     Ids follow the markers by falling count, then token. Give it the training rows.
     """
     counts = saved(word_counts(df), "word-counts")
-
-    def most_frequent(table: DataFrame, n: int) -> DataFrame:
-        return table.orderBy(F.desc("n"), "token").limit(n)
-
-    frequent = most_frequent(
-        counts.where((F.col("n") >= min_count) & (F.length("word") > 1)).withColumnRenamed(
-            "word", "token"
-        ),
-        max_words,
+    longer = counts.where((F.col("n") >= min_count) & (F.length("token") > 1))
+    frequent = most_frequent(longer, max_words, "frequent-words")
+    at = F.explode(F.sequence(F.lit(1), F.length("token")))
+    letter = F.when(F.col("at") == 1, F.expr("substring(token, 1, 1)")).otherwise(
+        F.concat(F.lit(CONTINUATION), F.expr("substring(token, at, 1)"))
     )
-    at = F.explode(F.sequence(F.lit(1), F.length("word")))
-    letters = counts.select("word", "n", at.alias("at")).select(
-        "n",
-        F.when(F.col("at") == 1, F.expr("substring(word, 1, 1)"))
-        .otherwise(F.concat(F.lit(CONTINUATION), F.expr("substring(word, at, 1)")))
-        .alias("token"),
+    letters = counts.select("token", "n", at.alias("at")).select("n", letter.alias("token"))
+    # At most twice the Unicode characters.
+    alphabet = (
+        letters.groupBy("token").agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "token").limit(max_alphabet)
     )
-    alphabet = most_frequent(letters.groupBy("token").agg(F.sum("n").alias("n")), max_alphabet)
     markers = df.sparkSession.createDataFrame(
         list(zip(SPECIAL_TOKENS, range(len(SPECIAL_TOKENS)))), "token STRING, id INT"
     )

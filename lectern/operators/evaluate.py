@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.arrays import argmax
 from lectern.functions.scoring import hit, precision_recall_f1
+from lectern.plans.shared import join_ids, saved
 
 METRIC_DIGITS = 2
 
@@ -95,9 +96,8 @@ def results_table(batched: DataFrame, labels: list[int], size: int) -> DataFrame
 def global_metrics(predictions: DataFrame, labels: list[int]) -> DataFrame:
     """Unbatched, unrounded values per label; labels never seen score 0."""
     tallies = predictions.select(F.inline(F.array(*_row_tallies())))
-    every = predictions.sparkSession.createDataFrame([(c,) for c in labels], "label INT")
-    sums = every.join(F.broadcast(_sum_tallies(tallies)), "label", "left").na.fill(0)
-    return sums.select(
+    zeros = predictions.sparkSession.createDataFrame([(c, 0, 0, 0) for c in labels], tallies.schema)
+    return _sum_tallies(tallies.unionByName(zeros)).select(
         "label", "tp", "predicted", "actual",
         *[v.alias(k) for k, v in precision_recall_f1().items()],
     )
@@ -110,7 +110,13 @@ def with_predictions(corpus: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
-def errors(predicted: DataFrame, first: int | None = None) -> DataFrame:
-    """Rows whose label and prediction differ; optionally the first n in id order."""
-    wrong = predicted.where(F.col("label") != F.col("prediction"))
-    return wrong if first is None else wrong.orderBy("doc_id").limit(first)
+def errors(corpus: DataFrame, predictions: DataFrame, first: int | None = None) -> DataFrame:
+    """Rows whose label and prediction differ; optionally the first n in id order.
+
+    The wrong ids are found among the narrow predictions; texts are fetched for them alone.
+    """
+    wrong = predictions.where(F.col("label") != F.col("prediction")).select("doc_id", "prediction")
+    if first is not None:
+        wrong = wrong.orderBy("doc_id").limit(first)
+    found = join_ids(corpus, saved(wrong, "errors"), "inner")
+    return found.select("doc_id", "label", "prediction", "text")

@@ -19,6 +19,13 @@ def class_values(df: DataFrame, column: str) -> list:
     return sorted(values)
 
 
+def class_side(df: DataFrame) -> DataFrame:
+    """Mark a one-row-per-class table for broadcast, after checking that it is one."""
+    if df.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return F.broadcast(df)
+
+
 def class_index(column: str, values: list) -> Column:
     """0-based position of the class in ``values``; null if it is not one of them."""
     position = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)) - 1

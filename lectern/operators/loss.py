@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.labels import class_side
+
 
 def with_nll(logits: DataFrame) -> DataFrame:
     """Add ``nll``, the negative log likelihood of the row's own label.
@@ -23,7 +25,7 @@ def weighted_loss(batched: DataFrame, weights: DataFrame) -> DataFrame:
 
     ``weights`` has one row per class.
     """
-    weighted = with_nll(batched).join(F.broadcast(weights.select("label", "weight")), "label")
+    weighted = with_nll(batched).join(class_side(weights.select("label", "weight")), "label")
     return weighted.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         (F.sum(F.col("weight") * F.col("nll")) / F.sum("weight")).alias("loss"),

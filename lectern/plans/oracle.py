@@ -354,6 +354,9 @@ def oracle_sql() -> dict[str, str]:
         "results_table": _MEANS + " ORDER BY label",
         "mean_accuracy": """
             SELECT round(accuracy, 6) AS accuracy, n_batches FROM accuracies WHERE split = 'test'""",
+        "predicted_texts": """
+            SELECT s.doc_id, s.label, s.prediction, p.text FROM scored s JOIN parts p USING (doc_id)
+            WHERE s.split = 'test'""",
         "first_error_rows": """
             SELECT s.doc_id, s.label, s.prediction, p.text FROM scored s JOIN parts p USING (doc_id)
             WHERE s.split = 'test' AND s.label <> s.prediction ORDER BY s.doc_id LIMIT 5""",

@@ -238,7 +238,7 @@ def class_weights(spark, sf_dir):
 def row_weights(spark, sf_dir):
     weights = stages.class_weights(spark, sf_dir).select("label", "weight")
     rows = stages.part(spark, sf_dir).select("doc_id", "label")
-    return _rounded(rows.join(F.broadcast(weights), "label"), "weight", digits=9)
+    return _rounded(rows.join(labels.class_side(weights), "label"), "weight", digits=9)
 
 
 # --- vocabulary and encoding ----------------------------------------------------
@@ -434,18 +434,25 @@ def global_metrics(spark, sf_dir):
     return _rounded(metrics, "precision", "recall", "f1")
 
 
+@query
+def predicted_texts(spark, sf_dir):
+    """Every test row with its prediction."""
+    predicted = evaluate.predict(stages.test_logits(spark, sf_dir))
+    return evaluate.with_predictions(stages.part(spark, sf_dir, name="test"), predicted)
+
+
 @query
 def error_rows(spark, sf_dir):
     predicted = evaluate.predict(stages.test_logits(spark, sf_dir, TASK_B))
     test = stages.part(spark, sf_dir, TASK_B, "test")
-    return evaluate.errors(evaluate.with_predictions(test, predicted))
+    return evaluate.errors(test, predicted)
 
 
 @query
 def first_error_rows(spark, sf_dir):
     predicted = evaluate.predict(stages.test_logits(spark, sf_dir))
     test = stages.part(spark, sf_dir, name="test")
-    return evaluate.errors(evaluate.with_predictions(test, predicted), first=5)
+    return evaluate.errors(test, predicted, first=5)
 
 
 @query

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A side of at most this many narrow rows is broadcast (an id is 8 bytes, a
@@ -62,7 +62,7 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
-    """Semi- or anti-join wide rows with a saved table of unique ids.
+    """Join wide rows with a saved narrow table of unique ids.
 
     Few ids: broadcast, and the wide rows do not move. More: the wide rows shuffle
     once by their unique key and probe hash tables. Too many for that: sort-merge.
@@ -75,3 +75,23 @@ def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
         if n_ids <= HASH_ROWS_PER_PARTITION * partitions:
             ids = ids.hint("shuffle_hash")
     return df.join(ids, key, how)
+
+
+def most_frequent(counts: DataFrame, size: int, name: str) -> DataFrame:
+    """The ``size`` rows of a saved ``token, n, ...`` table with the greatest ``n``.
+
+    Ties go to the lower token. How many tokens have each count tells the least count
+    that can be listed, so the final sort sees little more than ``size`` rows instead of
+    that many from every task.
+    """
+    # Distinct counts sum to at most the number of words: a short table.
+    frequencies = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    falling = Window.orderBy(F.desc("n"))
+    least = (
+        frequencies.withColumn("upto", F.sum("m").over(falling))
+        .where(F.col("upto") >= size)
+        .agg(F.max("n"))
+        .first()[0]
+    )
+    listed = counts if least is None else counts.where(F.col("n") >= least)
+    return saved(listed.orderBy(F.desc("n"), "token").limit(size), name)
