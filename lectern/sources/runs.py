@@ -15,7 +15,7 @@ def record_params(spark: SparkSession, path: str, run_id: str, params: dict) ->
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PARAM_SCHEMA).parquet(path)
+    return spark.read.schema(PARAM_SCHEMA).parquet(path).select("run_id", "name", "value")
 
 
 def record_metrics(values: DataFrame, path: str, run_id: str, epoch: int, subset: str) -> None:
@@ -40,4 +40,5 @@ def record_metrics(values: DataFrame, path: str, run_id: str, epoch: int, subset
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRIC_SCHEMA).parquet(path)
+    table = spark.read.schema(METRIC_SCHEMA).parquet(path)
+    return table.select("run_id", "epoch", "subset", "name", "value")
