@@ -187,7 +187,9 @@ def _ctes(classes: int) -> dict[str, str]:
                    - [{_class_array('z{c}', classes)}][label + 1] AS nll
             FROM logits""",
         "batched": f"""
-            SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS position,
+            SELECT *, row_number() OVER (PARTITION BY split ORDER BY
+                   CASE WHEN split = 'train' THEN md5('7:0:' || doc_id) ELSE '' END, doc_id)
+                   - 1 AS position,
                    position // {SIZE} AS batch_id
             FROM scored""",
         "batch_loss": """
@@ -345,6 +347,8 @@ def oracle_sql() -> dict[str, str]:
         "row_loss": "SELECT doc_id, label, round(nll, 6) AS nll FROM scored WHERE split = 'test'",
         "weighted_loss_by_batch": """
             SELECT batch_id, n_rows, round(loss, 6) AS loss FROM batch_loss WHERE split = 'test'""",
+        "train_loss_by_batch": """
+            SELECT batch_id, n_rows, round(loss, 6) AS loss FROM batch_loss WHERE split = 'train'""",
         "epoch_loss": """
             SELECT round(loss, 6) AS loss, n_batches FROM epochs WHERE split = 'test'""",
         "progress_loss": """
@@ -373,9 +377,9 @@ def oracle_sql() -> dict[str, str]:
         "model_round_trip": _LOGITS.format("z0, z1, z2, z3", "valid"),
         "run_metrics": """
             SELECT 'run' AS run_id, 0 AS epoch, split AS subset, 'loss' AS name,
-                   round(loss, 6) AS value FROM epochs WHERE split <> 'train'
+                   round(loss, 6) AS value FROM epochs WHERE split <> 'test'
             UNION ALL SELECT 'run', 0, split, 'accuracy', round(accuracy, 6)
-            FROM accuracies WHERE split <> 'train'""",
+            FROM accuracies WHERE split <> 'test'""",
         "run_params": f"""
             SELECT 'run' AS run_id, 'num_epochs' AS name, '3' AS value
             UNION ALL SELECT 'run', 'num_classes', CAST(count(*) AS VARCHAR) FROM weights

@@ -16,7 +16,6 @@ from lectern.sources import runs, tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 TASK_B = "quality"
-SEED = 7
 EPOCHS = 3
 _QUERIES: dict[str, Query] = {}
 
@@ -207,7 +206,7 @@ def batch_totals(spark, sf_dir):
 @query
 def epoch_shuffle(spark, sf_dir):
     rows = stages.part(spark, sf_dir, name="train").select("doc_id", "label")
-    return rank.batches(rows, stages.BATCH_SIZE, seed=SEED, epoch=1)
+    return rank.batches(rows, stages.BATCH_SIZE, seed=stages.TRAIN_SEED, epoch=1)
 
 
 @query
@@ -376,6 +375,12 @@ def weighted_loss_by_batch(spark, sf_dir):
     return _rounded(_batch_losses(spark, sf_dir), "loss")
 
 
+@query
+def train_loss_by_batch(spark, sf_dir):
+    """Training batches in the shuffled order of an epoch."""
+    return _rounded(_batch_losses(spark, sf_dir, "train"), "loss")
+
+
 @query
 def epoch_loss(spark, sf_dir):
     return _rounded(loss.epoch_loss(_batch_losses(spark, sf_dir)), "loss")
@@ -510,9 +515,9 @@ def model_round_trip(spark, sf_dir):
 
 @query
 def run_metrics(spark, sf_dir):
-    """Loss and accuracy of two subsets, appended to and read from the run record."""
+    """Loss and accuracy of the epoch's two subsets, appended to and read from the run record."""
     path = scratch_path(spark, "run-metrics")
-    for subset in ("valid", "test"):
+    for subset in ("train", "valid"):
         batched = getattr(stages, f"{subset}_batches")(spark, sf_dir)
         scalars = loss.epoch_loss(_batch_losses(spark, sf_dir, subset)).select("loss")
         runs.record_metrics(scalars, path, "run", 0, subset)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from lectern.operators import bayes, clean, encode, evaluate, labels, profile, rank, split
 from lectern.plans.shared import scratch_path, spread
+from lectern.plans.workflow import BATCH_SIZE, TRAIN_SEED
 from lectern.sources.tables import write_table
 
-BATCH_SIZE = 32
 SPLIT = "split"
 
 _written: dict[tuple, str] = {}
@@ -132,6 +132,14 @@ def test_batches(spark, sf_dir, task):
     return rank.batches(predicted, BATCH_SIZE)
 
 
+@stage
+def train_batches(spark, sf_dir, task):
+    """Training rows in the shuffled order of the first epoch."""
+    logits = bayes.score(part(spark, sf_dir, task), model(spark, sf_dir, task))
+    predicted = logits.withColumn("prediction", evaluate.argmax("logits"))
+    return rank.batches(predicted, BATCH_SIZE, TRAIN_SEED, epoch=0)
+
+
 @stage
 def valid_batches(spark, sf_dir, task):
     logits = valid_logits(spark, sf_dir, task)
