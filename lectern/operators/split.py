@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions.hashing import seeded_hash, unit_hash
 from lectern.operators.labels import MAX_CLASSES
-from lectern.plans.shared import saved
 
 # Leading hex digits of the seeded hash that form a bucket: 65,536 buckets a label.
 _BUCKET_DIGITS = 4
@@ -41,16 +40,14 @@ def _cut_points(keys: DataFrame, fraction: float, seed: int) -> DataFrame:
     are ordered. Class sizes and cuts are all that reaches the driver.
     """
     spark = keys.sparkSession
-    keys = keys.withColumn("hash", seeded_hash("doc_id", seed)).withColumn(
-        "bucket", F.substring("hash", 1, _BUCKET_DIGITS)
-    )
-    counts = saved(
-        keys.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n_bucket")), "bucket-counts"
-    )
-    sizes = counts.groupBy("label").agg(F.sum("n_bucket").alias("n")).limit(MAX_CLASSES + 1).collect()
+    sizes = keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
     if len(sizes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     quotas = allocate({row.label: row.n for row in sizes}, fraction)
+    keys = keys.withColumn("hash", seeded_hash("doc_id", seed)).withColumn(
+        "bucket", F.substring("hash", 1, _BUCKET_DIGITS)
+    )
+    counts = keys.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n_bucket"))
     running = Window.partitionBy("label").orderBy("bucket")
     upto, quota = F.col("upto"), F.col("quota")
     edge = (

@@ -121,9 +121,10 @@ def _ctes(classes: int) -> dict[str, str]:
             SELECT doc_id, unnest(lead) AS word, generate_subscripts(lead, 1) AS at_word
             FROM lead""",
         "lexicon": "SELECT DISTINCT word FROM occurrence",
+        "unlisted": "SELECT word FROM lexicon WHERE word NOT IN (SELECT token FROM vocab)",
         "starts": f"""
             SELECT word, unnest(range(0, length(word))) AS pos
-            FROM lexicon WHERE length(word) <= {MAX_WORD_CHARS}""",
+            FROM unlisted WHERE length(word) <= {MAX_WORD_CHARS}""",
         "spans": "SELECT word, pos, unnest(range(1, length(word) - pos + 1)) AS size FROM starts",
         "longest": """
             SELECT word, pos, max(size) AS size, arg_max(id, size) AS id
@@ -131,13 +132,14 @@ def _ctes(classes: int) -> dict[str, str]:
                  CASE WHEN pos = 0 THEN '' ELSE '##' END || substring(word, pos + 1, size)
             GROUP BY word, pos""",
         "walk": """
-            SELECT word, CAST(0 AS BIGINT) AS pos, CAST([] AS INTEGER[]) AS ids FROM lexicon
+            SELECT word, CAST(0 AS BIGINT) AS pos, CAST([] AS INTEGER[]) AS ids FROM unlisted
             UNION ALL
             SELECT w.word, w.pos + g.size, list_append(w.ids, g.id)
             FROM walk w JOIN longest g ON w.word = g.word AND w.pos = g.pos""",
         "pieces": """
-            SELECT l.word, coalesce(w.ids, [1]) AS ids
-            FROM lexicon l LEFT JOIN walk w ON l.word = w.word AND w.pos = length(l.word)""",
+            SELECT l.word, CASE WHEN v.id IS NULL THEN coalesce(w.ids, [1]) ELSE [v.id] END AS ids
+            FROM lexicon l LEFT JOIN vocab v ON v.token = l.word
+            LEFT JOIN walk w ON l.word = w.word AND w.pos = length(l.word)""",
         "doc_pieces": """
             SELECT doc_id, flatten(list(ids ORDER BY at_word)) AS ids
             FROM occurrence JOIN pieces USING (word) GROUP BY doc_id""",
