@@ -83,58 +83,52 @@ def class_priors(model: CountModel) -> dict[int, float]:
     return {c: math.log(m / whole) for c, m in mass.items()}
 
 
-def token_scores(
+@dataclass(frozen=True)
+class Scores:
+    """A model ready to score: ln prior per class, and saved ``token, s<class> ...``."""
+
+    priors: dict[int, float]
+    tokens: DataFrame
+
+
+def scores_of(
     model: CountModel, min_count: int = 2, max_words: int = 30_000, alpha: float = 1.0
-) -> DataFrame:
-    """Saved table ``token, s0 .. sC-1``: smoothed log probability per class.
+) -> Scores:
+    """Smoothed log probabilities per listed token and class.
 
-    The vocabulary is the ``max_words`` most frequent tokens seen ``min_count`` times,
-    so the table has a known bound. Every token has a score for every class.
+    Listed are the ``max_words`` most frequent tokens seen ``min_count`` times, so the
+    table has a known bound. Every listed token has a score for every class.
     """
-    classes = list(class_priors(model))
+    priors = class_priors(model)
     per_class = [
-        F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"m{c}") for c in classes
+        F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"m{c}") for c in priors
     ]
     counts = model.tokens.groupBy("token").agg(F.sum("n").alias("n"), *per_class)
     counts = saved(counts.where(F.col("n") >= min_count), "token-counts")
     listed = most_frequent(counts, max_words, "listed-tokens")
     totals = listed.agg(
         F.count(F.lit(1)).alias("v"),
-        *[F.coalesce(F.sum(f"m{c}"), F.lit(0)).alias(f"m{c}") for c in classes],
+        *[F.coalesce(F.sum(f"m{c}"), F.lit(0)).alias(f"m{c}") for c in priors],
     ).first()
-    return listed.select(
-        "token",
-        *[
-            F.log((F.col(f"m{c}") + alpha) / (totals[f"m{c}"] + alpha * totals["v"])).alias(f"s{c}")
-            for c in classes
-        ],
-    )
+    probabilities = [
+        F.log((F.col(f"m{c}") + alpha) / (totals[f"m{c}"] + alpha * totals["v"])).alias(f"s{c}")
+        for c in priors
+    ]
+    return Scores(priors, listed.select("token", *probabilities))
 
 
-def score(
-    df: DataFrame,
-    model: CountModel,
-    keep: tuple[str, ...] = ("label",),
-    min_count: int = 2,
-    max_words: int = 30_000,
-) -> DataFrame:
+def score(df: DataFrame, scores: Scores, keep: tuple[str, ...] = ("label",)) -> DataFrame:
     """``doc_id, *keep, logits`` with one score per class, for every row.
 
     The scores are broadcast to the words; each row's sums are finished in the map
     task that holds the row. A row without a listed word keeps its priors.
     """
-    priors = class_priors(model)
-    scores = small_side(token_scores(model, min_count, max_words))
-    sums = [
-        (F.lit(prior) + F.coalesce(F.sum(f"s{c}"), F.lit(0.0))).alias(f"z{c}")
-        for c, prior in priors.items()
+    logits = [
+        F.lit(prior) + F.coalesce(F.sum(f"s{c}"), F.lit(0.0)) for c, prior in scores.priors.items()
     ]
     return (
         df.select("doc_id", *keep, F.explode_outer(_leading_words()).alias("token"))
-        .join(scores, "token", "left")
+        .join(small_side(scores.tokens), "token", "left")
         .groupBy("doc_id", *keep)
-        .agg(*sums)
-        .select(
-            "doc_id", *keep, F.array(*[F.round(f"z{c}", LOGIT_DIGITS) for c in priors]).alias("logits")
-        )
+        .agg(F.array(*[F.round(z, LOGIT_DIGITS) for z in logits]).alias("logits"))
     )

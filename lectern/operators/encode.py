@@ -1,5 +1,6 @@
 """Vocabulary, word pieces and fixed-length encoding."""
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -225,6 +226,32 @@ def _spell_lists(vocab: DataFrame, unk: int, limit: int):
     return run
 
 
+def with_pieces(
+    df: DataFrame,
+    key: str,
+    vocab: DataFrame,
+    unk: int,
+    carry: tuple[str, ...] = (),
+    limit: int = sys.maxsize,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``key, *carry, ids``: the pieces of each row's ``words``.
+
+    A vocabulary of at most ``broadcast_rows`` rows is sent to the tasks, which spell
+    their rows in Arrow batches: no row moves, and ids after the first ``limit`` are
+    dropped. The join below that bound would look up every substring of every unlisted
+    word, some ten times the work. A larger vocabulary takes that join; the words then
+    move once, by ``key``.
+    """
+    if vocab.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        to_ids = _spell_lists(vocab, unk, limit)
+        return df.select(key, *carry, to_ids("words").alias("ids"))
+    at_words = F.posexplode_outer("words").alias("at_word", "word")
+    # The key may itself be called "word".
+    renamed = df.withColumnRenamed(key, "_key").repartition("_key").select("_key", *carry, at_words)
+    return split_pieces(renamed, "_key", vocab, unk, carry).withColumnRenamed("_key", key)
+
+
 def encode(
     df: DataFrame,
     vocab: DataFrame,
@@ -236,12 +263,7 @@ def encode(
     """``doc_id, *keep, n_words, truncated, token_ids, attention_mask`` for every row.
 
     A word yields at least one piece, so words after the first ``max_len - 2`` cannot
-    reach the encoding and are cut before they are looked up.
-
-    A vocabulary of at most ``broadcast_rows`` rows is sent to the tasks, which spell
-    their rows in Arrow batches: no row moves. The join below that limit would look up
-    every substring of every unlisted word, some ten times the work. A larger vocabulary
-    takes that join; the cut rows then move once, by ``doc_id``.
+    reach the encoding and are cut before they are looked up (see ``with_pieces``).
     """
     limit = max_len - 2
     carry = (*keep, "n_words")
@@ -251,13 +273,8 @@ def encode(
         F.size("words").alias("n_words"),
         F.slice("words", 1, limit).alias("words"),
     )
-    if vocab.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        to_ids = _spell_lists(vocab, specials.unk, limit + 1)
-        with_ids = lead.withColumn("ids", to_ids("words"))
-    else:
-        at_words = F.posexplode_outer("words").alias("at_word", "word")
-        occurrences = lead.repartition("doc_id").select("doc_id", *carry, at_words)
-        with_ids = split_pieces(occurrences, "doc_id", vocab, specials.unk, carry)
+    # One id more than fits tells a truncated row.
+    with_ids = with_pieces(lead, "doc_id", vocab, specials.unk, carry, limit + 1, broadcast_rows)
     framed = frame_ids(F.col("ids"), max_len, specials.cls, specials.sep)
     return with_ids.withColumn("framed", framed).select(
         "doc_id",

@@ -409,4 +409,5 @@ def oracle_sql() -> dict[str, str]:
     out["word_pieces"] = _assemble("SELECT word, array_to_string(ids, ' ') AS ids FROM pieces").replace(
         _ctes(4)["lexicon"], whole
     )
+    out["word_pieces_by_join"] = out["word_pieces"]
     return out

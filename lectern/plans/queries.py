@@ -257,18 +257,23 @@ def vocabulary(spark, sf_dir):
     return encode.build_vocab(stages.part(spark, sf_dir))
 
 
+def _word_pieces(spark, sf_dir, **how):
+    """Pieces of every distinct word of the cleaned corpus."""
+    every = stages.cleaned(spark, sf_dir).select(F.explode(text.words("text")).alias("word"))
+    one_each = every.distinct().withColumn("words", F.array("word"))
+    vocab, unk = stages.vocab(spark, sf_dir), encode.Specials().unk
+    return encode.with_pieces(one_each, "word", vocab, unk, **how).select("word", _joined("ids"))
+
+
 @query
 def word_pieces(spark, sf_dir):
-    """Pieces of every distinct word of the cleaned corpus."""
-    distinct = (
-        stages.cleaned(spark, sf_dir)
-        .select(F.explode(text.words("text")).alias("word"))
-        .distinct()
-        .withColumns({"key": F.col("word"), "at_word": F.lit(0)})
-    )
-    vocab = stages.vocab(spark, sf_dir)
-    pieces = encode.split_pieces(distinct, "key", vocab, encode.Specials().unk)
-    return pieces.select(F.col("key").alias("word"), _joined("ids"))
+    return _word_pieces(spark, sf_dir)
+
+
+@query
+def word_pieces_by_join(spark, sf_dir):
+    """The same by the way that large vocabularies take."""
+    return _word_pieces(spark, sf_dir, broadcast_rows=0)
 
 
 @query
@@ -340,13 +345,13 @@ def nb_resume(spark, sf_dir):
 @query
 def nb_logits(spark, sf_dir):
     test = stages.part(spark, sf_dir, name="test")
-    return _logit_columns(bayes.score(test, stages.model(spark, sf_dir)), 4)
+    return _logit_columns(bayes.score(test, bayes.scores_of(stages.model(spark, sf_dir))), 4)
 
 
 @query
 def quality_logits(spark, sf_dir):
     test = stages.part(spark, sf_dir, TASK_B, "test")
-    return _logit_columns(bayes.score(test, stages.model(spark, sf_dir, TASK_B)), 2)
+    return _logit_columns(bayes.score(test, bayes.scores_of(stages.model(spark, sf_dir, TASK_B))), 2)
 
 
 @query
@@ -509,7 +514,7 @@ def model_round_trip(spark, sf_dir):
     """Save a model, load it, and score the validation part."""
     path = scratch_path(spark, "model")
     stages.model(spark, sf_dir).write(path)
-    loaded = bayes.CountModel.read(spark, path)
+    loaded = bayes.scores_of(bayes.CountModel.read(spark, path))
     return _logit_columns(bayes.score(stages.part(spark, sf_dir, name="valid"), loaded), 4)
 
 

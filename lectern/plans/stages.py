@@ -114,14 +114,24 @@ def class_list(spark, sf_dir, task="lang") -> list[int]:
     return labels.class_values(class_weights(spark, sf_dir, task), "label")
 
 
+_scores: dict[tuple, bayes.Scores] = {}
+
+
+def scores(spark, sf_dir, task="lang") -> bayes.Scores:
+    key = (spark.sparkContext.applicationId, sf_dir, task)
+    if key not in _scores:
+        _scores[key] = bayes.scores_of(model(spark, sf_dir, task))
+    return _scores[key]
+
+
 @stage
 def test_logits(spark, sf_dir, task):
-    return bayes.score(part(spark, sf_dir, task, "test"), model(spark, sf_dir, task))
+    return bayes.score(part(spark, sf_dir, task, "test"), scores(spark, sf_dir, task))
 
 
 @stage
 def valid_logits(spark, sf_dir, task):
-    return bayes.score(part(spark, sf_dir, task, "valid"), model(spark, sf_dir, task))
+    return bayes.score(part(spark, sf_dir, task, "valid"), scores(spark, sf_dir, task))
 
 
 @stage
@@ -135,7 +145,7 @@ def test_batches(spark, sf_dir, task):
 @stage
 def train_batches(spark, sf_dir, task):
     """Training rows in the shuffled order of the first epoch."""
-    logits = bayes.score(part(spark, sf_dir, task), model(spark, sf_dir, task))
+    logits = bayes.score(part(spark, sf_dir, task), scores(spark, sf_dir, task))
     predicted = logits.withColumn("prediction", evaluate.argmax("logits"))
     return rank.batches(predicted, BATCH_SIZE, TRAIN_SEED, epoch=0)
 

@@ -50,8 +50,8 @@ def _subset_scalars(batched: DataFrame, weights: DataFrame) -> DataFrame:
     return losses.join(F.broadcast(accuracy), "n_batches").select("loss", "accuracy")
 
 
-def _scored(rows: DataFrame, model: bayes.CountModel) -> DataFrame:
-    scored = bayes.score(rows, model)
+def _scored(rows: DataFrame, scores: bayes.Scores) -> DataFrame:
+    scored = bayes.score(rows, scores)
     return scored.withColumn("prediction", evaluate.argmax("logits"))
 
 
@@ -87,9 +87,10 @@ def train(
             },
         )
     valid = read_split(spark, f"{folder}/corpus", "valid")
+    scores = bayes.scores_of(model)
     for subset, batched in (
-        ("train", rank.batches(_scored(rows, model), batch_size, seed, epoch)),
-        ("valid", rank.batches(_scored(valid, model), batch_size)),
+        ("train", rank.batches(_scored(rows, scores), batch_size, seed, epoch)),
+        ("valid", rank.batches(_scored(valid, scores), batch_size)),
     ):
         scalars = saved(_subset_scalars(batched, weights), "scalars")
         runs.record_metrics(scalars, f"{folder}/run_metrics", run_id, epoch, subset)
@@ -106,7 +107,7 @@ def test(
     """``results`` per label, mean ``accuracy``, ``predictions`` and ``errors`` of the test part."""
     rows = read_split(spark, f"{folder}/corpus", "test").select("doc_id", "label", "text")
     model = bayes.CountModel.read(spark, _model_path(folder, epoch))
-    batched = saved(rank.batches(_scored(rows, model), batch_size).drop("logits"), "predictions")
+    batched = saved(rank.batches(_scored(rows, bayes.scores_of(model)), batch_size).drop("logits"), "predictions")
     classes = labels.class_values(model.labels, "label")
     return {
         "results": evaluate.results_table(batched, classes, batch_size),

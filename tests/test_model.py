@@ -49,7 +49,7 @@ def logits_of(df):
 def test_scores_by_hand_for_every_row(corpus, pairs):
     train = pairs[:60]
     model = bayes.fit_counts(corpus(train))
-    got = logits_of(bayes.score(corpus(pairs), model))
+    got = logits_of(bayes.score(corpus(pairs), bayes.scores_of(model)))
     assert len(got) == len(pairs)
     np.testing.assert_allclose(got, by_hand(train, pairs), atol=1e-6)
     # A row without a listed word keeps its priors.
@@ -64,21 +64,23 @@ def test_resuming_equals_fitting_the_whole(spark, corpus, pairs, tmp_path):
     resumed = bayes.fit_counts(df.where("doc_id >= 40"), prior=bayes.CountModel.read(spark, path))
     assert sorted(map(tuple, whole.tokens.collect())) == sorted(map(tuple, resumed.tokens.collect()))
     assert sorted(map(tuple, whole.labels.collect())) == sorted(map(tuple, resumed.labels.collect()))
-    assert logits_of(bayes.score(df, whole)) == logits_of(bayes.score(df, resumed))
+    assert logits_of(bayes.score(df, bayes.scores_of(whole))) == logits_of(
+        bayes.score(df, bayes.scores_of(resumed))
+    )
 
 
 @pytest.mark.parametrize("parts", [1, 7])
 def test_layout_does_not_matter(corpus, pairs, parts):
     model = bayes.fit_counts(corpus(pairs))
-    want = logits_of(bayes.score(corpus(pairs), model))
+    want = logits_of(bayes.score(corpus(pairs), bayes.scores_of(model)))
     model = bayes.fit_counts(corpus(pairs, parts))
-    assert logits_of(bayes.score(corpus(pairs, parts), model)) == want
+    assert logits_of(bayes.score(corpus(pairs, parts), bayes.scores_of(model))) == want
 
 
 def test_vocabulary_limit(corpus):
     df = corpus([(0, "a a a b b c"), (1, "a b c c c c")])
-    scores = bayes.token_scores(bayes.fit_counts(df), max_words=2)
-    assert sorted(r.token for r in scores.collect()) == ["a", "c"]
+    scores = bayes.scores_of(bayes.fit_counts(df), max_words=2)
+    assert sorted(r.token for r in scores.tokens.collect()) == ["a", "c"]
 
 
 def test_class_weights(corpus):
@@ -143,6 +145,6 @@ def test_linear_model_learns_and_reloads(corpus, pairs, tmp_path):
 
 
 def test_predict(corpus, pairs):
-    scored = bayes.score(corpus(pairs), bayes.fit_counts(corpus(pairs)))
+    scored = bayes.score(corpus(pairs), bayes.scores_of(bayes.fit_counts(corpus(pairs))))
     got = {r.doc_id: r.prediction for r in evaluate.predict(scored).collect()}
     assert got == {r.doc_id: int(np.argmax(r.logits)) for r in scored.collect()}

@@ -69,12 +69,12 @@ def test_encoding_moves_no_row_with_a_small_vocabulary(spark, table):
 def test_encoding_by_join_moves_rows_once(spark, table, monkeypatch):
     vocab = spark.createDataFrame([("[PAD]", 0), ("1", 9)], "token STRING, id INT")
     text = plan(encode.encode(table, vocab, broadcast_rows=0))
-    assert len(shuffles(text)) == 1 and "hashpartitioning(doc_id" in text
+    assert len(shuffles(text)) == 1 and "hashpartitioning(_key" in text
     assert text.count("BroadcastHashJoin") == 2 and "Python" not in text
 
 
 def test_scoring_broadcasts_the_model_and_shuffles_sums(table):
-    text = plan(bayes.score(table, bayes.fit_counts(table)))
+    text = plan(bayes.score(table, bayes.scores_of(bayes.fit_counts(table))))
     assert "BroadcastHashJoin" in text and len(shuffles(text)) == 1
     below = text[text.index("Exchange hashpartitioning"):]
     assert "partial_sum" in below and "Python" not in text
