@@ -58,15 +58,21 @@ def copy_groups(keys: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def later_copy_ids(df: DataFrame) -> DataFrame:
-    """Saved table of the ids of 2nd and later copies. ``df`` must be stripped.
+def _keys_and_later_copies(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Saved ``doc_id, label, fingerprint`` of stripped rows, and saved ids of later copies.
 
     The text is read once, for the digests. Later copies are the ids no group has
     as its first, found by a join on the unique id: no hot key, whatever the copies.
     """
     keys = saved(with_fingerprint(df.select("doc_id", "label", "text")), "fingerprints")
     firsts = copy_groups(keys).select("doc_id")
-    return saved(keys.select("doc_id").join(firsts, "doc_id", "left_anti"), "later-copies")
+    later = keys.select("doc_id").join(firsts, "doc_id", "left_anti")
+    return keys, saved(later, "later-copies")
+
+
+def later_copy_ids(df: DataFrame) -> DataFrame:
+    """Saved table of the ids of 2nd and later copies. ``df`` must be stripped."""
+    return _keys_and_later_copies(df)[1]
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -81,6 +87,19 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return join_ids(df, later_copy_ids(df), "left_anti")
 
 
+def clean_with_keys(
+    df: DataFrame, min_tokens: int = MIN_TOKENS
+) -> tuple[DataFrame, DataFrame]:
+    """The cleaned rows, and a saved ``doc_id, label`` of the same rows.
+
+    The keys come from the digests, so whoever needs them reads no text.
+    """
+    df = drop_short(drop_empty(df), min_tokens)
+    keys, later = _keys_and_later_copies(df)
+    kept = saved(join_ids(keys.select("doc_id", "label"), later, "left_anti"), "clean-keys")
+    return join_ids(df, later, "left_anti"), kept
+
+
 def clean(df: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The whole cleaning: ``doc_id, label, text, n_tokens``.
 

@@ -86,15 +86,17 @@ def stratified_split(
     df: DataFrame,
     parts: Sequence[tuple[str, float, int]] = (("test", 0.2, 42), ("valid", 0.2, 43)),
     rest: str = "train",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split``: cut each part's fraction off what the earlier parts left.
 
     ``parts`` is (name, fraction, seed). Sizes per class are exact, membership depends
-    on ``doc_id`` and seed alone. Pass a saved table: its two key columns are read a
-    few times, the other columns only by whoever uses the result.
+    on ``doc_id`` and seed alone. The key columns are read a few times: pass a saved
+    table, or a saved ``doc_id, label`` of the same rows as ``keys``. The other columns
+    are read once, by whoever uses the result.
     """
     split: Column = F.lit(rest)
-    left = df.select("doc_id", "label")
+    left = (df if keys is None else keys).select("doc_id", "label")
     marked, flags = df, []
     for index, (name, fraction, seed) in enumerate(parts):
         cuts = _cut_points(left, fraction, seed)

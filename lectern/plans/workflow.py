@@ -28,11 +28,12 @@ def prepare(
     """Clean ``doc_id, label, text``, split it 64/16/20 by class, and encode it.
 
     A supplied ``vocab`` brings its own marker ids; otherwise one is built from the
-    training part. The texts are read three times: digests, cleaning, encoding.
+    training part. The given texts are read twice, for the digests and for writing the
+    cleaned and split corpus; vocabulary and encoding read that.
     """
     spark = corpus.sparkSession
-    cleaned = saved(clean.clean(corpus, min_tokens), "cleaned")
-    write_table(split.stratified_split(cleaned), f"{folder}/corpus", partition_by="split")
+    cleaned, keys = clean.clean_with_keys(corpus, min_tokens)
+    write_table(split.stratified_split(cleaned, keys=keys), f"{folder}/corpus", "split")
     rows = spark.read.parquet(f"{folder}/corpus")
     if vocab is None:
         vocab, specials = encode.build_vocab(rows.where("split = 'train'")), encode.Specials()

@@ -58,6 +58,12 @@ def test_every_join_strategy_keeps_the_same_rows(corpus, pairs, monkeypatch, bro
     assert ids(clean.clean(corpus(pairs))) == sorted(by_pandas(pairs)[3].index)
 
 
+def test_clean_keys_are_those_of_the_cleaned_rows(corpus, pairs):
+    rows, keys = clean.clean_with_keys(corpus(pairs))
+    assert sorted(map(tuple, keys.collect())) == sorted((r.doc_id, r.label) for r in rows.collect())
+    assert ids(rows) == sorted(by_pandas(pairs)[3].index)
+
+
 def test_lengths_6_and_up_are_kept(corpus):
     df = corpus([(0, " ".join("x" * n)) for n in range(9)])
     assert ids(clean.drop_short(clean.drop_empty(df))) == [6, 7, 8]
