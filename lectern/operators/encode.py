@@ -239,9 +239,9 @@ def with_pieces(
 
     A vocabulary of at most ``broadcast_rows`` rows is sent to the tasks, which spell
     their rows in Arrow batches: no row moves, and ids after the first ``limit`` are
-    dropped. The join below that bound would look up every substring of every unlisted
-    word, some ten times the work. A larger vocabulary takes that join; the words then
-    move once, by ``key``.
+    dropped. A larger vocabulary is joined instead, which looks up every substring of
+    every unlisted word (four times the time, as measured); the words move once, by
+    ``key``.
     """
     if vocab.limit(broadcast_rows + 1).count() <= broadcast_rows:
         to_ids = _spell_lists(vocab, unk, limit)

@@ -1,4 +1,5 @@
 import json
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,20 +97,28 @@ def test_run_records_append(spark, tmp_path):
     ]
 
 
-def test_shared_folder_is_the_configured_one(spark):
-    assert shared.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+def session(**settings):
+    """A stand-in that answers only what ``shared_dir`` asks."""
+    context = types.SimpleNamespace(applicationId="app")
+    return types.SimpleNamespace(
+        conf=types.SimpleNamespace(get=lambda key, default=None: settings.get(key, default)),
+        sparkContext=context,
+    )
 
 
-def test_a_cluster_without_a_shared_folder_is_refused():
-    class Conf:
-        def get(self, key, default=None):
-            return "yarn" if key == "spark.master" else default
+def test_shared_folder_is_the_configured_one():
+    cluster = session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///shared/"})
+    assert shared.scratch_path(cluster, "x").startswith("hdfs:///shared/lectern/app/x-")
+
 
-    class Session:
-        conf = Conf()
+def test_a_local_session_keeps_one_temporary_folder():
+    local = session(**{"spark.master": "local[2]"})
+    assert shared.shared_dir(local) == shared.shared_dir(local)
 
+
+def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared.shared_dir(Session())
+        shared.shared_dir(session(**{"spark.master": "yarn"}))
 
 
 def test_row_wise_cleaning_of_a_stream(spark, corpus, tmp_path):
