@@ -4,13 +4,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, decontaminate, langid, token_counts
+from lectern.llm import byte_bpe, decontaminate, langid, pii, token_counts
 from lectern.plans.stages import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs), redact=False)
+    counts = [F.col(f"pii.n_{kind}").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("pii.base", 256).alias("base_sha256"), F.col("pii.spans").alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digests(decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")))
@@ -36,5 +43,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op6_decontaminate, op7_language, op9_token_counts, op10_byte_bpe]
+    found = [op3_pii, op6_decontaminate, op7_language, op9_token_counts, op10_byte_bpe]
     return {query.__name__: query for query in found}
