@@ -4,13 +4,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, decontaminate, langid, pii, token_counts
+from lectern.llm import byte_bpe, decontaminate, forest, langid, pii, superminhash, token_counts
 from lectern.plans.stages import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.detect(docs, pii.fit(docs), redact=False)
@@ -43,5 +51,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op3_pii, op6_decontaminate, op7_language, op9_token_counts, op10_byte_bpe]
+    found = [op1_near_vectors, op2_near_copies, op3_pii, op6_decontaminate, op7_language, op9_token_counts, op10_byte_bpe]
     return {query.__name__: query for query in found}
