@@ -115,70 +115,57 @@ def _joined(parts, columns):
     return out | {"x": unit(flat.reshape(len(out[columns[0]]), -1))}
 
 
-def labels(x: np.ndarray, ids: np.ndarray, cosine: float, seed: int = 0) -> np.ndarray:
-    """The least id that each vector reaches by links found within the group.
-
-    Small groups are compared whole. Larger ones are split on, at random with overlap;
-    a group whose members all lie within half the angle of its middle is linked as it is.
-    """
+def _tight(x: np.ndarray, cosine: float) -> bool:
+    """Whether all members lie within half the angle of their middle, so that all are linked."""
     centre = x.mean(0)
     size = np.linalg.norm(centre)
-    if size > 0:
-        angle = np.arccos(np.clip(x @ (centre / size), -1, 1))
-        if len(x) > 1 and 2 * angle.max() < np.arccos(cosine) - 1e-9:
-            return np.full(len(x), ids.min())
-    if len(x) > 2 * LEAF_ROWS:
-        line = np.random.default_rng([seed, len(x)]).normal(size=x.shape[1])
-        at = x @ (line / np.linalg.norm(line))
-        low, high = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
-        left, right = np.flatnonzero(at <= high), np.flatnonzero(at >= low)
-        if max(len(left), len(right)) < 0.8 * len(x):
-            out = ids.copy()
-            # Both sides may name a row; the two names are tied together by the caller's links.
-            for side in (left, right):
-                out[side] = np.minimum(out[side], labels(x[side], ids[side], cosine, seed + 1))
-            return out
+    return size > 0 and 2 * np.arccos(np.clip(x @ (centre / size), -1, 1)).max() < np.arccos(cosine) - 1e-9
+
+
+def labels(x: np.ndarray, ids: np.ndarray, cosine: float) -> np.ndarray:
+    """The least id that each vector reaches by links within the group, compared whole."""
     out = ids.copy()
     while True:
         new = out.copy()
         for low in range(0, len(x), LEAF_ROWS):
             near = x[low : low + LEAF_ROWS] @ x.T >= cosine
-            new[low : low + LEAF_ROWS] = np.minimum(
-                new[low : low + LEAF_ROWS], np.where(near, out, np.iinfo(np.int64).max).min(1)
-            )
+            least = np.where(near, out, np.iinfo(np.int64).max).min(1)
+            new[low : low + LEAF_ROWS] = np.minimum(new[low : low + LEAF_ROWS], least)
         if (new == out).all():
             return out
         out = new
 
 
-def _links(cosine: float) -> Callable:
-    def run(batches):
-        for _, _, group in _groups(batches, ["vec_id"]):
-            ids, x = group["vec_id"], group["x"]
-            a, b = _split_labels(x, ids, cosine)
-            yield pa.RecordBatch.from_arrays([longs(a), longs(b)], names=["a", "b"])
-
-    return run
-
+def spanning(x: np.ndarray, ids: np.ndarray, cosine: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links ``a, b`` that connect what is linked within a group, few for each row.
 
-def _split_labels(x, ids, cosine, seed=0) -> tuple[np.ndarray, np.ndarray]:
-    """Links ``a, b`` that connect what is linked within a group, a few for each row."""
+    A tight group is linked as it is. A large one is split on, at random with overlap, as
+    long as that parts it; what is small or cannot be parted is compared whole.
+    """
     if len(x) > 2 * LEAF_ROWS:
-        centre = x.mean(0)
-        size = np.linalg.norm(centre)
-        tight = size > 0 and 2 * np.arccos(np.clip(x @ (centre / size), -1, 1)).max() < np.arccos(cosine) - 1e-9
+        if _tight(x, cosine):
+            return ids, np.full(len(ids), ids.min())
         line = np.random.default_rng([seed, len(x)]).normal(size=x.shape[1])
         at = x @ (line / np.linalg.norm(line))
         low, high = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
         left, right = np.flatnonzero(at <= high), np.flatnonzero(at >= low)
-        if not tight and max(len(left), len(right)) < 0.8 * len(x):
-            parts = [_split_labels(x[side], ids[side], cosine, seed + 1) for side in (left, right)]
+        if max(len(left), len(right)) < 0.8 * len(x):
+            parts = [spanning(x[side], ids[side], cosine, seed + 1) for side in (left, right)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     found = labels(x, ids, cosine)
     linked = found != ids
     return ids[linked], found[linked]
 
 
+def _links(cosine: float) -> Callable:
+    def run(batches):
+        for _, _, group in _groups(batches, ["vec_id"]):
+            a, b = spanning(group["x"], group["vec_id"], cosine)
+            yield pa.RecordBatch.from_arrays([longs(a), longs(b)], names=["a", "b"])
+
+    return run
+
+
 def _counts(cosine: float) -> Callable:
     def run(batches):
         for i, j, group in _groups(batches, ["vec_id", "copies", "mine"]):

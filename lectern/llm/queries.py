@@ -50,6 +50,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(coded)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    found = [op1_near_vectors, op2_near_copies, op3_pii, op6_decontaminate, op7_language, op9_token_counts, op10_byte_bpe]
+    found = [op1_near_vectors, op2_near_copies, op3_pii, op6_decontaminate, op7_language, op9_token_counts, op10_byte_bpe, pipeline]
     return {query.__name__: query for query in found}
