@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, decontaminate, forest, langid, pii, superminhash, token_counts
+from lectern.llm import byte_bpe, crf, decontaminate, forest, langid, pii, superminhash, token_counts
 from lectern.plans.stages import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -39,6 +39,15 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = langid.held_out(5, 0)
+    labels = table(spark, sf_dir, "labels").where(~out).select("doc_id", F.col("quality").alias("label"))
+    scored = crf.quality(docs, crf.fit(docs, labels))
+    score = F.col("quality")
+    return scored.select("doc_id", out.alias("held_out"), score.alias("score"), crf.predicted(score, 0.3).alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, WORD_BPE).select("doc_id", "tokens.*")
@@ -57,5 +66,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_vectors, op2_near_copies, op3_pii, op6_decontaminate, op7_language, op9_token_counts, op10_byte_bpe, pipeline]
+    found = [op1_near_vectors, op2_near_copies, op3_pii, op6_decontaminate, op7_language, op8_quality, op9_token_counts, op10_byte_bpe, pipeline]
     return {query.__name__: query for query in found}
