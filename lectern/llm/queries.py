@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, crf, decontaminate, forest, langid, pii, pseudo, superminhash, token_counts
+from lectern.llm import byte_bpe, crf, decontaminate, forest, langid, pii, pseudo, repeats, superminhash, token_counts
 from lectern.plans.stages import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("pii.base", 256).alias("base_sha256"), F.col("pii.spans").alias("spans"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudo.score(docs, pseudo.fit(docs)).select("doc_id", "lm.*")
@@ -71,5 +78,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_vectors, op2_near_copies, op3_pii, op5_pseudo_likelihood, op6_decontaminate, op7_language, op8_quality, op9_token_counts, op10_byte_bpe, pipeline]
+    found = [op1_near_vectors, op2_near_copies, op3_pii, op4_repeats, op5_pseudo_likelihood, op6_decontaminate, op7_language, op8_quality, op9_token_counts, op10_byte_bpe, pipeline]
     return {query.__name__: query for query in found}
