@@ -185,6 +185,8 @@ def later_windows(body: np.ndarray, at: np.ndarray, order: np.ndarray, size: int
     for shift in range(PERIOD):
         # Two equal windows have some shift at which both meet the sample.
         mine = np.flatnonzero(np.isin((residue + shift) % PERIOD, COVER))
+        if not len(mine):
+            continue
         key = mix(ends[mine] + mix(ranks[place[mine] + shift].astype(U) + U(1)))
         by = np.argsort(key, kind="stable")
         sorted_key = key[by]
