@@ -7,13 +7,11 @@ vocabulary threshold and the class weights are applied when scoring.
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import words
-from lectern.operators.encode import MAX_LEN, MAX_WORD_CHARS
-from lectern.operators.labels import MAX_CLASSES
-from lectern.plans.shared import most_frequent, saved, small_side
+from lectern.plans.shared import BROADCAST_BYTES, saved
 
 LOGIT_DIGITS = 6
 
@@ -37,22 +35,14 @@ class CountModel:
         )
 
 
-def _leading_words() -> Column:
-    """The words that reach an encoding of the standard length."""
-    kept = F.filter(
-        F.slice(words("text"), 1, MAX_LEN - 2), lambda w: F.length(w) <= MAX_WORD_CHARS
-    )
-    return kept
-
-
 def fit_counts(df: DataFrame, prior: CountModel | None = None) -> CountModel:
-    """Count tokens and rows per label of the training rows, on top of ``prior``.
+    """Count tokens and rows per label of the training rows' whole texts, on top of ``prior``.
 
     Frequent words are combined in the map tasks; a hot (label, token) reaches its
     reducer as one row per task.
     """
     tokens = (
-        df.select("label", F.explode(_leading_words()).alias("token"))
+        df.select("label", F.explode(words("text")).alias("token"))
         .groupBy("label", "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -72,9 +62,7 @@ def class_priors(model: CountModel) -> dict[int, float]:
 
     One row per class reaches the driver.
     """
-    counts = {r.label: r.n_rows for r in model.labels.limit(MAX_CLASSES + 1).collect()}
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+    counts = {r.label: r.n_rows for r in model.labels.collect()}
     total = sum(counts.values())
     mass = {c: (1 - n / total) * n for c, n in sorted(counts.items())}
     whole = sum(mass.values())
@@ -85,27 +73,29 @@ def class_priors(model: CountModel) -> dict[int, float]:
 
 @dataclass(frozen=True)
 class Scores:
-    """A model ready to score: ln prior per class, and saved ``token, s<class> ...``."""
+    """A model ready to score: ln prior per class, and saved ``token, n, s<class> ...``."""
 
     priors: dict[int, float]
     tokens: DataFrame
 
+    @property
+    def classes(self) -> list[int]:
+        """The labels in the order of the scores."""
+        return list(self.priors)
 
-def scores_of(
-    model: CountModel, min_count: int = 2, max_words: int = 30_000, alpha: float = 1.0
-) -> Scores:
+
+def scores_of(model: CountModel, min_count: int = 2, alpha: float = 1.0) -> Scores:
     """Smoothed log probabilities per listed token and class.
 
-    Listed are the ``max_words`` most frequent tokens seen ``min_count`` times, so the
-    table has a known bound. Every listed token has a score for every class.
+    Listed is every token seen ``min_count`` times. Every listed token has a score for
+    every class.
     """
     priors = class_priors(model)
     per_class = [
         F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"m{c}") for c in priors
     ]
     counts = model.tokens.groupBy("token").agg(F.sum("n").alias("n"), *per_class)
-    counts = saved(counts.where(F.col("n") >= min_count), "token-counts")
-    listed = most_frequent(counts, max_words, "listed-tokens")
+    listed = saved(counts.where(F.col("n") >= min_count), "token-counts")
     totals = listed.agg(
         F.count(F.lit(1)).alias("v"),
         *[F.coalesce(F.sum(f"m{c}"), F.lit(0)).alias(f"m{c}") for c in priors],
@@ -114,21 +104,48 @@ def scores_of(
         F.log((F.col(f"m{c}") + alpha) / (totals[f"m{c}"] + alpha * totals["v"])).alias(f"s{c}")
         for c in priors
     ]
-    return Scores(priors, listed.select("token", *probabilities))
-
-
-def score(df: DataFrame, scores: Scores, keep: tuple[str, ...] = ("label",)) -> DataFrame:
-    """``doc_id, *keep, logits`` with one score per class, for every row.
-
-    The scores are broadcast to the words; each row's sums are finished in the map
-    task that holds the row. A row without a listed word keeps its priors.
+    return Scores(priors, listed.select("token", "n", *probabilities))
+
+
+def _head_and_tail(scores: Scores, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent tokens that ``limit`` bytes hold, and the others if there are any."""
+    width = F.octet_length("token") + 32 + 8 * len(scores.priors)
+    by_count = scores.tokens.groupBy("n").agg(F.sum(width).alias("size"))
+    # Distinct counts sum to at most the number of words: a short table.
+    falling = Window.orderBy(F.desc("n"))
+    beyond = by_count.withColumn("upto", F.sum("size").over(falling)).where(F.col("upto") > limit)
+    first_out = beyond.agg(F.max("n")).first()[0]
+    tokens = scores.tokens
+    if first_out is None:
+        return tokens.drop("n"), None
+    return tokens.where(F.col("n") > first_out).drop("n"), tokens.where(F.col("n") <= first_out).drop("n")
+
+
+def score(
+    df: DataFrame,
+    scores: Scores,
+    keep: tuple[str, ...] = ("label",),
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``doc_id, *keep, logits`` with one score per class, for every row's whole text.
+
+    The scores of the most frequent tokens, as many as ``broadcast_bytes`` hold, are
+    broadcast to the words. Rarer ones, which are no hot keys, are joined by a shuffle of
+    the words that the first join leaves over. A row without a listed word keeps its priors.
     """
-    logits = [
-        F.lit(prior) + F.coalesce(F.sum(f"s{c}"), F.lit(0.0)) for c, prior in scores.priors.items()
-    ]
-    return (
-        df.select("doc_id", *keep, F.explode_outer(_leading_words()).alias("token"))
-        .join(small_side(scores.tokens), "token", "left")
-        .groupBy("doc_id", *keep)
-        .agg(F.array(*[F.round(z, LOGIT_DIGITS) for z in logits]).alias("logits"))
-    )
+    classes = scores.classes
+    sums = [F.sum(f"s{c}").alias(f"s{c}") for c in classes]
+    rows = df.select("doc_id", *keep, F.explode_outer(words("text")).alias("token"))
+    head, tail = _head_and_tail(scores, broadcast_bytes)
+    part = rows.join(F.broadcast(head), "token", "left").groupBy("doc_id", *keep).agg(*sums)
+    if tail is not None:
+        rare = (
+            rows.join(F.broadcast(head.select("token")), "token", "left_anti")
+            .groupBy("doc_id", *keep, "token")
+            .agg(F.count(F.lit(1)).alias("k"))
+            .join(tail, "token")
+            .select("doc_id", *keep, *[(F.col("k") * F.col(f"s{c}")).alias(f"s{c}") for c in classes])
+        )
+        part = part.unionByName(rare).groupBy("doc_id", *keep).agg(*sums)
+    logits = [F.round(F.lit(p) + F.coalesce(F.col(f"s{c}"), F.lit(0.0)), LOGIT_DIGITS) for c, p in scores.priors.items()]
+    return part.select("doc_id", *keep, F.array(*logits).alias("logits"))

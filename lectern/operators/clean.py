@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import has_tokens, n_tokens, strip
-from lectern.plans.shared import join_ids, saved
+from lectern.plans.shared import join_ids, saved, small_side
 
 MIN_TOKENS = 6
 
@@ -61,13 +61,14 @@ def copy_groups(keys: DataFrame, *carry: str) -> DataFrame:
 def _keys_and_later_copies(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Saved ``doc_id, label, fingerprint`` of stripped rows, and saved ids of later copies.
 
-    The text is read once, for the digests. Later copies are the ids no group has
-    as its first, found by a join on the unique id: no hot key, whatever the copies.
+    The text is read once, for the digests. Only groups with more than one row are
+    looked at again; few of them are broadcast, and of more a hot one is a skewed join,
+    which adaptive execution splits.
     """
     keys = saved(with_fingerprint(df.select("doc_id", "label", "text")), "fingerprints")
-    firsts = copy_groups(keys).select("doc_id")
-    later = keys.select("doc_id").join(firsts, "doc_id", "left_anti")
-    return keys, saved(later, "later-copies")
+    groups = copy_groups(keys).where("n_copies > 1").withColumnRenamed("doc_id", "_first").drop("n_copies")
+    copied = keys.join(small_side(saved(groups, "copy-groups")), ["label", "fingerprint"])
+    return keys, saved(copied.where(F.col("doc_id") != F.col("_first")).select("doc_id"), "later-copies")
 
 
 def later_copy_ids(df: DataFrame) -> DataFrame:

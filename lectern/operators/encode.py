@@ -1,15 +1,13 @@
 """Vocabulary, word pieces and fixed-length encoding."""
 
-import sys
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.arrays import frame_ids, mask, pad_right
 from lectern.functions.text import words
+from lectern.operators.rank import row_numbers
 from lectern.plans.shared import BROADCAST_ROWS, most_frequent, saved, small_side
 
 MAX_LEN = 128
@@ -34,45 +32,44 @@ SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 
 
 def word_counts(df: DataFrame) -> DataFrame:
-    """``token, n`` over whole texts; words too long to be looked up are left out."""
+    """``token, n`` of every word of whole texts."""
     return (
         df.select(F.explode(words("text")).alias("token"))
-        .where(F.length("token") <= MAX_WORD_CHARS)
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def build_vocab(
-    df: DataFrame, min_count: int = 2, max_words: int = 30_000, max_alphabet: int = 1_000
+    df: DataFrame, min_count: int = 2, max_words: int | None = None, max_alphabet: int | None = None
 ) -> DataFrame:
-    """Saved table ``token, id`` of at most 4 + ``max_words`` + ``max_alphabet`` rows.
+    """Saved table ``token, id`` of the markers, the words and the alphabet of ``df``.
 
-    The most frequent words of ``df``, plus the most frequent single characters both
-    as word starts and as continuations, so that unlisted words can still be spelled.
-    Ids follow the markers by falling count, then token. Give it the training rows.
+    Words of two or more characters that occur ``min_count`` times, and every single
+    character both as word start and as continuation, so that unlisted words can still be
+    spelled. Only a caller's ``max_words`` or ``max_alphabet`` keeps the most frequent
+    alone. Ids follow the markers by falling count, then token. Give it the training rows.
     """
     counts = saved(word_counts(df), "word-counts")
-    longer = counts.where((F.col("n") >= min_count) & (F.length("token") > 1))
-    frequent = most_frequent(longer, max_words, "frequent-words")
+    listed = counts.where((F.col("n") >= min_count) & (F.length("token") > 1))
+    if max_words is not None:
+        listed = most_frequent(listed, max_words, "frequent-words")
     at = F.explode(F.sequence(F.lit(1), F.length("token")))
     letter = F.when(F.col("at") == 1, F.expr("substring(token, 1, 1)")).otherwise(
         F.concat(F.lit(CONTINUATION), F.expr("substring(token, at, 1)"))
     )
     letters = counts.select("token", "n", at.alias("at")).select("n", letter.alias("token"))
-    # At most twice the Unicode characters.
-    alphabet = (
-        letters.groupBy("token").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token").limit(max_alphabet)
+    alphabet = letters.groupBy("token").agg(F.sum("n").alias("n"))
+    if max_alphabet is not None:
+        alphabet = alphabet.orderBy(F.desc("n"), "token").limit(max_alphabet)
+    # A word that looks like a continued letter is listed once, with the greater count.
+    tokens = listed.select("token", "n").unionByName(alphabet).groupBy("token").agg(F.max("n").alias("n"))
+    numbered = row_numbers(tokens, F.desc("n"), "token", name="id").select(
+        "token", (F.col("id") + len(SPECIAL_TOKENS)).cast("int").alias("id")
     )
     markers = df.sparkSession.createDataFrame(
         list(zip(SPECIAL_TOKENS, range(len(SPECIAL_TOKENS)))), "token STRING, id INT"
     )
-    # Bounded by max_words + max_alphabet rows, so one task may number them.
-    by_count = Window.orderBy(F.desc("n"), "token")
-    numbered = frequent.unionByName(alphabet).select(
-        "token", (F.row_number().over(by_count) + len(SPECIAL_TOKENS) - 1).alias("id")
-    )
     return saved(markers.unionByName(numbered), "vocab")
 
 
@@ -85,14 +82,14 @@ def special_ids(vocab: DataFrame) -> Specials:
     return Specials(*[found[t] for t in SPECIAL_TOKENS])
 
 
-def _spans(df: DataFrame, vocab: DataFrame) -> DataFrame:
+def _spans(df: DataFrame, vocab: DataFrame, broadcast_rows: int) -> DataFrame:
     """The vocabulary's matches in each ``word``: ``at, size, id`` and the length ``n``.
 
     A listed word matches as a whole. In any other, every substring up to the longest
     token is looked up. The full word always stays as a row, without an id if unlisted.
     """
     longest = vocab.agg(F.max(F.length("token"))).first()[0]
-    vocab = small_side(vocab)
+    vocab = small_side(vocab, broadcast_rows)
     whole_words = vocab.select(F.col("token").alias("word"), F.col("id").alias("whole"))
     pieces = vocab.select(F.col("token").alias("piece"), "id")
     spell = F.col("whole").isNull() & F.col("n").between(1, MAX_WORD_CHARS)
@@ -158,98 +155,50 @@ def _walk(spans: str, unk: int) -> Column:
     return F.aggregate(spans, nowhere, step, closed)
 
 
-def split_pieces(
-    df: DataFrame, key: str, vocab: DataFrame, unk: int, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """``key, *carry, ids``: the pieces of each key's words, in ``at_word`` order.
+def spell(lexicon: DataFrame, vocab: DataFrame, unk: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``word, ids``: the pieces of each of the distinct, non-null words.
 
-    Greedy longest match from the left. ``df`` has one row per word (``key, at_word,
-    word``), or one with a null word for a key without any. ``carry`` columns depend on
-    ``key``. The words of one key must be few: their matches meet in one row.
+    Greedy longest match from the left. A word meets its own matches alone in one row.
     """
-    span = F.when(
-        F.col("n").isNotNull(),
-        F.struct("at_word", "at", (-F.col("size")).alias("rank"), "id", "n"),
-    )
+    span = F.struct(F.lit(0).alias("at_word"), "at", (-F.col("size")).alias("rank"), "id", "n")
     return (
-        _spans(df, vocab)
-        .groupBy(key)
-        .agg(
-            *[F.first(c).alias(c) for c in carry],
-            F.sort_array(F.collect_list(span)).alias("spans"),
-        )
-        .select(key, *carry, _walk("spans", unk).alias("ids"))
+        _spans(lexicon.select("word"), vocab, broadcast_rows)
+        .groupBy("word")
+        .agg(F.sort_array(F.collect_list(span)).alias("spans"))
+        .select("word", _walk("spans", unk).alias("ids"))
     )
 
 
-def _spell_lists(vocab: DataFrame, unk: int, limit: int):
-    """Arrow batch function: word lists to piece ids, cut after ``limit`` ids.
-
-    The vocabulary travels as a broadcast variable; the caller has checked its size.
-    The functions are nested so that they are shipped whole: executors need no copy of
-    this package.
-    """
-    ids = {row.token: row.id for row in vocab.collect()}
-    shared = vocab.sparkSession.sparkContext.broadcast(ids)
-    longest, max_chars, mark = max(map(len, ids)), MAX_WORD_CHARS, CONTINUATION
-
-    def spell(word, listed):
-        """Greedy longest-match pieces of one word."""
-        if len(word) > max_chars:
-            return [unk]
-        found, at, prefix = [], 0, ""
-        while at < len(word):
-            ends = range(min(len(word), at + longest), at, -1)
-            end = next((e for e in ends if prefix + word[at:e] in listed), None)
-            if end is None:
-                return [unk]
-            found.append(listed[prefix + word[at:end]])
-            at, prefix = end, mark
-        return found
-
-    def spell_row(row, listed, spelled):
-        pieces = []
-        for word in row:
-            if word not in spelled:
-                spelled[word] = spell(word, listed)
-            pieces.extend(spelled[word])
-            if len(pieces) >= limit:
-                break
-        return pieces[:limit]
-
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            spelled = {}  # distinct words of this batch
-            yield pd.Series([spell_row(row, shared.value, spelled) for row in batch])
-
-    return run
-
-
 def with_pieces(
     df: DataFrame,
     key: str,
     vocab: DataFrame,
     unk: int,
     carry: tuple[str, ...] = (),
-    limit: int = sys.maxsize,
+    limit: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``key, *carry, ids``: the pieces of each row's ``words``.
+    """``key, *carry, ids``: the pieces of each row's ``words``, at most ``limit`` of them.
 
-    A vocabulary of at most ``broadcast_rows`` rows is sent to the tasks, which spell
-    their rows in Arrow batches: no row moves, and ids after the first ``limit`` are
-    dropped. A larger vocabulary is joined instead, which looks up every substring of
-    every unlisted word (four times the time, as measured); the words move once, by
-    ``key``.
+    Each distinct word is spelled once, whatever the size of the vocabulary; a vocabulary
+    or lexicon of at most ``broadcast_rows`` rows is broadcast, a larger one is joined by
+    word, where adaptive execution splits frequent words. A token listed twice counts with
+    its lower id. ``key`` must be unique, ``carry`` columns depend on it.
     """
-    if vocab.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        to_ids = _spell_lists(vocab, unk, limit)
-        return df.select(key, *carry, to_ids("words").alias("ids"))
-    at_words = F.posexplode_outer("words").alias("at_word", "word")
-    # The key may itself be called "word".
-    renamed = df.withColumnRenamed(key, "_key").repartition("_key").select("_key", *carry, at_words)
-    return split_pieces(renamed, "_key", vocab, unk, carry).withColumnRenamed("_key", key)
+    once = vocab.groupBy("token").agg(F.min("id").alias("id"))
+    rows = df.select(F.col(key).alias("_key"), *carry, F.posexplode_outer("words").alias("at_word", "word"))
+    lexicon = saved(rows.select("word").where(F.col("word").isNotNull()).distinct(), "lexicon")
+    pieces = saved(spell(lexicon, saved(once, "vocab-once"), unk, broadcast_rows), "pieces")
+    found = rows.join(small_side(pieces, broadcast_rows), "word", "left")
+    placed = F.when(F.col("word").isNotNull(), F.struct("at_word", "ids"))
+    ids = F.flatten(F.transform(F.sort_array(F.collect_list(placed)), lambda x: x["ids"]))
+    if limit is not None:
+        ids = F.slice(ids, 1, limit)
+    return (
+        found.groupBy("_key")
+        .agg(*[F.first(c).alias(c) for c in carry], ids.alias("ids"))
+        .select(F.col("_key").alias(key), *carry, "ids")
+    )
 
 
 def encode(

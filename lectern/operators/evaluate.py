@@ -15,9 +15,19 @@ from lectern.plans.shared import join_ids, saved
 METRIC_DIGITS = 2
 
 
-def predict(logits: DataFrame) -> DataFrame:
-    """Replace ``logits`` by ``prediction``, the first class of greatest score."""
-    return logits.withColumn("prediction", argmax("logits")).drop("logits")
+def with_prediction(logits: DataFrame, classes: list | None = None) -> DataFrame:
+    """Add ``prediction``, the label of greatest score; the first one wins a tie.
+
+    ``classes`` are the labels in the order of the logits; by default they are 0, 1, ...
+    """
+    place = argmax("logits")
+    label = place if classes is None else F.get(F.array(*[F.lit(c) for c in classes]), place)
+    return logits.withColumn("prediction", label)
+
+
+def predict(logits: DataFrame, classes: list | None = None) -> DataFrame:
+    """Replace ``logits`` by ``prediction``; see ``with_prediction``."""
+    return with_prediction(logits, classes).drop("logits")
 
 
 def _tally(label: Column, tp, predicted, actual) -> Column:

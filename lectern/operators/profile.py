@@ -97,18 +97,25 @@ def length_histogram(df: DataFrame) -> DataFrame:
     )
 
 
-def _extreme(df: DataFrame, pick, order) -> DataFrame:
-    row = F.struct("doc_id", "label", "n_tokens", "text")
-    return with_n_tokens(drop_empty(df)).agg(pick(row, order).alias("row")).select("row.*")
+def _extreme(df: DataFrame, length: Column) -> DataFrame:
+    """The row of least ``length``, then id: the lowest id wins, so no copy can.
+
+    Lengths and ids alone are compared; the text is fetched for that one row.
+    """
+    rows = with_n_tokens(drop_empty(df))
+    best = rows.agg(F.min(F.struct(length.alias("_length"), "doc_id")).alias("row"))
+    # An aggregate without groups is one row.
+    one = F.broadcast(best.select(F.col("row.doc_id").alias("doc_id")))
+    return rows.join(one, "doc_id").select("doc_id", "label", "n_tokens", "text")
 
 
 def longest_row(df: DataFrame) -> DataFrame:
-    """The first row of greatest length. The lowest id wins, so no copy can."""
-    return _extreme(df, F.max_by, F.struct(F.col("n_tokens"), -F.col("doc_id")))
+    """The first row of greatest length."""
+    return _extreme(df, -F.col("n_tokens"))
 
 
 def shortest_row(df: DataFrame) -> DataFrame:
-    return _extreme(df, F.min_by, F.struct(F.col("n_tokens"), F.col("doc_id")))
+    return _extreme(df, F.col("n_tokens"))
 
 
 def _between(low: int, high: int) -> Column:

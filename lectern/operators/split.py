@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.hashing import seeded_hash, unit_hash
-from lectern.operators.labels import MAX_CLASSES
 
 # Leading hex digits of the seeded hash that form a bucket: 65,536 buckets a label.
 _BUCKET_DIGITS = 4
@@ -40,10 +39,10 @@ def _cut_points(keys: DataFrame, fraction: float, seed: int) -> DataFrame:
     are ordered. Class sizes and cuts are all that reaches the driver.
     """
     spark = keys.sparkSession
-    sizes = keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    quotas = allocate({row.label: row.n for row in sizes}, fraction)
+    sizes = {r.label: r.n for r in keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if None in sizes:
+        raise ValueError(f"{sizes[None]} rows have no label and cannot be split by class")
+    quotas = allocate(sizes, fraction)
     keys = keys.withColumn("hash", seeded_hash("doc_id", seed)).withColumn(
         "bucket", F.substring("hash", 1, _BUCKET_DIGITS)
     )

@@ -6,13 +6,22 @@ query needs, directly or through others, are written out.
 
 import re
 
-from lectern.functions.text import (
-    IDEOGRAPH_CLASS, PUNCTUATION_CLASS, WHITESPACE, WHITESPACE_CLASS,
+# Fixed values, stated here again so that the SQL does not lean on the code it checks:
+# Python's white space, the published tokenizer's blocks of ideographs, its length limit,
+# longest word and marker tokens.
+WHITESPACE = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
 )
-from lectern.operators.encode import MAX_LEN, MAX_WORD_CHARS, SPECIAL_TOKENS
+WHITESPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
+IDEOGRAPHS = [
+    (0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F),
+    (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F),
+]
+MAX_LEN, MAX_WORD_CHARS = 128, 100
+SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 
 CONTROL = r"[^\P{C}\t\n\r]|\x{fffd}"
-ALONE = f"{PUNCTUATION_CLASS}{IDEOGRAPH_CLASS}"
+ALONE = r"[:punct:]\p{P}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in IDEOGRAPHS)
 WORD = f"[{ALONE}]|[^{ALONE}{WHITESPACE_CLASS}]+"
 LIMIT = MAX_LEN - 2
 SIZE = 32
@@ -63,15 +72,18 @@ def _class_array(template: str, classes: int, separator: str = ", ") -> str:
     return separator.join(template.format(c=c) for c in range(classes))
 
 
-def _ctes(classes: int) -> dict[str, str]:
+def _ctes(classes: int, flag: str = "quality") -> dict[str, str]:
     return {
         "docs": """
             SELECT doc_id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label, text
             FROM documents"""
         if classes == 4
-        else """
-            SELECT d.doc_id, l.quality AS label, d.text
+        else f"""
+            SELECT d.doc_id, CAST(l.{flag} AS INTEGER) AS label, d.text
             FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+        "segments": """
+            SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS text
+            FROM (SELECT doc_id, string_split(text, '.') AS parts FROM documents)""",
         "stripped": f"""
             SELECT * FROM (SELECT doc_id, label, {_strip('text')} AS text FROM docs)
             WHERE text <> ''""",
@@ -97,22 +109,19 @@ def _ctes(classes: int) -> dict[str, str]:
         # vocabulary
         "word_n": f"""
             SELECT word, count(*) AS n
-            FROM (SELECT unnest(words) AS word FROM worded WHERE split = 'train')
-            WHERE length(word) <= {MAX_WORD_CHARS} GROUP BY word""",
-        "frequent": """
-            SELECT word AS token, n FROM word_n WHERE n >= 2 AND length(word) > 1
-            ORDER BY n DESC, token LIMIT 30000""",
+            FROM (SELECT unnest(words) AS word FROM worded WHERE split = 'train') GROUP BY word""",
+        "frequent": "SELECT word AS token, n FROM word_n WHERE n >= 2 AND length(word) > 1",
         "letters": """
             SELECT CASE WHEN pos = 1 THEN '' ELSE '##' END || substring(word, pos, 1) AS token, n
             FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS pos FROM word_n)""",
         "alphabet": """
-            SELECT token, CAST(sum(n) AS BIGINT) AS n FROM letters GROUP BY token
-            ORDER BY n DESC, token LIMIT 1000""",
+            SELECT token, CAST(sum(n) AS BIGINT) AS n FROM letters GROUP BY token""",
         "vocab": "SELECT * FROM (VALUES "
         + ", ".join(f"('{t}', {i})" for i, t in enumerate(SPECIAL_TOKENS))
         + f""") AS s(token, id) UNION ALL
             SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + {len(SPECIAL_TOKENS) - 1}
-                   AS INTEGER) FROM (SELECT * FROM frequent UNION ALL SELECT * FROM alphabet)""",
+                   AS INTEGER) FROM (SELECT token, max(n) AS n FROM
+                   (SELECT * FROM frequent UNION ALL SELECT * FROM alphabet) GROUP BY token)""",
         # word pieces
         "lead": f"""
             SELECT doc_id, label, split, CAST(len(words) AS INTEGER) AS n_words,
@@ -153,10 +162,7 @@ def _ctes(classes: int) -> dict[str, str]:
                    AS attention_mask
             FROM lead l LEFT JOIN doc_pieces p USING (doc_id)""",
         # model
-        "doc_tokens": f"""
-            SELECT doc_id, label, split, word AS token
-            FROM (SELECT doc_id, label, split, unnest(words[1:{LIMIT}]) AS word FROM worded)
-            WHERE length(word) <= {MAX_WORD_CHARS}""",
+        "doc_tokens": "SELECT doc_id, label, split, unnest(words) AS token FROM worded",
         "model_tokens": """
             SELECT label, token, count(*) AS n FROM doc_tokens
             WHERE split = 'train' GROUP BY label, token""",
@@ -165,8 +171,7 @@ def _ctes(classes: int) -> dict[str, str]:
         "listed": f"""
             SELECT token, sum(n) AS n, {_class_array(
                 'CAST(coalesce(sum(n) FILTER (label = {c}), 0) AS DOUBLE) AS m{c}', classes)}
-            FROM model_tokens GROUP BY token HAVING sum(n) >= 2
-            ORDER BY n DESC, token LIMIT 30000""",
+            FROM model_tokens GROUP BY token HAVING sum(n) >= 2""",
         "scores": "SELECT token, "
         + _class_array(
             "ln((m{c} + 1) / (sum(m{c}) OVER () + count(*) OVER ())) AS s{c}", classes
@@ -214,6 +219,16 @@ def _ctes(classes: int) -> dict[str, str]:
         "batch_scores": """
             SELECT batch_id, label, tp, predicted, actual, round(p, 2) AS precision,
                    round(r, 2) AS recall, round(f, 2) AS f1 FROM ratios""",
+        "every_score": f"""
+            SELECT split, batch_id, label, round(p, 2) AS precision, round(r, 2) AS recall, round(f, 2) AS f1
+            FROM (SELECT *, tp / (predicted + {EPS}) AS p, tp / (actual + {EPS}) AS r,
+                         2 * (p * r) / (p + r + {EPS}) AS f FROM (
+                  SELECT b.split, b.batch_id, w.label,
+                         count(*) FILTER (b.label = w.label AND b.prediction = w.label) AS tp,
+                         count(*) FILTER (b.prediction = w.label) AS predicted,
+                         count(*) FILTER (b.label = w.label) AS actual
+                  FROM batched b, (SELECT label FROM weights) w
+                  WHERE b.split <> 'test' GROUP BY b.split, b.batch_id, w.label))""",
         "totals": """
             SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(predicted) AS BIGINT) AS predicted,
                    CAST(sum(actual) AS BIGINT) AS actual FROM tallies GROUP BY label""",
@@ -225,9 +240,9 @@ def _ctes(classes: int) -> dict[str, str]:
     }
 
 
-def _assemble(select: str, classes: int = 4) -> str:
+def _assemble(select: str, classes: int = 4, flag: str = "quality") -> str:
     """Put the expressions ``select`` depends on in front of it, in order."""
-    ctes = _ctes(classes)
+    ctes = _ctes(classes, flag)
     needed, pending = set(), [select]
     while pending:
         for name in re.findall(r"\w+", pending.pop()):
@@ -277,6 +292,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM (SELECT doc_id, label, {_strip('text')} AS text FROM docs)
             WHERE text = ''""",
         "drop_empty": f"SELECT {_TEXT} FROM stripped",
+        "strip_segments": f"SELECT doc_id, part, {_strip('text')} AS text FROM segments",
+        "empty_segments": f"""
+            SELECT * FROM (SELECT doc_id, part, {_strip('text')} AS text FROM segments) WHERE text = ''""",
+        "drop_empty_segments": f"""
+            SELECT * FROM (SELECT doc_id, part, {_strip('text')} AS text FROM segments) WHERE text <> ''""",
         "duplicate_rows": f"SELECT {_TEXT} FROM copies WHERE nth > 1",
         "dedup_keep_first": f"SELECT {_TEXT} FROM kept",
         "top_duplicates": f"SELECT {_TEXT} FROM copies WHERE nth > 1 ORDER BY text, doc_id LIMIT 20",
@@ -328,6 +348,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, {_words('text')} AS words FROM documents)""",
         "vocabulary": "SELECT token, id FROM vocab",
         "encode_fixed": f"SELECT doc_id, label, split, n_words, {_IDS}, {_MASK} FROM encoded",
+        "encode_large_vocab": f"SELECT doc_id, label, split, n_words, {_IDS}, {_MASK} FROM encoded",
         "truncation_report": """
             SELECT split, label, count(*) AS n_rows, count(*) FILTER (truncated) AS n_truncated,
                    round(avg(CAST(truncated AS INTEGER)), 9) AS share_truncated
@@ -345,6 +366,7 @@ def oracle_sql() -> dict[str, str]:
         "nb_labels": "SELECT label, n_rows FROM weights",
         "nb_resume": "SELECT label, token, n FROM model_tokens",
         "nb_logits": _LOGITS.format("z0, z1, z2, z3", "test"),
+        "nb_logits_split": _LOGITS.format("z0, z1, z2, z3", "test"),
         "predictions": "SELECT doc_id, label, prediction FROM scored WHERE split = 'test'",
         "row_loss": "SELECT doc_id, label, round(nll, 6) AS nll FROM scored WHERE split = 'test'",
         "weighted_loss_by_batch": """
@@ -363,16 +385,22 @@ def oracle_sql() -> dict[str, str]:
         "predicted_texts": """
             SELECT s.doc_id, s.label, s.prediction, p.text FROM scored s JOIN parts p USING (doc_id)
             WHERE s.split = 'test'""",
-        "first_error_rows": """
-            SELECT s.doc_id, s.label, s.prediction, p.text FROM scored s JOIN parts p USING (doc_id)
-            WHERE s.split = 'test' AND s.label <> s.prediction ORDER BY s.doc_id LIMIT 5""",
         "valid_report": """
             SELECT n_batches, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy
             FROM epochs JOIN accuracies USING (split, n_batches) WHERE split = 'valid'""",
         "text_round_trip": """
             SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, label, md5(text) AS text_md5
             FROM docs""",
-        "split_round_trip": "SELECT doc_id, label, split FROM parts WHERE split = 'test'",
+        "text_round_trip_spaces": """
+            SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, label, md5(text) AS text_md5
+            FROM docs""",
+        "split_round_trip": "SELECT doc_id, label, split FROM parts",
+        "empty_array_round_trip": f"""
+            SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position,
+                   array_to_string(list_filter(list_transform({_words('text')}, lambda w: length(w)),
+                                               lambda n: n > 18), ' ') AS sizes
+            FROM documents""",
+        "lr_predictions": "SELECT doc_id, label, true AS known FROM parts WHERE split = 'test'",
         "array_round_trip": f"""
             SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, {_IDS}, {_MASK}
             FROM encoded""",
@@ -381,7 +409,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'run' AS run_id, 0 AS epoch, split AS subset, 'loss' AS name,
                    round(loss, 6) AS value FROM epochs WHERE split <> 'test'
             UNION ALL SELECT 'run', 0, split, 'accuracy', round(accuracy, 6)
-            FROM accuracies WHERE split <> 'test'""",
+            FROM accuracies WHERE split <> 'test'
+            UNION ALL SELECT 'run', 0, split, 'precision/' || label, round(avg(precision), 6)
+            FROM every_score GROUP BY split, label
+            UNION ALL SELECT 'run', 0, split, 'recall/' || label, round(avg(recall), 6)
+            FROM every_score GROUP BY split, label
+            UNION ALL SELECT 'run', 0, split, 'f1/' || label, round(avg(f1), 6)
+            FROM every_score GROUP BY split, label""",
         "run_params": f"""
             SELECT 'run' AS run_id, 'num_epochs' AS name, '3' AS value
             UNION ALL SELECT 'run', 'num_classes', CAST(count(*) AS VARCHAR) FROM weights
@@ -398,12 +432,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT label, tp, predicted, actual, round(p, 6) AS precision, round(r, 6) AS recall,
                    round(2 * (p * r) / (p + r + {EPS}), 6) AS f1
             FROM (SELECT *, tp / (predicted + {EPS}) AS p, tp / (actual + {EPS}) AS r FROM totals)""",
-        "error_rows": """
-            SELECT s.doc_id, s.label, s.prediction, p.text FROM scored s JOIN parts p USING (doc_id)
-            WHERE s.split = 'test' AND s.label <> s.prediction""",
+        "shifted_labels": """
+            SELECT doc_id, label + 5 AS label, prediction + 5 AS prediction, round(nll, 6) AS nll
+            FROM scored WHERE split = 'test'""",
     }
+    wrong = """
+        SELECT s.doc_id, s.label, s.prediction, p.text FROM scored s JOIN parts p USING (doc_id)
+        WHERE s.split = 'test' AND s.label <> s.prediction"""
+    toxic = {"error_rows": wrong, "first_error_rows": f"{wrong} ORDER BY s.doc_id LIMIT 5"}
     out = {name: _assemble(sql) for name, sql in lang.items()}
     out.update({name: _assemble(sql, classes=2) for name, sql in quality.items()})
+    out.update({name: _assemble(sql, classes=2, flag="toxic") for name, sql in toxic.items()})
     # Every distinct word of the cleaned corpus, not only those an encoding reaches.
     whole = "SELECT DISTINCT unnest(words) AS word FROM worded"
     out["word_pieces"] = _assemble("SELECT word, array_to_string(ids, ' ') AS ids FROM pieces").replace(

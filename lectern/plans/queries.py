@@ -9,13 +9,14 @@ from lectern.functions import text
 from lectern.operators import (
     bayes, clean, encode, evaluate, join, labels, linear, loss, profile, rank, split,
 )
-from lectern.plans import stages
+from lectern.plans import stages, workflow
 from lectern.plans.shared import join_ids, scratch_path
 from lectern.sources import runs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TASK_B = "quality"
+TASK_C = "toxic"
 EPOCHS = 3
 _QUERIES: dict[str, Query] = {}
 
@@ -42,12 +43,12 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 @query
 def first_rows(spark, sf_dir):
-    return profile.first_rows(stages.labelled(spark, sf_dir), 5)
+    return profile.first_rows(stages.corpus(spark, sf_dir), 5)
 
 
 @query
 def point_lookup(spark, sf_dir):
-    return profile.row_at(stages.labelled(spark, sf_dir), 42)
+    return profile.row_at(stages.corpus(spark, sf_dir), 42)
 
 
 @query
@@ -58,18 +59,17 @@ def table_summary(spark, sf_dir):
 @query
 def label_index(spark, sf_dir):
     docs = stages.table(spark, sf_dir, "documents")
-    index = labels.class_index("lang", labels.class_values(docs, "lang"))
-    return docs.select("doc_id", "lang", index.alias("label"))
+    return labels.with_class(docs.select("doc_id", "lang"), "lang", stages.classes(spark, sf_dir))
 
 
 @query
 def label_counts(spark, sf_dir):
-    return profile.label_counts(stages.labelled(spark, sf_dir))
+    return profile.label_counts(stages.corpus(spark, sf_dir))
 
 
 @query
 def label_names(spark, sf_dir):
-    return profile.label_names(stages.labelled(spark, sf_dir))
+    return profile.label_names(stages.corpus(spark, sf_dir))
 
 
 @query
@@ -103,6 +103,27 @@ def drop_empty(spark, sf_dir):
     return clean.drop_empty(stages.corpus(spark, sf_dir))
 
 
+def _segments(spark, sf_dir):
+    """Sentence parts of the documents: many have outer blanks, some are empty."""
+    parts = F.posexplode(F.split("text", r"\.")).alias("part", "text")
+    return stages.documents(spark, sf_dir).select("doc_id", parts)
+
+
+@query
+def strip_segments(spark, sf_dir):
+    return clean.strip_text(_segments(spark, sf_dir))
+
+
+@query
+def empty_segments(spark, sf_dir):
+    return clean.empty_rows(_segments(spark, sf_dir))
+
+
+@query
+def drop_empty_segments(spark, sf_dir):
+    return clean.drop_empty(_segments(spark, sf_dir))
+
+
 @query
 def duplicate_rows(spark, sf_dir):
     return clean.duplicate_rows(stages.corpus(spark, sf_dir)).select("doc_id", "label", "text")
@@ -135,7 +156,7 @@ def drop_short(spark, sf_dir):
 def drop_by_ids(spark, sf_dir):
     """Documents without a label row, by an id list that is itself a table."""
     ids = stages.table(spark, sf_dir, "labels").select("doc_id")
-    return join_ids(stages.labelled(spark, sf_dir), ids, "left_anti").select("doc_id", "label")
+    return join_ids(stages.corpus(spark, sf_dir), ids, "left_anti").select("doc_id", "label")
 
 
 @query
@@ -225,7 +246,7 @@ def split_sizes(spark, sf_dir):
 
 @query
 def approx_split(spark, sf_dir):
-    return split.approximate_split(stages.labelled(spark, sf_dir).select("doc_id", "label"))
+    return split.approximate_split(stages.corpus(spark, sf_dir).select("doc_id", "label"))
 
 
 @query
@@ -272,20 +293,30 @@ def word_pieces(spark, sf_dir):
 
 @query
 def word_pieces_by_join(spark, sf_dir):
-    """The same by the way that large vocabularies take."""
+    """The same with neither vocabulary nor lexicon broadcast."""
     return _word_pieces(spark, sf_dir, broadcast_rows=0)
 
 
-@query
-def encode_fixed(spark, sf_dir):
+def _encoded(spark, sf_dir, **how):
     encoded = encode.encode(
-        stages.split_corpus(spark, sf_dir), stages.vocab(spark, sf_dir), keep=("label", "split")
+        stages.split_corpus(spark, sf_dir), stages.vocab(spark, sf_dir), keep=("label", "split"), **how
     )
     return encoded.select(
         "doc_id", "label", "split", "n_words", _joined("token_ids"), _joined("attention_mask")
     )
 
 
+@query
+def encode_fixed(spark, sf_dir):
+    return _encoded(spark, sf_dir)
+
+
+@query
+def encode_large_vocab(spark, sf_dir):
+    """The same as if the vocabulary were too large to be broadcast."""
+    return _encoded(spark, sf_dir, broadcast_rows=0)
+
+
 @query
 def truncation_report(spark, sf_dir):
     report = encode.truncation_report(stages.encoded(spark, sf_dir))
@@ -348,6 +379,14 @@ def nb_logits(spark, sf_dir):
     return _logit_columns(bayes.score(test, bayes.scores_of(stages.model(spark, sf_dir))), 4)
 
 
+@query
+def nb_logits_split(spark, sf_dir):
+    """The same as if few of the token scores could be broadcast."""
+    test = stages.part(spark, sf_dir, name="test")
+    scores = bayes.scores_of(stages.model(spark, sf_dir))
+    return _logit_columns(bayes.score(test, scores, broadcast_bytes=20_000), 4)
+
+
 @query
 def quality_logits(spark, sf_dir):
     test = stages.part(spark, sf_dir, TASK_B, "test")
@@ -356,17 +395,32 @@ def quality_logits(spark, sf_dir):
 
 @query
 def predictions(spark, sf_dir):
-    return evaluate.predict(stages.test_logits(spark, sf_dir))
+    return _predicted(spark, sf_dir)
+
+
+def _predicted(spark, sf_dir, task="lang"):
+    return evaluate.predict(stages.test_logits(spark, sf_dir, task), stages.class_list(spark, sf_dir, task))
 
 
 @query
 def quality_predictions(spark, sf_dir):
-    return evaluate.predict(stages.test_logits(spark, sf_dir, TASK_B))
+    return _predicted(spark, sf_dir, TASK_B)
+
+
+@query
+def shifted_labels(spark, sf_dir):
+    """The quality task with labels 5 and 6: predictions are labels, not positions."""
+    shift = F.col("label") + 5
+    train = stages.part(spark, sf_dir, TASK_B).withColumn("label", shift)
+    test = stages.part(spark, sf_dir, TASK_B, "test").withColumn("label", shift)
+    scores = bayes.scores_of(bayes.fit_counts(train))
+    rows = loss.with_nll(evaluate.with_prediction(bayes.score(test, scores), scores.classes), scores.classes)
+    return _rounded(rows.select("doc_id", "label", "prediction", "nll"), "nll")
 
 
 def _batch_losses(spark, sf_dir, name="test", task="lang"):
     batched = getattr(stages, f"{name}_batches")(spark, sf_dir, task)
-    return loss.weighted_loss(batched, stages.class_weights(spark, sf_dir, task))
+    return loss.weighted_loss(batched, stages.class_weights(spark, sf_dir, task), stages.class_list(spark, sf_dir, task))
 
 
 @query
@@ -439,7 +493,7 @@ def mean_accuracy(spark, sf_dir):
 
 @query
 def global_metrics(spark, sf_dir):
-    predicted = evaluate.predict(stages.test_logits(spark, sf_dir, TASK_B))
+    predicted = _predicted(spark, sf_dir, TASK_B)
     metrics = evaluate.global_metrics(predicted, stages.class_list(spark, sf_dir, TASK_B))
     return _rounded(metrics, "precision", "recall", "f1")
 
@@ -447,51 +501,72 @@ def global_metrics(spark, sf_dir):
 @query
 def predicted_texts(spark, sf_dir):
     """Every test row with its prediction."""
-    predicted = evaluate.predict(stages.test_logits(spark, sf_dir))
+    predicted = _predicted(spark, sf_dir)
     return evaluate.with_predictions(stages.part(spark, sf_dir, name="test"), predicted)
 
 
 @query
 def error_rows(spark, sf_dir):
-    predicted = evaluate.predict(stages.test_logits(spark, sf_dir, TASK_B))
-    test = stages.part(spark, sf_dir, TASK_B, "test")
+    predicted = _predicted(spark, sf_dir, TASK_C)
+    test = stages.part(spark, sf_dir, TASK_C, "test")
     return evaluate.errors(test, predicted)
 
 
 @query
 def first_error_rows(spark, sf_dir):
-    predicted = evaluate.predict(stages.test_logits(spark, sf_dir))
-    test = stages.part(spark, sf_dir, name="test")
+    predicted = _predicted(spark, sf_dir, TASK_C)
+    test = stages.part(spark, sf_dir, TASK_C, "test")
     return evaluate.errors(test, predicted, first=5)
 
 
 @query
 def valid_report(spark, sf_dir):
     """Loss and accuracy of the validation part."""
-    batched = stages.valid_batches(spark, sf_dir)
-    losses = loss.epoch_loss(_batch_losses(spark, sf_dir, "valid"))
-    accuracy = evaluate.mean_accuracy(evaluate.batch_accuracy(batched))
-    return _rounded(losses.join(F.broadcast(accuracy), "n_batches"), "loss", "accuracy")
+    report = loss.subset_scalars(
+        stages.valid_batches(spark, sf_dir), stages.class_weights(spark, sf_dir), stages.class_list(spark, sf_dir)
+    )
+    return _rounded(report, "loss", "accuracy")
 
 
 # --- files and run records ------------------------------------------------------
 
 
+def _text_round_trip(spark, sf_dir, sep):
+    path = scratch_path(spark, "corpus-text")
+    tables.write_text_corpus(stages.corpus(spark, sf_dir), path, sep=sep)
+    rows = tables.number_rows(tables.read_text_corpus(spark, path, sep=sep), "position")
+    return rows.select("position", "label", F.md5("text").alias("text_md5"))
+
+
 @query
 def text_round_trip(spark, sf_dir):
     """Write the corpus as tab-separated text, read it back, number the rows."""
-    path = scratch_path(spark, "corpus-text")
-    tables.write_text_corpus(stages.corpus(spark, sf_dir), path)
-    rows = tables.number_rows(tables.read_text_corpus(spark, path), "position")
-    return rows.select("position", "label", F.md5("text").alias("text_md5"))
+    return _text_round_trip(spark, sf_dir, "\t")
+
+
+@query
+def text_round_trip_spaces(spark, sf_dir):
+    """The same with blanks between the fields."""
+    return _text_round_trip(spark, sf_dir, " ")
 
 
 @query
 def split_round_trip(spark, sf_dir):
-    """Write the three parts as one partitioned table and read the test part back."""
+    """Write the three parts as one partitioned table and read each of them back."""
     path = scratch_path(spark, "split-table")
     tables.write_table(stages.split_corpus(spark, sf_dir), path, partition_by="split")
-    return tables.read_split(spark, path, "test").select("doc_id", "label", "split")
+    parts = [tables.read_split(spark, path, name) for name in ("train", "valid", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "label", "split")
+
+
+@query
+def empty_array_round_trip(spark, sf_dir):
+    """Ids of the long words of each document as JSON arrays, many of them empty."""
+    docs = stages.documents(spark, sf_dir)
+    sizes = F.transform(text.words("text"), lambda w: F.length(w))
+    path = scratch_path(spark, "sizes")
+    tables.write_json_arrays(docs.select("doc_id", F.filter(sizes, lambda n: n > 18).alias("sizes")), "sizes", path)
+    return tables.read_json_arrays(spark, path, "sizes").select("position", _joined("sizes"))
 
 
 @query
@@ -520,14 +595,13 @@ def model_round_trip(spark, sf_dir):
 
 @query
 def run_metrics(spark, sf_dir):
-    """Loss and accuracy of the epoch's two subsets, appended to and read from the run record."""
+    """The epoch's values of both subsets, recorded twice, as by a rerun, and read."""
     path = scratch_path(spark, "run-metrics")
-    for subset in ("train", "valid"):
+    weights, classes = stages.class_weights(spark, sf_dir), stages.class_list(spark, sf_dir)
+    for subset in ("train", "valid", "valid"):
         batched = getattr(stages, f"{subset}_batches")(spark, sf_dir)
-        scalars = loss.epoch_loss(_batch_losses(spark, sf_dir, subset)).select("loss")
-        runs.record_metrics(scalars, path, "run", 0, subset)
-        accuracy = evaluate.mean_accuracy(evaluate.batch_accuracy(batched)).select("accuracy")
-        runs.record_metrics(accuracy, path, "run", 0, subset)
+        values = workflow.scalars(batched, weights, classes, stages.BATCH_SIZE)
+        runs.record_metrics(values, path, "run", 0, subset)
     return _rounded(runs.read_metrics(spark, path), "value")
 
 
@@ -535,6 +609,7 @@ def run_metrics(spark, sf_dir):
 def run_params(spark, sf_dir):
     path = scratch_path(spark, "run-params")
     n_classes = len(stages.class_list(spark, sf_dir))
+    # The parameter names of the published run.
     params = {"num_epochs": EPOCHS, "num_classes": n_classes, "batch_size": stages.BATCH_SIZE}
     runs.record_params(spark, path, "run", params)
     return runs.read_params(spark, path)
@@ -545,8 +620,11 @@ def run_params(spark, sf_dir):
 
 @query
 def lr_predictions(spark, sf_dir):
-    """No SQL equivalent: an iterative solver."""
-    model = linear.fit_linear(
-        stages.part(spark, sf_dir), stages.class_weights(spark, sf_dir), max_iter=EPOCHS
-    )
-    return linear.predict_linear(stages.part(spark, sf_dir, name="test"), model)
+    """Every test row, and whether its prediction is a class of the training part.
+
+    The weights of an iterative solver have no SQL form.
+    """
+    model = linear.fit_linear(stages.part(spark, sf_dir), stages.class_weights(spark, sf_dir))
+    found = linear.predict_linear(stages.part(spark, sf_dir, name="test"), model)
+    known = F.col("prediction").isin(stages.class_list(spark, sf_dir))
+    return found.select("doc_id", "label", known.alias("known"))

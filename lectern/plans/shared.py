@@ -1,6 +1,5 @@
 """Written intermediate tables and size-checked joins."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,26 +8,27 @@ from pyspark.sql import functions as F
 # A side of at most this many narrow rows is broadcast (an id is 8 bytes, a
 # vocabulary token at most 100 characters).
 BROADCAST_ROWS = 1_000_000
+# A wider side, whose rows the caller sizes, is broadcast up to this many bytes.
+BROADCAST_BYTES = 32 << 20
 # A hash-join build side may hold this many narrow rows per shuffle partition.
 HASH_ROWS_PER_PARTITION = 2_000_000
 
-_local_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session without that setting gets a temporary folder.
+    Without that setting, a folder in the warehouse, which they share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="lectern-")
-    return _local_dirs[app]
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every table that this application has written to the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,15 +47,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Give a table that is read in fewer splits than there are cores one part per core.
-
-    Large tables have more splits than cores and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``limit`` rows.
 

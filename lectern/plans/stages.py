@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import bayes, clean, encode, evaluate, labels, profile, rank, split
-from lectern.plans.shared import scratch_path, spread
+from lectern.plans.shared import join_ids, scratch_path
 from lectern.plans.workflow import BATCH_SIZE, TRAIN_SEED
 from lectern.sources.tables import write_table
 
@@ -29,25 +29,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
 
 
-def corpus(spark: SparkSession, sf_dir: str, task: str = "lang") -> DataFrame:
-    """The rows of a task, laid out for steps that read every text."""
-    return spread(labelled(spark, sf_dir, task))
-
-
-def labelled(spark: SparkSession, sf_dir: str, task: str = "lang") -> DataFrame:
-    """``doc_id, label, text`` of a task: the language, or the quality flag."""
-    docs = table(spark, sf_dir, "documents")
-    if task == "quality":
-        flags = table(spark, sf_dir, "labels").select(
-            "doc_id", F.col("quality").cast("int").alias("label")
-        )
-        return docs.select("doc_id", "text").join(flags, "doc_id").select(
-            "doc_id", "label", "text"
-        )
-    index = labels.class_index("lang", labels.class_values(docs, "lang"))
-    return docs.select("doc_id", index.alias("label"), "text")
-
-
 def stage(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Write what ``build`` returns on first use and read it back from then on."""
 
@@ -64,6 +45,28 @@ def stage(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return read
 
 
+@stage
+def classes(spark, sf_dir, task):
+    """Languages and their class numbers, found once."""
+    return labels.class_table(table(spark, sf_dir, "documents"), "lang")
+
+
+@stage
+def flags(spark, sf_dir, task):
+    """``doc_id, label`` of a flag task, without texts."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.col(task).cast("int").alias("label"))
+
+
+def corpus(spark: SparkSession, sf_dir: str, task: str = "lang") -> DataFrame:
+    """``doc_id, label, text`` of a task: the language's number, or a flag of ``labels``."""
+    docs = table(spark, sf_dir, "documents")
+    if task == "lang":
+        named = labels.with_class(docs, "lang", classes(spark, sf_dir))
+        return named.select("doc_id", "label", "text")
+    found = join_ids(docs.select("doc_id", "text"), flags(spark, sf_dir, task), "inner")
+    return found.select("doc_id", "label", "text")
+
+
 @stage
 def cleaned(spark, sf_dir, task):
     return clean.clean(corpus(spark, sf_dir, task))
@@ -138,7 +141,7 @@ def valid_logits(spark, sf_dir, task):
 def test_batches(spark, sf_dir, task):
     """Test rows in id order: ``doc_id, label, logits, prediction, position, batch_id``."""
     logits = test_logits(spark, sf_dir, task)
-    predicted = logits.withColumn("prediction", evaluate.argmax("logits"))
+    predicted = evaluate.with_prediction(logits, scores(spark, sf_dir, task).classes)
     return rank.batches(predicted, BATCH_SIZE)
 
 
@@ -146,12 +149,12 @@ def test_batches(spark, sf_dir, task):
 def train_batches(spark, sf_dir, task):
     """Training rows in the shuffled order of the first epoch."""
     logits = bayes.score(part(spark, sf_dir, task), scores(spark, sf_dir, task))
-    predicted = logits.withColumn("prediction", evaluate.argmax("logits"))
+    predicted = evaluate.with_prediction(logits, scores(spark, sf_dir, task).classes)
     return rank.batches(predicted, BATCH_SIZE, TRAIN_SEED, epoch=0)
 
 
 @stage
 def valid_batches(spark, sf_dir, task):
     logits = valid_logits(spark, sf_dir, task)
-    predicted = logits.withColumn("prediction", evaluate.argmax("logits"))
+    predicted = evaluate.with_prediction(logits, scores(spark, sf_dir, task).classes)
     return rank.batches(predicted, BATCH_SIZE)

@@ -1,14 +1,19 @@
 """The three steps a user runs: prepare a corpus, train on it, test the model.
 
-Steps hand over Parquet tables under one folder: ``corpus`` and ``encoded`` (each
-partitioned by split), ``vocab``, and one model folder per epoch. Rerunning a step
-overwrites its tables.
+Steps hand over Parquet tables under one folder: ``classes``, ``corpus`` and ``encoded``
+(each of the two partitioned by split), ``vocab``, and one model folder per epoch.
+Rerunning a step overwrites its tables and records.
 """
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import bayes, clean, encode, evaluate, labels, loss, profile, rank, split
+from lectern.functions.text import words
+from lectern.operators import (
+    bayes, clean, encode, evaluate, labels, linear, loss, profile, rank, split,
+)
 from lectern.plans.shared import saved
 from lectern.sources import runs
 from lectern.sources.tables import read_split, write_table
@@ -27,11 +32,16 @@ def prepare(
 ) -> None:
     """Clean ``doc_id, label, text``, split it 64/16/20 by class, and encode it.
 
-    A supplied ``vocab`` brings its own marker ids; otherwise one is built from the
-    training part. The given texts are read twice, for the digests and for writing the
-    cleaned and split corpus; vocabulary and encoding read that.
+    Labels of any type are mapped to 0, 1, ... in their order; ``classes`` keeps the map.
+    A row without a label is an error. A supplied ``vocab`` brings its own marker ids;
+    otherwise one is built from the training part. The given texts are read twice, for the
+    digests and for writing the cleaned and split corpus; vocabulary and encoding read that.
     """
     spark = corpus.sparkSession
+    named = corpus.select("doc_id", F.col("label").alias("class"), "text")
+    write_table(labels.class_table(named, "class"), f"{folder}/classes")
+    classes = spark.read.parquet(f"{folder}/classes")
+    corpus = labels.with_class(named, "class", classes).select("doc_id", "label", "text")
     cleaned, keys = clean.clean_with_keys(corpus, min_tokens)
     write_table(split.stratified_split(cleaned, keys=keys), f"{folder}/corpus", "split")
     rows = spark.read.parquet(f"{folder}/corpus")
@@ -44,16 +54,26 @@ def prepare(
     write_table(encoded, f"{folder}/encoded", partition_by="split")
 
 
-def _subset_scalars(batched: DataFrame, weights: DataFrame) -> DataFrame:
-    """One row: ``loss, accuracy``."""
-    losses = loss.epoch_loss(loss.weighted_loss(batched, weights))
-    accuracy = evaluate.mean_accuracy(evaluate.batch_accuracy(batched))
-    return losses.join(F.broadcast(accuracy), "n_batches").select("loss", "accuracy")
+def _scored(rows: DataFrame, scores: bayes.Scores) -> DataFrame:
+    return evaluate.with_prediction(bayes.score(rows, scores), scores.classes)
 
 
-def _scored(rows: DataFrame, scores: bayes.Scores) -> DataFrame:
-    scored = bayes.score(rows, scores)
-    return scored.withColumn("prediction", evaluate.argmax("logits"))
+def _linear(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    """Rows scored like those of the count model: log probabilities and the class."""
+    scored = model.transform(rows.select("doc_id", "label", words("text").alias("words")))
+    logits = F.transform(vector_to_array("probability"), lambda p: F.log(F.greatest(p, F.lit(1e-300))))
+    return scored.select("doc_id", "label", logits.alias("logits"), F.col("prediction").cast("int").alias("prediction"))
+
+
+def scalars(batched: DataFrame, weights: DataFrame, classes: list, size: int) -> DataFrame:
+    """One row: ``loss, accuracy``, and ``precision/<label>, recall/<label>, f1/<label>``."""
+    one = loss.subset_scalars(batched, weights, classes).select("loss", "accuracy")
+    per_label = evaluate.batch_mean_metrics(evaluate.batch_metrics(batched, classes, size))
+    named = [
+        F.max(F.when(F.col("label") == c, F.col(m))).alias(f"{m}/{c}") for m in ("precision", "recall", "f1") for c in classes
+    ]
+    # Both sides are aggregates of one row.
+    return one.join(F.broadcast(per_label.agg(*named)))
 
 
 def train(
@@ -63,24 +83,33 @@ def train(
     epoch: int = 0,
     batch_size: int = BATCH_SIZE,
     seed: int = TRAIN_SEED,
-) -> bayes.CountModel:
+    num_epochs: int = 1,
+    linear_model: bool = False,
+) -> bayes.CountModel | PipelineModel:
     """Fit the prepared training part and save it as ``model/epoch-<epoch>``.
 
     From epoch 1 on, the counts go on top of the model of the epoch before: prepare new
-    rows into the folder, then train the next epoch. Loss and accuracy of both parts are
-    recorded, the training batches in the epoch's shuffled order.
+    rows into the folder, then train the next epoch. With ``linear_model`` the logistic
+    regression is fitted instead, to its end in one epoch. Loss, accuracy, precision,
+    recall and F1 of both parts are recorded, the training batches in the epoch's shuffled
+    order; training an epoch again replaces its records.
     """
     rows = read_split(spark, f"{folder}/corpus", "train")
     weights = saved(profile.class_weights(rows), "weights")
-    prior = bayes.CountModel.read(spark, _model_path(folder, epoch - 1)) if epoch else None
-    bayes.fit_counts(rows, prior).write(_model_path(folder, epoch))
-    model = bayes.CountModel.read(spark, _model_path(folder, epoch))
+    path = _model_path(folder, epoch)
+    if linear_model:
+        linear.fit_linear(rows, weights).write().overwrite().save(path)
+    else:
+        prior = bayes.CountModel.read(spark, _model_path(folder, epoch - 1)) if epoch else None
+        bayes.fit_counts(rows, prior).write(path)
+    model, score, classes = _load(spark, path, linear_model)
     if not epoch:
         runs.record_params(
             spark,
             f"{folder}/run_params",
             run_id,
             {
+                "num_epochs": num_epochs,
                 "num_classes": weights.count(),
                 "batch_size": batch_size,
                 "seed": seed,
@@ -88,31 +117,54 @@ def train(
             },
         )
     valid = read_split(spark, f"{folder}/corpus", "valid")
-    scores = bayes.scores_of(model)
     for subset, batched in (
-        ("train", rank.batches(_scored(rows, scores), batch_size, seed, epoch)),
-        ("valid", rank.batches(_scored(valid, scores), batch_size)),
+        ("train", rank.batches(score(rows), batch_size, seed, epoch)),
+        ("valid", rank.batches(score(valid), batch_size)),
     ):
-        scalars = saved(_subset_scalars(batched, weights), "scalars")
-        runs.record_metrics(scalars, f"{folder}/run_metrics", run_id, epoch, subset)
+        values = saved(scalars(saved(batched, "scored"), weights, classes, batch_size), "scalars")
+        runs.record_metrics(values, f"{folder}/run_metrics", run_id, epoch, subset)
     return model
 
 
+def _load(spark: SparkSession, path: str, linear_model: bool):
+    """A saved model, the function that scores rows with it, and its labels in order."""
+    if linear_model:
+        model = PipelineModel.load(path)
+        return model, lambda rows: _linear(rows, model), list(range(model.stages[-1].numClasses))
+    model = bayes.CountModel.read(spark, path)
+    scores = bayes.scores_of(model)
+    return model, lambda rows: _scored(rows, scores), scores.classes
+
+
 def _model_path(folder: str, epoch: int) -> str:
     return f"{folder}/model/epoch-{epoch}"
 
 
 def test(
-    spark: SparkSession, folder: str, epoch: int = 0, batch_size: int = BATCH_SIZE
+    spark: SparkSession,
+    folder: str,
+    epoch: int = 0,
+    batch_size: int = BATCH_SIZE,
+    linear_model: bool = False,
 ) -> dict[str, DataFrame]:
-    """``results`` per label, mean ``accuracy``, ``predictions`` and ``errors`` of the test part."""
+    """``results`` per class, mean ``accuracy``, ``predictions`` and ``errors`` of the test part.
+
+    Labels and predictions are class numbers; ``class`` and ``predicted_class`` (of
+    ``results``: ``class``) give the caller's own values.
+    """
     rows = read_split(spark, f"{folder}/corpus", "test").select("doc_id", "label", "text")
-    model = bayes.CountModel.read(spark, _model_path(folder, epoch))
-    batched = saved(rank.batches(_scored(rows, bayes.scores_of(model)), batch_size).drop("logits"), "predictions")
-    classes = labels.class_values(model.labels, "label")
+    names = spark.read.parquet(f"{folder}/classes")
+    _, score, classes = _load(spark, _model_path(folder, epoch), linear_model)
+    batched = saved(rank.batches(score(rows), batch_size).drop("logits"), "predictions")
+    predicted = names.select(F.col("label").alias("prediction"), F.col("class").alias("predicted_class"))
+
+    def named(df):
+        df = labels.with_class(df, "label", names)
+        return labels.with_class(df, "prediction", predicted) if "prediction" in df.columns else df
+
     return {
-        "results": evaluate.results_table(batched, classes, batch_size),
+        "results": named(evaluate.results_table(batched, classes, batch_size)).orderBy("label"),
         "accuracy": evaluate.mean_accuracy(evaluate.batch_accuracy(batched)),
-        "predictions": batched,
-        "errors": evaluate.errors(rows, batched),
+        "predictions": named(batched),
+        "errors": named(evaluate.errors(rows, batched)),
     }

@@ -66,7 +66,9 @@ def number_rows(df: DataFrame, name: str = "doc_id") -> DataFrame:
     block it was read from plus the sizes of the blocks before it.
     """
     placed = saved(df.select("*", *_file_order()), "placed-rows")
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Part files by their number: names alone would sort part-100000 before part-99999.
+    part = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("bigint")
+    before = Window.orderBy(part, "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     # One row per file block, so the running sum is over a small table.
     blocks = (
         placed.groupBy("_file", "_block")
@@ -111,11 +113,13 @@ def read_json_arrays(spark: SparkSession, path: str, name: str) -> DataFrame:
     """``position, <name> ARRAY<INT>`` from a JSON array of integer arrays.
 
     Records end at ``]`` instead of at a line break, so a single huge array is cut
-    into blocks like any text file; one array per line reads the same way.
+    into blocks like any text file; one array per line reads the same way. Empty arrays
+    are records too; one that holds anything but integers is null.
     """
     records = spark.read.option("lineSep", "]").text(path)
-    numbers = F.regexp_extract_all("value", F.lit(r"-?\d+"), F.lit(0)).cast("array<int>")
-    rows = records.where(F.col("value").rlike(r"\d")).select("_metadata", numbers.alias(name))
+    inner = F.concat(F.lit("["), F.substring_index("value", "[", -1), F.lit("]"))
+    numbers = F.from_json(inner, "array<int>")
+    rows = records.where(F.col("value").contains("[")).select("_metadata", numbers.alias(name))
     return number_rows(rows, "position").select("position", name)
 
 

@@ -33,7 +33,7 @@ def _rows(columns, rows):
 
 
 # Type names of the two engines that mean the same.
-SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def differences(df, con, sql: str) -> list[str]:

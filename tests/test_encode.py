@@ -44,7 +44,7 @@ def texts():
 
 @pytest.mark.parametrize("broadcast_rows", [10**6, 0])
 def test_encoding_equals_the_published_tokenizer(corpus, vocab, published, broadcast_rows):
-    """Both ways: spelled in Arrow batches, and joined with the vocabulary."""
+    """With the vocabulary and the lexicon broadcast, and joined."""
     given = texts()
     df = encode.encode(
         corpus([(0, t) for t in given]), vocab, keep=("label",), broadcast_rows=broadcast_rows
@@ -60,7 +60,7 @@ def test_encoding_equals_the_published_tokenizer(corpus, vocab, published, broad
 
 
 def test_join_path_with_a_shuffled_vocabulary(spark, corpus, vocab, published, monkeypatch):
-    monkeypatch.setattr(encode, "small_side", lambda df: df)
+    monkeypatch.setattr(encode, "small_side", lambda df, limit=0: df)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         given = texts()[-10:]
@@ -73,8 +73,8 @@ def test_join_path_with_a_shuffled_vocabulary(spark, corpus, vocab, published, m
 
 def test_pieces_of_single_words(spark, vocab):
     words = ["unaffable", "running", "the", "unq", "q", "xxx", "x" * 100, "x" * 101, "b"]
-    df = spark.createDataFrame([(w, 0, w) for w in words], "key STRING, at_word INT, word STRING")
-    got = {r.key: r.ids for r in encode.split_pieces(df, "key", vocab, 1).collect()}
+    df = spark.createDataFrame([(w,) for w in words], "word STRING")
+    got = {r.word: r.ids for r in encode.spell(df, vocab, 1).collect()}
     ids = {t: i for i, t in enumerate(TOKENS)}
     assert got["unaffable"] == [ids["un"], ids["##aff"], ids["##able"]]
     assert got["running"] == [ids["run"], ids["##ning"]] and got["the"] == [ids["the"]]
@@ -108,6 +108,21 @@ def test_vocabulary_limit_under_ties(corpus):
     assert [r.token for r in got.orderBy("id").collect()][4:] == ["zz"] + [f"w{i:03d}" for i in range(9)]
 
 
+def test_limit_and_repeated_tokens_do_not_depend_on_the_way(spark, vocab):
+    df = spark.createDataFrame([(1, ["unaffable", "the", "the"]), (2, []), (3, None)], "k INT, words ARRAY<STRING>")
+    twice = vocab.unionByName(spark.createDataFrame([("the", 999)], "token STRING, id INT"))
+    found = [
+        {r.k: r.ids for r in encode.with_pieces(df, "k", twice, 1, limit=4, broadcast_rows=n).collect()} for n in (0, 10**6)
+    ]
+    ids = {t: i for i, t in enumerate(TOKENS)}
+    assert found[0] == found[1] == {1: [ids["un"], ids["##aff"], ids["##able"], ids["the"]], 2: [], 3: []}
+
+
+def test_rare_letters_are_listed(corpus):
+    df = corpus([(0, "".join(map(chr, range(0x4E00, 0x4E00 + 1200))))])
+    assert encode.build_vocab(df).count() == 4 + 1200
+
+
 def test_caller_tokenizer(corpus):
     def lengths(texts):
         return [([len(t), 0], [1, 0]) for t in texts]

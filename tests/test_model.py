@@ -25,7 +25,7 @@ def pairs():
 def by_hand(train, test, min_count=2):
     counts = {c: Counter() for c in {c for c, _ in train}}
     for c, text in train:
-        counts[c].update(text.split()[:126])
+        counts[c].update(text.split())
     n_c = Counter(c for c, _ in train)
     mass = {c: (1 - n / len(train)) * n for c, n in n_c.items()}
     total = sum(counts.values(), Counter())
@@ -36,7 +36,7 @@ def by_hand(train, test, min_count=2):
         out.append([
             math.log(mass[c] / sum(mass.values()))
             + sum(math.log((counts[c][t] + 1) / (in_vocab[c] + len(vocab)))
-                  for t in text.split()[:126] if t in vocab)
+                  for t in text.split() if t in vocab)
             for c in sorted(counts)
         ])
     return out
@@ -77,10 +77,35 @@ def test_layout_does_not_matter(corpus, pairs, parts):
     assert logits_of(bayes.score(corpus(pairs, parts), bayes.scores_of(model))) == want
 
 
-def test_vocabulary_limit(corpus):
-    df = corpus([(0, "a a a b b c"), (1, "a b c c c c")])
-    scores = bayes.scores_of(bayes.fit_counts(df), max_words=2)
-    assert sorted(r.token for r in scores.tokens.collect()) == ["a", "c"]
+def test_scores_with_a_shuffled_tail(corpus, pairs):
+    scores = bayes.scores_of(bayes.fit_counts(corpus(pairs)))
+    want = logits_of(bayes.score(corpus(pairs), scores))
+    for limit in (0, 60, 300):
+        np.testing.assert_allclose(logits_of(bayes.score(corpus(pairs), scores, broadcast_bytes=limit)), want, atol=2e-6)
+
+
+def test_long_words_and_whole_texts_count(corpus):
+    long = "x" * 300
+    df = corpus([(0, f"{long} a " * 200), (1, "b b")])
+    found = {(r.label, r.token): r.n for r in bayes.fit_counts(df).tokens.collect()}
+    assert found == {(0, long): 200, (0, "a"): 200, (1, "b"): 2}
+
+
+def test_labels_need_not_start_at_zero(corpus):
+    df = corpus([(1, "a a b"), (1, "a b b"), (5, "c d d"), (5, "c c d")])
+    scores = bayes.scores_of(bayes.fit_counts(df))
+    rows = evaluate.with_prediction(bayes.score(df, scores), scores.classes)
+    assert all(r.label == r.prediction for r in rows.collect())
+    assert all(r.nll < 0.7 for r in loss.with_nll(rows, scores.classes).collect())
+
+
+def test_rows_without_weight_or_score_are_an_error(spark):
+    df = spark.createDataFrame([(0, 0, [0.1, 0.2]), (1, 1, [0.3, 0.1])], "batch_id BIGINT, label INT, logits ARRAY<DOUBLE>")
+    weights = spark.createDataFrame([(0, 0.5)], "label INT, weight DOUBLE")
+    with pytest.raises(Exception, match="no weight for label 1"):
+        loss.weighted_loss(df, weights).collect()
+    with pytest.raises(Exception, match="no score for label 1"):
+        loss.with_nll(df, [0, 2]).collect()
 
 
 def test_class_weights(corpus):
@@ -118,25 +143,23 @@ def test_weighted_loss(spark):
 
 def test_class_index(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("b",)], "lang STRING")
-    values = labels.class_values(df, "lang")
-    assert values == ["a", "b", "c"]
-    assert [r.i for r in df.select(labels.class_index("lang", values[:2]).alias("i")).collect()] == [1, 0, None, None, 1]
+    assert labels.class_values(df, "lang") == ["a", "b", "c"]
+    classes = labels.class_table(df, "lang")
+    assert sorted(map(tuple, classes.collect())) == [("a", 0), ("b", 1), ("c", 2)]
+    found = labels.with_class(df, "lang", classes).collect()
+    assert sorted(((r.lang, r.label) for r in found), key=str) == [(None, None), ("a", 0), ("b", 1), ("b", 1), ("c", 2)][1:] + [(None, None)]
 
 
-def test_too_many_classes_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(labels, "MAX_CLASSES", 3)
-    df = spark.range(4).withColumnRenamed("id", "label")
-    with pytest.raises(ValueError, match="more than 3"):
-        labels.class_values(df, "label")
-    with pytest.raises(ValueError, match="more than 3"):
-        labels.class_side(df)
+def test_any_number_of_classes(spark):
+    df = spark.range(1500).selectExpr("id AS doc_id", "CAST(id AS INT) AS label")
+    assert labels.class_table(df, "label", "place").where("label <> place").count() == 0
 
 
 def test_linear_model_learns_and_reloads(corpus, pairs, tmp_path):
     from pyspark.ml import PipelineModel
 
     df = corpus(pairs)
-    model = linear.fit_linear(df, profile.class_weights(df), n_features=256, max_iter=5)
+    model = linear.fit_linear(df, profile.class_weights(df), n_features=256)
     got = linear.predict_linear(df, model)
     assert got.where("label = prediction").count() > 0.8 * len(pairs)
     model.write().overwrite().save(str(tmp_path / "lr"))

@@ -66,6 +66,21 @@ def test_one_json_array_is_read_in_blocks(spark, tmp_path):
     assert [r.token_ids for r in sorted(got, key=lambda r: r.position)] == arrays
 
 
+@pytest.mark.parametrize("text", ["[[1,2],[],[3,4]]", "[1,2]\n[]\n[3,4]\n", "[[1, 2],\n [ ],\n [3, 4]]\n"])
+def test_empty_arrays_are_records(spark, tmp_path, text):
+    path = tmp_path / "ids.json"
+    path.write_text(text)
+    got = tables.read_json_arrays(spark, str(path), "ids").collect()
+    assert [r.ids for r in sorted(got, key=lambda r: r.position)] == [[1, 2], [], [3, 4]]
+
+
+def test_part_files_are_in_the_order_of_their_numbers(spark, tmp_path):
+    for i, part in enumerate(["part-99999", "part-100000", "part-100001"]):
+        (tmp_path / f"{part}-x.txt").write_text(f"{i}\tline\n")
+    df = tables.number_rows(tables.read_text_corpus(spark, str(tmp_path)))
+    assert sorted((r.doc_id, r.label) for r in df.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_array_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(5, [1, 2]), (3, [0, 0]), (9, [4, -4])], "doc_id BIGINT, ids ARRAY<INT>")
     tables.write_json_arrays(df, "ids", str(tmp_path / "ids"))
@@ -82,13 +97,13 @@ def test_writing_twice_leaves_the_same_rows(spark, corpus, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "t"), "doc_id BIGINT, label INT").count() == 2
 
 
-def test_run_records_append(spark, tmp_path):
+def test_run_records_replace(spark, tmp_path):
     params, metrics = str(tmp_path / "params"), str(tmp_path / "metrics")
     runs.record_params(spark, params, "r1", {"batch_size": 32, "num_epochs": 3})
     runs.record_params(spark, params, "r2", {"batch_size": 64})
     assert runs.read_params(spark, params).count() == 3
     values = spark.createDataFrame([(0.5, 0.75)], "loss DOUBLE, accuracy DOUBLE")
-    for epoch in range(2):
+    for epoch in (0, 1, 1):
         runs.record_metrics(values, metrics, "r1", epoch, "train")
     rows = sorted(map(tuple, runs.read_metrics(spark, metrics).collect()))
     assert rows == [
@@ -111,14 +126,18 @@ def test_shared_folder_is_the_configured_one():
     assert shared.scratch_path(cluster, "x").startswith("hdfs:///shared/lectern/app/x-")
 
 
-def test_a_local_session_keeps_one_temporary_folder():
-    local = session(**{"spark.master": "local[2]"})
-    assert shared.shared_dir(local) == shared.shared_dir(local)
+def test_without_a_shared_folder_the_warehouse_is_used():
+    plain = session(**{"spark.master": "local[2]", "spark.sql.warehouse.dir": "file:/w"})
+    assert shared.shared_dir(plain) == "file:/w/scratch"
 
 
-def test_a_cluster_without_a_shared_folder_is_refused():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared.shared_dir(session(**{"spark.master": "yarn"}))
+def test_scratch_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    kept = shared.saved(spark.range(3), "x")
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+    shared.drop_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
 
 
 def test_row_wise_cleaning_of_a_stream(spark, corpus, tmp_path):

@@ -40,7 +40,14 @@ def test_prepare_train_test_and_go_on(spark, corpus, pairs, tmp_path):
     assert twice == 2 * once
     recorded = runs.read_metrics(spark, f"{folder}/run_metrics").collect()
     assert {(r.epoch, r.subset, r.name) for r in recorded} == {
-        (e, s, n) for e in (0, 1) for s in ("train", "valid") for n in ("loss", "accuracy")
+        (e, s, n) for e in (0, 1) for s in ("train", "valid")
+        for n in ["loss", "accuracy"] + [f"{m}/{c}" for m in ("precision", "recall", "f1") for c in range(3)]
+    }
+    # Training an epoch again replaces its records.
+    workflow.train(spark, folder, "r", epoch=1)
+    assert runs.read_metrics(spark, f"{folder}/run_metrics").count() == len(recorded)
+    assert {r.name for r in runs.read_params(spark, f"{folder}/run_params").collect()} == {
+        "num_epochs", "num_classes", "batch_size", "seed", "model_path"
     }
     # Preparing again leaves the same rows.
     before = sorted(rows.select("doc_id", "split").collect())
@@ -48,6 +55,27 @@ def test_prepare_train_test_and_go_on(spark, corpus, pairs, tmp_path):
     assert sorted(spark.read.parquet(f"{folder}/corpus").select("doc_id", "split").collect()) == before
 
 
+@pytest.mark.parametrize("linear_model", [False, True])
+def test_labels_of_any_type(spark, corpus, pairs, tmp_path, linear_model):
+    names = {0: "sport", 1: "economy", 2: "world"}
+    rows = [(i, names[label], text) for i, (label, text) in enumerate(pairs)]
+    folder = str(tmp_path / f"names-{linear_model}")
+    workflow.prepare(spark.createDataFrame(rows, "doc_id BIGINT, label STRING, text STRING"), folder)
+    workflow.train(spark, folder, "r", linear_model=linear_model)
+    result = workflow.test(spark, folder, linear_model=linear_model)
+    assert [r["class"] for r in result["results"].collect()] == sorted(names.values())
+    assert result["accuracy"].first().accuracy > 0.6
+    for r in result["predictions"].collect():
+        assert r["class"] == rows[r.doc_id][1] and (r["class"] == r.predicted_class) == (r.label == r.prediction)
+    assert all(r["class"] != r.predicted_class for r in result["errors"].collect())
+
+
+def test_rows_without_label_are_refused(spark, tmp_path):
+    rows = [(i, None if i == 3 else i % 2, f"a b c d e f {i}") for i in range(20)]
+    with pytest.raises(ValueError, match="1 rows have no label"):
+        workflow.prepare(spark.createDataFrame(rows, "doc_id BIGINT, label INT, text STRING"), str(tmp_path / "n"))
+
+
 def test_supplied_vocabulary_brings_its_marker_ids(spark, corpus, pairs, tmp_path):
     tokens = ["[PAD]", "x", "[UNK]", "[CLS]", "[SEP]"] + [f"w{i}" for i in range(40)]
     vocab = spark.createDataFrame([(t, 10 + i) for i, t in enumerate(tokens)], "token STRING, id INT")
