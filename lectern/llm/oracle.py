@@ -1,5 +1,86 @@
-"""DuckDB SQL of the numbered queries that SQL can express on whole tables."""
+"""DuckDB SQL of the numbered queries that SQL can express on whole tables.
+
+The other queries rest on trained models, published tokenizers or byte positions; the
+tests compare them with plain versions or held-out labels.
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_COMPONENTS = """
+    both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (
+        SELECT a AS node, a AS other FROM both_ways
+        UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+    component AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)"""
+
+_VECTORS = f"""
+WITH RECURSIVE
+    usable AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(e, e)) AS size
+        FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+        ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+        AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+    {_COMPONENTS},
+    degree AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, coalesce(c.component_id, v.vec_id) AS component_id,
+       coalesce(c.component_id, v.vec_id) = v.vec_id AS kept
+FROM embeddings v LEFT JOIN degree d ON d.a = v.vec_id LEFT JOIN component c ON c.node = v.vec_id
+"""
+
+_COPIES = f"""
+WITH RECURSIVE
+    worded AS (
+        SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+        FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i
+              FROM worded WHERE len(words) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+        FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+        GROUP BY x.doc_id, y.doc_id),
+    links AS (
+        SELECT c.a, c.b FROM common c JOIN sizes p ON p.doc_id = c.a JOIN sizes q ON q.doc_id = c.b
+        WHERE 100 * c.n >= 75 * (p.n + q.n - c.n)),
+    {_COMPONENTS}
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+       coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN component c ON c.node = d.doc_id
+"""
+
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LEAKS = f"""
+WITH
+    items AS (SELECT item_id, regexp_extract_all({_LOWER}, {_WORD}) AS words FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, words[i:i + 9] AS passage
+        FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i
+              FROM items WHERE len(words) > 0)),
+    docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS words FROM documents),
+    lengths AS (SELECT DISTINCT len(passage) AS size FROM windows),
+    places AS (
+        SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS passage
+        FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+              FROM docs, lengths WHERE len(words) >= size)),
+    found AS (
+        SELECT p.doc_id, p.i, p.size, w.item_id FROM places p
+        JOIN windows w ON len(w.passage) = p.size AND array_to_string(w.passage, ' ') = p.passage),
+    hit AS (
+        SELECT doc_id, count(DISTINCT place) AS n
+        FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id),
+    which AS (
+        SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(w.n, 0) AS n_items,
+       sha256(coalesce(w.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN which w ON w.doc_id = d.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_near_vectors": _VECTORS, "op2_near_copies": _COPIES, "op6_decontaminate": _LEAKS}
