@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.batches import longs, text_slices
 from lectern.llm.components import components
+from lectern.llm.vectors import add_up
 from lectern.llm.words import NOT_SPACE, hashed_words, mix, salted, shingles
 from lectern.plans.shared import saved
 
@@ -20,6 +21,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 5
 # Elements whose permutations are held at once.
 STEP_ELEMENTS = 1 << 16
+# Counters, as a power of two, of the sketch that orders shingles by rarity.
+SKETCH_BITS = 18
 # Members of a bucket that are compared with its head in one task, about.
 CHUNK = 256
 
@@ -111,7 +114,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK))
     member = pairs.join(heads, "a").select(F.col("a").alias("head"), chunk.alias("chunk"), F.col("b").alias("doc_id"))
     needed = member.unionByName(member.select("head", "chunk", F.col("head").alias("doc_id")).distinct())
-    texts = needed.join(docs.select("doc_id", "text"), "doc_id").select(
+    texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id").select(
         "head", "chunk", (F.col("doc_id") != F.col("head")).alias("later"), "doc_id", "text"
     )
     dealt = texts.repartition("head", "chunk").sortWithinPartitions("head", "chunk", "later", "doc_id")
@@ -120,18 +123,87 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    total = np.zeros(1 << SKETCH_BITS)
+    for batch in batches:
+        for data, starts, _, _ in text_slices(batch.column("text")):
+            _, _, words, first = hashed_words(data, starts, NOT_SPACE)
+            total += np.bincount(_slots(shingles(words, first, SHINGLE)[0]), minlength=len(total))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(["counts"]), longs([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())],
+        names=["key", "part", "vector"],
+    )
+
+
+def _slots(elements: np.ndarray) -> np.ndarray:
+    return (salted(elements, 303) >> U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _prefixes(counts, percent: int):
+    """Rarest shingles of each text: two sets that are similar enough share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, starts, low, high in text_slices(batch.column("text")):
+                _, _, words, first = hashed_words(data, starts, NOT_SPACE)
+                found, text = shingles(words, first, SHINGLE)
+                order = np.lexsort((found, counts.value[_slots(found)], text))
+                found, text = found[order], text[order]
+                size = np.bincount(text, minlength=high - low)
+                begin = np.cumsum(size) - size
+                length = size - (size * percent + 99) // 100 + 1
+                place = np.arange(len(found)) - begin[text]
+                keep = place < length[text]
+                mine = pa.array(text[keep] + low)
+                yield pa.RecordBatch.from_arrays(
+                    [longs(found[keep].view(np.int64)), batch.column("doc_id").take(mine), longs(size[text[keep]]), longs(place[keep]), batch.column("component").take(mine)],
+                    names=["element", "doc_id", "size", "place", "component"],
+                )
+
+    return run
+
+
+def remaining_pairs(texts: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of every two texts (``doc_id, text, component``) that could still be linked.
+
+    A prefix filter in one order of all shingles, rarest first by a sketch of fixed size:
+    the pairs are complete whatever the order, and passages that many texts share come
+    last in it, so they bring no pairs about. The smaller set of a pair needs a shorter
+    prefix; and at the first shared shingle of a linked pair, what follows in either set
+    still has to make up the intersection.
+    """
+    counts = add_up(texts.mapInArrow(_sketched, "key string, part bigint, vector binary")).first()
+    total = np.frombuffer(counts.vector) if counts else np.zeros(1 << SKETCH_BITS)
+    held = texts.sparkSession.sparkContext.broadcast(total)
+    schema = "element bigint, doc_id bigint, size bigint, place bigint, component bigint"
+    prefixes = saved(texts.mapInArrow(_prefixes(held, percent), schema), "prefixes")
+    mixed = prefixes.groupBy("element").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    mixed = prefixes.join(mixed.where("x < y").select("element"), "element")
+    needed = F.ceil(F.col("size") * (2 * percent) / F.lit(100 + percent))
+    p, q = mixed.where(F.col("place") <= F.col("size") - needed).alias("p"), mixed.alias("q")
+    smaller = F.struct("p.size", "p.doc_id") < F.struct("q.size", "q.doc_id")
+    fits = F.col("p.size") * 100 >= F.col("q.size") * percent
+    rest = F.least(F.col("p.size") - F.col("p.place"), F.col("q.size") - F.col("q.place"))
+    reach = rest * (100 + percent) >= (F.col("p.size") + F.col("q.size")) * percent
+    other = F.col("p.component") != F.col("q.component")
+    return p.join(q, (F.col("p.element") == F.col("q.element")) & smaller & other & fits & reach).select(
+        F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")
+    ).distinct()
+
+
 def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id bigint, text``.
 
     Sets are the distinct five-word shingles of the lower-cased whole text, the whole
     sequence if there are fewer words; equal sets form a class that its least id stands
     for. Class heads that share a band are candidates. The head of each bucket is compared
-    with every member first; whatever that leaves in different components is compared
-    pair by pair, except where the sets' distances to the bucket's head already rule a
-    link out (the Jaccard distance is a metric), so no candidate is given up and a group
-    of copies costs one comparison a member. Null, empty and blank texts have no shingle
-    and are linked with nothing. Rows repeated under an id share its links; a row without
-    an id has no component and is not kept.
+    with every member first, so a group of copies costs one comparison a member. Members
+    of one bucket that this leaves in different components are compared by an exact
+    prefix filter, so no candidate is given up and none is made of a shared passage alone.
+    Null, empty and blank texts have no shingle and are linked with nothing. Rows repeated
+    under an id share its links; a row without an id has no component and is not kept.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(
@@ -144,35 +216,21 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         *same, "one.doc_id", "one.bands"), "classes")
     marks = classes.select("doc_id", F.explode("bands").alias("band"))
     heads = marks.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    buckets = saved(marks.join(heads.select("band", "a"), "band"), "buckets")
+    buckets = saved(marks.join(heads.select("band", "a").hint("merge"), "band"), "buckets")
+    # The texts of candidates: the whole corpus moves once, by id.
+    some = buckets.select("doc_id").distinct()
+    texts = saved(docs.join(some.hint("merge"), "doc_id", "left_semi"), "candidates")
     linked = F.col("common") * 100 >= F.col("either") * percent
-    stars = saved(verify(docs, buckets.where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()), "stars")
-    links = stars.where(linked).select("a", "b")
-    first = saved(components(links), "component")
-
-    # What is left: members of one bucket in different components.
-    apart = (
-        buckets.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-        .join(stars.select("a", F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("either")).alias("far")), ["a", "doc_id"], "left")
-        .select("band", "a", "doc_id", "component", F.coalesce("far", F.lit(0.0)).alias("far"))
-    )
-    mixed = apart.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    apart = saved(apart.join(mixed, "band"), "apart")
-    left = apart.where("doc_id != a")
-    limit = 1 - percent / 100 + 1e-9
-    # The head's pairs are done; the others lie at most `limit` apart if their distances do.
-    slot = F.floor(F.col("far") / limit)
-    lower = left.select("band", "component", "far", F.col("doc_id").alias("p"), F.explode(F.array(slot, slot + 1, slot - 1)).alias("slot"))
-    upper = left.select("band", F.col("component").alias("other"), F.col("far").alias("far2"), F.col("doc_id").alias("q"), slot.alias("slot"))
-    pairs = (
-        lower.join(upper, ["band", "slot"])
-        .where((F.col("p") < F.col("q")) & (F.col("component") != F.col("other")) & (F.abs(F.col("far") - F.col("far2")) <= limit))
-        .select(F.col("p").alias("a"), F.col("q").alias("b"))
-        .distinct()
-    )
-    more = saved(verify(docs, pairs).where(linked).select("a", "b"), "links")
-    found = first
+    stars = verify(texts, buckets.where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct())
+    links = saved(stars.where(linked).select("a", "b"), "links")
+    found = saved(components(links), "component")
+
+    member = F.coalesce("component", "doc_id").alias("component")
+    apart = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", member)
+    mixed = apart.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    left = apart.join(mixed.select("band"), "band").select("doc_id", "component").distinct()
+    left = saved(texts.join(left.hint("merge"), "doc_id"), "apart")
+    more = saved(verify(left, remaining_pairs(left, percent)).where(linked).select("a", "b"), "links")
     if not more.isEmpty():
         found = saved(components(links.unionByName(more)), "component")
     class_of = classes.select(*same, F.col("doc_id").alias("node")).join(found, "node", "left").select(
