@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from plain import SF, docs_of, edge_rows, union_find, words
 
@@ -76,3 +78,23 @@ def test_components_of_paths_and_stars(spark):
     nodes = sorted({x for pair in links for x in pair if pair[0] != pair[1]})
     assert found == union_find([p for p in links if p[0] != p[1]], nodes)
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_remaining_pairs_are_complete(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(8, 40))] for _ in range(12)]
+    rows = []
+    for i in range(160):
+        text = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(len(text))] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(text[rng.randint(0, 3) if rng.random() < 0.3 else 0 :]), i))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, component bigint")
+    got = {tuple(r) for r in superminhash.remaining_pairs(table, 75).collect()}
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    want = {
+        (a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    }
+    assert want and want <= got
+    sizes = {(r.a, r.b): (r.common, r.either) for r in superminhash.verify(table, spark.createDataFrame(sorted(want), "a bigint, b bigint")).collect()}
+    assert sizes == {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in want}
