@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.llm.batches import annotate, longs, per_text, text_slices
 from lectern.llm.vectors import add_up
 from lectern.llm.words import NOT_SPACE, hashed_words
+from lectern.plans.shared import most_frequent, saved
 
 U = np.uint64
 # Output words, in classes of equal size: the most frequent words have a place of their
@@ -172,9 +173,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def start_network(counts: DataFrame, seed: int = 3) -> Network:
-    """Untrained network whose biases give the words' frequencies in all documents."""
+    """Untrained network whose biases give the words' frequencies in all documents.
+
+    ``counts`` is a saved table of all words; the driver gets the listed ones alone.
+    """
     own = VOCABULARY - SHARED
-    listed = counts.orderBy(F.desc("n"), "word").limit(own).collect()
+    listed = most_frequent(counts.withColumnRenamed("word", "token"), own, "listed-words")
+    listed = listed.orderBy(F.desc("n"), "token").withColumnRenamed("token", "word").collect()
     bucket = F.shiftrightunsigned("word", 40) % SHARED
     shared = {r.b: r.n for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
     words = np.array([r.word for r in listed], np.int64).view(U)
@@ -217,7 +222,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 2.0) -> Network:
     teach nothing. The layout of the rows has a small influence on the weights.
     """
     docs = docs.select("doc_id", "text")
-    net = start_network(word_counts(docs))
+    net = start_network(saved(word_counts(docs), "word-counts"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
     for number in range(rounds):
         held = docs.sparkSession.sparkContext.broadcast(net)
