@@ -162,7 +162,7 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int], buckets: int = 256) ->
 
     hexed = F.hex(F.encode("word", "UTF-8"))
     letters = F.transform(
-        F.sequence(F.lit(0), F.length(hexed) / 2 - 1), lambda i: F.lower(F.substring(hexed, i * 2 + 1, F.lit(2)))
+        F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int")), lambda i: F.lower(F.substring(hexed, i * 2 + 1, F.lit(2)))
     )
 
     def step(pieces, _):
