@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.batches import annotate, per_text, text_slices
+from lectern.llm.sample import least_hashes
 from lectern.llm.words import LOWER, NOT_SPACE, hashed_words
 
 # Labelled documents that the field is fitted on at most.
@@ -196,8 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> F
     label, null labels are left out. Whole texts of the sample are read. The last fifth of
     them calibrates the score.
     """
-    one = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    labels = labels.where("label IS NOT NULL AND doc_id IS NOT NULL")
+    one = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = least_hashes(one, "doc_id", sample_docs, labels.count())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

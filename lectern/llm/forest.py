@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.batches import longs
 from lectern.llm.components import components
+from lectern.llm.sample import least_hashes
 from lectern.plans.shared import saved
 
 COSINE = 0.9
@@ -189,10 +190,10 @@ def usable(vector: Column) -> Column:
 
 
 def fit(classes: DataFrame, trees: int, sample_rows: int, leaf_rows: int, spill: float, seed: int) -> dict[int, list[Tree]]:
-    """Upper splits for each dimension from the vectors with the least hashes of their ids."""
+    """Upper splits for each dimension from at most ``sample_rows`` vectors."""
     sizes = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
-    sample = classes.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample_rows).select("dim", "embedding").collect()
+    sample = least_hashes(classes.select("vec_id", "dim", "embedding"), "vec_id", sample_rows, total, seed).collect()
     out = {}
     for dim, n in sizes.items():
         mine = np.array([r.embedding for r in sample if r.dim == dim], np.float64).reshape(-1, dim)
