@@ -5,7 +5,8 @@ import pyarrow as pa
 from plain import docs_of, edge_rows
 from pyspark.sql import functions as F
 
-from lectern.llm import boost, crf, langid, pseudo, queries
+from lectern.llm import boost, crf, langid, pseudo, queries, sample
+from lectern.plans.shared import saved
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -96,7 +97,7 @@ def test_marginals_equal_enumeration():
 
 def test_network_learns_and_scores_whole_texts(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
-    start = pseudo.start_network(pseudo.word_counts(docs))
+    start = pseudo.start_network(saved(pseudo.word_counts(docs), "counts"))
     trained = pseudo.fit(docs)
     mean = lambda net: pseudo.score(docs, net).agg(F.sum("lm.log_prob") / F.sum("lm.n_tokens")).first()[0]
     assert mean(trained) > mean(start) + 0.05
@@ -137,6 +138,14 @@ def test_network_edges(spark):
     assert pseudo.score(none, pseudo.fit(none)).count() == 0
 
 
+def test_samples_are_bounded_and_stable(spark):
+    table = spark.range(20_000).withColumnRenamed("id", "k")
+    ids = [r.k for r in sample.least_hashes(table, "k", 500, 20_000).collect()]
+    assert len(set(ids)) == 500
+    assert ids == [r.k for r in sample.least_hashes(table.repartition(7), "k", 500, 20_000).collect()]
+    assert sample.least_hashes(table, "k", 30_000, 20_000).count() == 20_000
+
+
 def test_trees_fit_an_exclusive_or():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
