@@ -1,8 +1,8 @@
 """Removal of byte strings that occur before, by sorting one bucket of suffixes at a time.
 
 Only the first ``SIZE`` bytes of a suffix matter. Suffixes are dealt into buckets by the
-least hash among their 8-byte substrings, so equal ones meet and neighbours travel
-together: a bucket receives short runs of text instead of one record for each position.
+least hash among their 8-byte substrings, rare ones first, so equal ones meet and
+neighbours travel together: a bucket receives short runs of text instead of one record for each position.
 A bucket is sorted by a prefix of its suffixes; ties are resolved by ranks of a
 difference-cover sample of its positions, never by comparing long strings.
 """
@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.batches import longs, text_slices
+from lectern.llm.vectors import add_up
 from lectern.llm.words import mix, prefix_sums, span_hashes
 from lectern.plans.shared import saved
 
 U = np.uint64
 SIZE = 100
 GRAM = 8
+# Counters of substrings, as a power of two; one is hot beyond this multiple of the mean.
+GRAM_BITS, HOT = 18, 8
 # Text of one bucket, about; its runs are some three times as long.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 # Runs that a task gathers before it hands them on, in bytes.
 HELD_BYTES = 24 << 20
 # A longer text is worked on in pieces that overlap by ``SIZE - 1`` bytes.
@@ -32,6 +35,8 @@ PIECE = 1 << 20
 PERIOD, COVER = 7, (0, 1, 3)
 # Prefix that suffixes are first sorted by.
 PREFIX = 32
+# Windows whose prefixes are hashed at once.
+STEP = 1 << 18
 
 _BYTE = (np.arange(256, dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)
 
@@ -51,9 +56,11 @@ def gram_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """For each window of ``size`` bytes the least hash of its 8-byte substrings."""
+def least_hashes(data: np.ndarray, size: int, hot: np.ndarray) -> np.ndarray:
+    """For each window of ``size`` bytes the least hash of its 8-byte substrings; frequent
+    substrings come after all others."""
     least, width, wanted = mix(grams(data)), 1, size - GRAM + 1
+    least = least >> U(1) | hot[least >> U(64 - GRAM_BITS)].astype(U) << U(63)
     while 2 * width <= wanted:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -61,12 +68,39 @@ def least_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def runs_of(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+def frequent_grams(docs: DataFrame) -> np.ndarray:
+    """Which of the hash slots of 8-byte substrings hold far more of all texts than others.
+
+    A line that a large share of the documents have fills slots by itself; suffixes that
+    meet it are then dealt by what surrounds it, instead of into a few large buckets. The
+    counters are of fixed size, and added up on the executors.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(1 << GRAM_BITS)
+        for batch in batches:
+            for data, _, _, _ in text_slices(batch.column("text"), PIECE):
+                for low in range(0, max(len(data) - GRAM + 1, 0), PIECE):
+                    slots = mix(grams(data[low : low + PIECE + GRAM - 1])) >> U(64 - GRAM_BITS)
+                    total += np.bincount(slots.astype(np.int64), minlength=len(total))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["grams"]), longs([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())],
+            names=["key", "part", "vector"],
+        )
+
+    found = add_up(docs.select("text").mapInArrow(count, "key string, part bigint, vector binary")).first()
+    total = np.frombuffer(found.vector) if found else np.zeros(1 << GRAM_BITS)
+    return total > HOT * max(total.mean(), 1)
+
+
+def runs_of(data: np.ndarray, starts: np.ndarray, size: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """``first window, number of windows, least hash`` of maximal runs with one least hash."""
     if len(data) < size:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, U)
-    least = least_hashes(data, size)
+    least = least_hashes(data, size, hot)
     inside = np.ones(len(least), bool)
     # Windows that would cross the end of a text.
     marks = np.zeros(len(least) + 1, np.int64)
@@ -86,11 +120,11 @@ def runs_of(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray
     return first, stop - first, least[first]
 
 
-def _gathered(size: int, buckets: int):
+def _gathered(size: int, buckets: int, hot):
     """Texts to ``bucket, doc, start, windows, known, body`` rows (columns packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, weight = [], 0
+        held, weight, frequent = [], 0, hot.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for data, starts, low, high in text_slices(batch.column("text"), PIECE):
@@ -100,7 +134,7 @@ def _gathered(size: int, buckets: int):
                     # Only a slice of one long text has more than one piece.
                     piece = data[base : base + PIECE + size - 1]
                     edges = starts if len(starts) > 2 else np.array([0, len(piece)])
-                    first, count, least = runs_of(piece, edges, size)
+                    first, count, least = runs_of(piece, edges, size, frequent)
                     text = np.searchsorted(edges, first, "right") - 1
                     sums = prefix_sums(_BYTE[piece])
                     code = mix(span_hashes(sums, first, first + count + size - 1) + count.astype(U))
@@ -162,12 +196,23 @@ def _packed(held) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=names)
 
 
+def prefix_hashes(body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the first bytes of each window; ``at`` is increasing."""
+    out = np.empty(len(at), U)
+    for low in range(0, len(at), STEP):
+        mine = at[low : low + STEP]
+        first = mine[0]
+        sums = prefix_sums(_BYTE[body[first : mine[-1] + length]])
+        out[low : low + STEP] = span_hashes(sums, mine - first, mine - first + length)
+    return out
+
+
 def later_windows(body: np.ndarray, at: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
-    """Which windows (places ``at`` in ``body``) equal one of a lower ``order``."""
+    """Which windows (increasing places ``at`` in ``body``) equal one of a lower ``order``."""
     flagged = np.zeros(len(at), bool)
     if len(at) < 2:
         return flagged
-    prefix = span_hashes(prefix_sums(_BYTE[body]), at, at + PREFIX)
+    prefix = prefix_hashes(body, at, min(PREFIX, size))
     by = np.argsort(prefix)
     same = prefix[by][1:] == prefix[by][:-1]
     tied = np.zeros(len(at), bool)
@@ -176,7 +221,6 @@ def later_windows(body: np.ndarray, at: np.ndarray, order: np.ndarray, size: int
     which = np.flatnonzero(tied)
     if not len(which):
         return flagged
-    which = which[np.argsort(order[which], kind="stable")]
     place, rank_of = at[which], order[which]
     ranks = cover_ranks(body, place, size)
     ends = gram_at(body, place) ^ mix(gram_at(body, place + size - GRAM))
@@ -188,11 +232,11 @@ def later_windows(body: np.ndarray, at: np.ndarray, order: np.ndarray, size: int
         if not len(mine):
             continue
         key = mix(ends[mine] + mix(ranks[place[mine] + shift].astype(U) + U(1)))
-        by = np.argsort(key, kind="stable")
-        sorted_key = key[by]
-        edge = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
-        least = np.repeat(rank_of[mine[by[edge]]], np.diff(np.r_[edge, len(by)]))
-        late[mine[by]] |= rank_of[mine[by]] > least
+        by = np.argsort(key)
+        key, numbers = key[by], rank_of[mine[by]]
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        least = np.repeat(np.minimum.reduceat(numbers, edge), np.diff(np.r_[edge, len(by)]))
+        late[mine[by]] |= numbers > least
     flagged[which[late]] = True
     return flagged
 
@@ -315,7 +359,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, bucket_bytes: int = BUCKET
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     packed = "bucket bigint, doc binary, start binary, count binary, known binary, body binary"
-    dealt = docs.where("doc_id IS NOT NULL").mapInArrow(_gathered(size, buckets), packed)
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs))
+    dealt = docs.where("doc_id IS NOT NULL").mapInArrow(_gathered(size, buckets, hot), packed)
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
     runs = saved(dealt.mapInArrow(_bucketwise(size), "doc_id bigint, start bigint, windows bigint"), "repeats")
     by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("found"))

@@ -52,8 +52,10 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 
 def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """Running sums of the codes' terms; ``codes`` is overwritten."""
     sums = np.zeros(len(codes) + 1, U)
-    np.cumsum(codes * _power("base", _BASE, len(codes)), out=sums[1:])
+    codes *= _power("base", _BASE, len(codes))
+    np.cumsum(codes, out=sums[1:])
     return sums
 
 
