@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 from plain import SF, docs_of, edge_rows
 
@@ -62,7 +64,8 @@ def test_long_texts_are_worked_on_in_pieces(spark, monkeypatch):
     for rows in ([(1, text), (2, text[700:1900] + "é" + text[:400])], [(5, text[:150] + text), (4, text[2000:])]):
         body = [(i, t.encode()) for i, t in rows]
         table = __import__("pyarrow").RecordBatch.from_pydict({"doc_id": [i for i, _ in body], "text": [t for _, t in rows]})
-        packed = [b for b in repeats._gathered(100, 3)(iter([table]))]
+        hot = SimpleNamespace(value=np.arange(1 << repeats.GRAM_BITS) % 3 == 0)
+        packed = [b for b in repeats._gathered(100, 3, hot)(iter([table]))]
         by_bucket = __import__("pyarrow").Table.from_batches(packed).sort_by("bucket").combine_chunks().to_batches()
         got = {i: set() for i, _ in body}
         for batch in repeats._bucketwise(100)(iter(by_bucket)):
