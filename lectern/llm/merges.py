@@ -1,5 +1,8 @@
 """Byte-pair merges of many words at once on ragged arrays."""
 
+from array import array
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 
 NEVER = np.int64(1 << 40)
@@ -14,6 +17,20 @@ class PairTable:
         self.key = key[order]
         self.rank = np.asarray(rank, np.int64)[order]
         self.result = np.asarray(result, np.int64)[order]
+        # Whether a rank's result takes part in a pair of lower rank, which then comes first.
+        parts = np.r_[self.key >> 32, self.key & 0xFFFFFFFF]
+        least = np.full(max(parts.max(initial=0), self.result.max(initial=0)) + 1, NEVER)
+        np.minimum.at(least, parts, np.tile(self.rank, 2))
+        self.single = np.zeros(self.rank.max(initial=0) + 1, bool)
+        self.single[self.rank] = least[self.result] <= self.rank
+        self._pairs = None
+
+    @property
+    def pairs(self) -> dict[int, int]:
+        """Rank and result in one number by the pair's key; built for the first long word."""
+        if self._pairs is None:
+            self._pairs = dict(zip(self.key.tolist(), (self.rank << 32 | self.result).tolist()))
+        return self._pairs
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.key):
@@ -24,21 +41,30 @@ class PairTable:
         return np.where(known, self.rank[at], NEVER), np.where(known, self.result[at], 0)
 
 
-# A longer word merges every pair that is lower than its neighbours in one round: those
-# pairs cannot affect each other, as a pair made by a merge ranks after that merge.
+# A longer word is merged by itself with a heap: its rounds would be about as many as its
+# letters, each over all of them. The results are the same.
 LONG_WORD = 256
 
 
 def merge(symbols: np.ndarray, sizes: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
-    """Merge each sequence to the end: its lowest-rank pair, all sequences at once.
+    """Merge each sequence to the end: always its lowest-rank pair, the leftmost of equals.
 
+    Sequences up to ``LONG_WORD`` are merged all at once, longer ones one by one.
     ``symbols`` holds the sequences one after another, ``sizes`` their lengths (1 or
     more). Returns the surviving symbols and their number for each sequence.
     """
     symbols = np.asarray(symbols, np.int64).copy()
+    sizes = np.asarray(sizes)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    long_row = np.asarray(sizes) > LONG_WORD
     done_symbols, done_rows = [], []
+    ends = np.cumsum(sizes)
+    long_rows = np.flatnonzero(sizes > LONG_WORD)
+    for r in long_rows.tolist():
+        done_symbols.append(_merge_long(symbols[ends[r] - sizes[r] : ends[r]], table))
+        done_rows.append(np.full(len(done_symbols[-1]), r))
+    if len(long_rows):
+        short = sizes[row] <= LONG_WORD
+        symbols, row = symbols[short], row[short]
     rank, result = _pairs(symbols, row, table)
     while len(symbols):
         edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -51,10 +77,11 @@ def merge(symbols: np.ndarray, sizes: np.ndarray, table: PairTable) -> tuple[np.
             symbols, row, rank, result = symbols[live], row[live], rank[live], result[live]
             continue
         chosen = rank == np.repeat(lowest, each)
-        if long_row[row].any():
-            before = np.r_[NEVER, rank[:-1]]
-            after = np.r_[rank[1:], NEVER]
-            chosen |= long_row[row] & (rank < NEVER) & (rank <= before) & (rank <= after)
+        single = table.single[lowest]
+        if single.any():
+            # These ranks merge one pair a round, as it may make a pair that comes first.
+            place = np.flatnonzero(chosen & np.repeat(single, each))
+            chosen[place[1:][row[place[1:]] == row[place[:-1]]]] = False
         # Of touching pairs take every other one, from the left.
         place = np.flatnonzero(chosen)
         run = np.cumsum(np.r_[True, np.diff(place) > 1]) - 1
@@ -81,6 +108,49 @@ def merge(symbols: np.ndarray, sizes: np.ndarray, table: PairTable) -> tuple[np.
     return symbols[order], np.bincount(row, minlength=len(sizes))
 
 
+def _merge_long(symbols: np.ndarray, table: PairTable) -> np.ndarray:
+    """One sequence: a heap of (rank, place) over linked neighbours."""
+    n = len(symbols)
+    rank, _ = table.find(symbols[:-1], symbols[1:])
+    known = np.flatnonzero(rank < NEVER)
+    heap = (rank[known] << 32 | known).tolist()
+    heapify(heap)
+    # Rank of the pair that starts at each place now; an entry of another rank is stale.
+    now = array("q", rank.tobytes())
+    now.append(-1)
+    held = array("q", symbols.tobytes())
+    after = array("q", range(1, n + 1))
+    before = array("q", range(-1, n - 1))
+    pairs = table.pairs
+
+    def renew(at, left, right):
+        pair = pairs.get(left << 32 | right)
+        if pair is None:
+            now[at] = -1
+        else:
+            now[at] = new = pair >> 32
+            heappush(heap, new << 32 | at)
+
+    while heap:
+        entry = heappop(heap)
+        at = entry & 0xFFFFFFFF
+        if now[at] != entry >> 32:
+            continue
+        gone = after[at]
+        made = pairs[held[at] << 32 | held[gone]] & 0xFFFFFFFF
+        held[at], held[gone], now[gone] = made, -1, -1
+        right = after[at] = after[gone]
+        if right < n:
+            before[right] = at
+            renew(at, made, held[right])
+        else:
+            now[at] = -1
+        if (left := before[at]) >= 0:
+            renew(left, held[left], made)
+    found = np.frombuffer(held, np.int64)
+    return found[found >= 0]
+
+
 def _pairs(symbols, row, table):
     rank = np.full(len(symbols), NEVER)
     result = np.zeros(len(symbols), np.int64)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -8,6 +9,7 @@ from plain import SF, docs_of, edge_rows
 from tokenizers import Tokenizer
 
 from lectern.llm import byte_bpe, token_counts
+from lectern.llm.merges import PairTable, merge
 from lectern.llm.queries import BYTE_RANKS, WORD_BPE
 
 ODD = [
@@ -77,3 +79,36 @@ def test_fold_by_higher_order_functions(spark):
         assert r.ids == bpe.encode([r.word])[0].tolist()
         if " " not in r.word:
             assert r.ids == plain.encode_ordinary(r.word)
+
+
+def test_long_words(library):
+    rng = random.Random(8)
+    text = " ".join(line for line in open(byte_bpe.__file__, encoding="utf-8"))
+    known = [w for w in text.split() if w.isalpha()]
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (300, 400, 1000, 5000) for _ in range(8)]
+    words += ["".join(rng.choice(known) for _ in range(n // 4)) for n in (300, 400, 1000, 5000) for _ in range(8)]
+    words += ["".join(rng.choice("ab") for _ in range(n)) for n in (200, 256, 257, 700)]
+    published = Tokenizer.from_file(WORD_BPE)
+    counter = token_counts.WordBpe(WORD_BPE)
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(BYTE_RANKS), public_tokenizers.PATTERN)
+    for word in words:
+        assert bpe.encode([word])[0].tolist() == library.encode_ordinary(word)
+        assert counter.count([word]) == [len(published.encode(word, add_special_tokens=False).ids)]
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_lowest_rank_first(times):
+    """A pair made by a merge may rank before a neighbour's, in words of any length."""
+    w, x, a, b, q, wx, wxa, ab, xa = range(9)
+    table = PairTable([w, wx, a, x], [x, a, b, a], [1, 3, 5, 10], [wx, wxa, ab, xa])
+    symbols, counts = merge(np.tile([w, x, a, b, q], times), np.array([5 * times]), table)
+    assert symbols.tolist() == [wxa, b, q] * times and counts.tolist() == [3 * times]
+
+
+@pytest.mark.parametrize("pad", [0, 300])
+def test_one_of_equal_pairs_first(pad):
+    """Merging one of two equal pairs may make a pair that takes the other's letter."""
+    a, b, q, ab, aba = range(5)
+    table = PairTable([a, ab], [b, a], [5, 2], [ab, aba])
+    symbols, _ = merge(np.array([a, b, a, b] + [q] * pad), np.array([4 + pad]), table)
+    assert symbols.tolist() == [aba, b] + [q] * pad
