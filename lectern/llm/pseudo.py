@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from lectern.llm.batches import annotate, longs, per_text, text_slices
 from lectern.llm.vectors import add_up
 from lectern.llm.words import NOT_SPACE, hashed_words
-from lectern.plans.shared import most_frequent, saved
+from lectern.plans.shared import BROADCAST_BYTES, most_frequent, saved
 
 U = np.uint64
 # Output words, in classes of equal size: the most frequent words have a place of their
-# own, the others share hashed places.
+# own, the others share hashed places. A word's probability is that of its place times its
+# share of the place, which the counts of all words give.
 CLASSES, IN_CLASS = 64, 64
 VOCABULARY = CLASSES * IN_CLASS
 SHARED = 1024
@@ -29,7 +30,11 @@ ROUNDS = 2
 
 @dataclass(frozen=True)
 class Network:
-    """Window network: embeddings, one hidden layer, classes, words within each class."""
+    """Window network: embeddings, one hidden layer, classes, words within each class.
+
+    ``counts`` is the saved table of all words, which grows with the documents and stays
+    off the driver; ``slots`` has occurrences and distinct words of each shared place.
+    """
 
     words: np.ndarray
     places: np.ndarray
@@ -40,6 +45,8 @@ class Network:
     class_bias: np.ndarray
     to_word: np.ndarray
     word_bias: np.ndarray
+    slots: np.ndarray | None = None
+    counts: DataFrame | None = None
 
     PARTS = ("embed", "inner", "inner_bias", "to_class", "class_bias", "to_word", "word_bias")
 
@@ -61,6 +68,22 @@ class Network:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.places[at], shared.astype(np.int64))
 
+    def without_counts(self) -> "Network":
+        """What tasks are sent."""
+        return replace(self, counts=None)
+
+    def log_shares(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log share that words seen ``n`` times have of their places; 0 of their own.
+
+        One is added to every count, so that all unseen words of a place have one share.
+        """
+        out = np.zeros(len(ids))
+        if self.slots is not None:
+            shared = ids >= VOCABULARY - SHARED
+            total, distinct = self.slots[ids[shared] - (VOCABULARY - SHARED)].T
+            out[shared] = np.log((n[shared] + 1) / (total + distinct + 1))
+        return out
+
 
 def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Ids around each word; a place outside its text is padding."""
@@ -181,14 +204,16 @@ def start_network(counts: DataFrame, seed: int = 3) -> Network:
     listed = most_frequent(counts.withColumnRenamed("word", "token"), own, "listed-words")
     listed = listed.orderBy(F.desc("n"), "token").withColumnRenamed("token", "word").collect()
     bucket = F.shiftrightunsigned("word", 40) % SHARED
-    shared = {r.b: r.n for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}
+    shared = counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).collect()
+    slots = np.zeros((SHARED, 2))
+    for r in shared:
+        slots[r.b] = r.n, r.m
     words = np.array([r.word for r in listed], np.int64).view(U)
     n = np.ones(VOCABULARY)
     n[: len(listed)] += [r.n for r in listed]
-    for b, m in shared.items():
-        n[own + b] += m
     for r in listed:
-        n[own + (int(r.word) % (1 << 64) >> 40) % SHARED] -= r.n
+        slots[(int(r.word) % (1 << 64) >> 40) % SHARED] -= r.n, 1
+    n[own:] += slots[:, 0]
     table = np.maximum(n, 1).reshape(CLASSES, IN_CLASS)
     order = np.argsort(words)
     rng = np.random.default_rng(seed)
@@ -203,6 +228,8 @@ def start_network(counts: DataFrame, seed: int = 3) -> Network:
         np.log(table.sum(1) / table.sum()).astype(np.float32),
         np.zeros((CLASSES, HIDDEN, IN_CLASS), np.float32),
         np.log(table / table.sum(1, keepdims=True)).astype(np.float32),
+        slots,
+        counts,
     )
 
 
@@ -210,7 +237,7 @@ def _windows(texts, net):
     for data, starts, low, high in text_slices(texts):
         _, _, hashes, first = hashed_words(data, starts, NOT_SPACE)
         ids = net.ids(hashes)
-        yield ids, first, contexts(ids, first)
+        yield ids, first, contexts(ids, first), hashes
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 2.0) -> Network:
@@ -218,14 +245,15 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 2.0) -> Network:
 
     Tasks train copies of the network on their own rows; the copies are averaged by the
     number of words seen, on the executors, and the next round goes on from the mean. The
-    network's size is fixed, so the driver only ever holds one sum. Rows without text
+    network's size is fixed, so the driver only ever holds one sum; the counts of all words
+    are a table that the network refers to. Rows without text
     teach nothing. The layout of the rows has a small influence on the weights.
     """
     docs = docs.select("doc_id", "text")
     net = start_network(saved(word_counts(docs), "word-counts"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
     for number in range(rounds):
-        held = docs.sparkSession.sparkContext.broadcast(net)
+        held = docs.sparkSession.sparkContext.broadcast(net.without_counts())
 
         def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -233,7 +261,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 2.0) -> Network:
             mine = held.value.with_vector(held.value.vector())
             seen = 0
             for batch in batches:
-                for ids, _, around in _windows(batch.column(0), mine):
+                for ids, _, around, _ in _windows(batch.column(0), mine):
                     train(mine, around, ids, rate)
                     seen += len(ids)
             if seen:
@@ -251,29 +279,85 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 2.0) -> Network:
     return net
 
 
-def score(docs: DataFrame, net: Network, name: str = "lm") -> DataFrame:
+def score(docs: DataFrame, net: Network, name: str = "lm", held_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with ``name``: struct of ``n_tokens``, ``log_prob`` (the sum of conditional
     log probabilities) and ``mean_log_prob``.
 
-    Null and empty texts have no words, a sum of 0 and a null mean. Whole texts are read;
-    rows and other columns pass unchanged, an older column ``name`` is replaced.
+    A word without a place of its own has its share of the shared place. The counts of the
+    most frequent words, as many as ``held_bytes`` hold, are broadcast; the rarer words of
+    the documents are joined with the table of counts by a shuffle. Null and empty texts
+    have no words, a sum of 0 and a null mean. Whole texts are read; rows and other columns
+    pass unchanged, an older column ``name`` is replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(net)
+    spark = docs.sparkSession
+    words, n, whole = np.zeros(0, U), np.zeros(0), True
+    if net.counts is not None:
+        size = max(held_bytes // 16, VOCABULARY - SHARED)
+        whole = net.counts.count() <= size
+        listed = net.counts if whole else most_frequent(net.counts.withColumnRenamed("word", "token"), size, "held-words")
+        table = listed.toDF("word", "n").toArrow()
+        words, n = (table.column(c).to_numpy() for c in ("word", "n"))
+        order = np.argsort(words.view(U))
+        words, n = words.view(U)[order], n[order].astype(np.float64)
+    held = spark.sparkContext.broadcast((net.without_counts(), words, n))
 
     def start():
-        learned = held.value
+        learned, words, counts = held.value
 
         def work(texts):
-            n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for ids, first, around in _windows(texts, learned):
+            n, total, rest, rests = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for ids, first, around, hashes in _windows(texts, learned):
                 logp = log_probabilities(learned, around, ids)
+                rare = np.flatnonzero(ids >= VOCABULARY - SHARED)
+                seen, known = _counts_of(hashes[rare], words, counts)
+                use = known | whole
+                logp[rare[use]] += learned.log_shares(ids[rare[use]], seen[use])
                 size = np.diff(first)
+                text = np.repeat(np.arange(len(size)), size)
                 n.append(size)
-                total.append(np.bincount(np.repeat(np.arange(len(size)), size), logp, len(size)))
+                total.append(np.bincount(text, logp, len(size)))
+                rest.append(hashes[rare[~use]].view(np.int64))
+                rests.append(np.bincount(text[rare[~use]], minlength=len(size)))
             n, total = np.concatenate(n), np.concatenate(total)
-            mean = total / np.maximum(n, 1)
-            return {"n_tokens": longs(n), "log_prob": pa.array(total), "mean_log_prob": pa.array(mean, mask=n == 0)}
+            places = np.r_[0, np.cumsum(np.concatenate(rests))].astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(places), longs(np.concatenate(rest)))
+            return {"n_tokens": longs(n), "log_prob": pa.array(total), "tail": tail}
 
         return work
 
-    return annotate(docs, name, per_text(start, "struct<n_tokens:bigint,log_prob:double,mean_log_prob:double>"))
+    run = per_text(start, "struct<n_tokens:bigint,log_prob:double,tail:array<bigint>>")
+    result = lambda n, total: F.struct(
+        n.alias("n_tokens"), total.alias("log_prob"), F.when(n > 0, total / n).alias("mean_log_prob")
+    )
+    if whole:
+        found = annotate(docs, name, run)
+        return found.withColumn(name, result(F.col(f"{name}.n_tokens"), F.col(f"{name}.log_prob")))
+    key, digest, part = "lm__id", "lm__digest", "lm__scored"
+    # Rows of one id and text have one score.
+    texts = docs.select(F.col("doc_id").alias(key), F.xxhash64("text").alias(digest), "text")
+    scored = annotate(texts, part, run).select(key, digest, f"{part}.*").dropDuplicates([key, digest])
+    scored = saved(scored, "scored")
+    slot = F.shiftrightunsigned("word", 40) % SHARED
+    slots = spark.createDataFrame([(b, float(t + m)) for b, (t, m) in enumerate(net.slots.tolist())], "slot bigint, size double")
+    share = F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("size") + 1))
+    tail = scored.select(key, digest, F.explode("tail").alias("word")).groupBy(key, digest, "word").agg(F.count(F.lit(1)).alias("times"))
+    shares = tail.join(net.counts, "word", "left").withColumn("slot", slot).join(F.broadcast(slots), "slot")
+    sums = shares.groupBy(key, digest).agg(F.sum(F.col("times") * share).alias("more"))
+    a, b = scored.drop("tail"), sums.toDF("more__id", "more__digest", "more")
+    both = a.join(b, a[key].eqNullSafe(b["more__id"]) & (a[digest] == b["more__digest"]), "left")
+    both = both.select(
+        F.col(key).alias("of__id"), F.col(digest).alias("of__digest"),
+        result(F.col("n_tokens"), F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias(part),
+    )
+    rows = docs.withColumn(digest, F.xxhash64("text"))
+    rows = rows.join(both, rows["doc_id"].eqNullSafe(both["of__id"]) & (rows[digest] == both["of__digest"]), "left")
+    return rows.withColumn(name, F.col(part)).drop(digest, part, "of__id", "of__digest")
+
+
+def _counts_of(hashes, words, counts):
+    """Counts of words from a sorted list, and whether they are in it."""
+    if not len(words):
+        return np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    known = words[at] == hashes
+    return np.where(known, counts[at], 0.0), known

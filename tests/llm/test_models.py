@@ -138,6 +138,27 @@ def test_network_edges(spark):
     assert pseudo.score(none, pseudo.fit(none)).count() == 0
 
 
+def test_words_of_shared_places_have_their_share(spark):
+    common = " ".join(f"c{i} " * 9 for i in range(pseudo.VOCABULARY - pseudo.SHARED))
+    rare = [f"r{i}" for i in range(9000)]
+    rows = [(1, common), (2, " ".join(rare)), (3, "r5 r5"), (3, "r5 r5"), (None, "r6 c1"), (None, "r6 c1"), (None, "r7"), (4, None)]
+    net = pseudo.start_network(saved(pseudo.word_counts(docs_of(spark, rows)), "counts"))
+    assert net.slots[:, 1].sum() == 9000 and net.slots[:, 0].sum() == 9000 + 4 + 3
+    every = np.repeat(np.arange(pseudo.SHARED) + pseudo.VOCABULARY - pseudo.SHARED, 2)
+    one, unseen = net.log_shares(every, np.tile([1.0, 0.0], pseudo.SHARED)).reshape(-1, 2).T
+    assert np.all(unseen < one) and np.all(np.exp(unseen) < 0.5)
+    asked = rows + [(10 + i, f"{w} {w}") for i, w in enumerate(["r5", "r8", "never-seen", "c1"])]
+    held = pseudo.score(docs_of(spark, asked), net).select("doc_id", "text", "lm.*").collect()
+    tail = pseudo.score(docs_of(spark, asked), net, held_bytes=0).select("doc_id", "text", "lm.*").collect()
+    order = lambda found: sorted((str(r.doc_id), str(r.text), r.n_tokens, r.mean_log_prob or 0) for r in found)
+    assert len(held) == len(tail) == len(asked)
+    for a, b in zip(order(held), order(tail)):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9
+    base = lambda w: np.exp([r.mean_log_prob for r in held if r.text == f"{w} {w}"][0])
+    # 9,000 words share 1,024 places: a single word has far less than its place.
+    assert base("never-seen") < base("r8") < base("c1") / 3
+
+
 def test_samples_are_bounded_and_stable(spark):
     table = spark.range(20_000).withColumnRenamed("id", "k")
     ids = [r.k for r in sample.least_hashes(table, "k", 500, 20_000).collect()]
