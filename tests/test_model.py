@@ -167,6 +167,19 @@ def test_linear_model_learns_and_reloads(corpus, pairs, tmp_path):
     assert again.exceptAll(got).count() == 0
 
 
+def test_linear_model_keeps_every_word(corpus):
+    n = (1 << 17) + 1000
+    text = ["".join(f"{c}{i} " for i in range(n)) for c in "ab"]
+    df = corpus([(0, text[0]), (0, text[0]), (1, text[1]), (1, text[1])])
+    weights = profile.class_weights(df)
+    model = linear.fit_linear(df, weights, max_iter=3)
+    assert len(model.stages[0].vocabulary) == 2 * n
+    held_out = corpus([(k % 2, f"{'ab'[k % 2]}{i}") for k, i in enumerate(range(0, n, 5000))])
+    assert linear.predict_linear(held_out, model).where("label <> prediction").count() == 0
+    with pytest.raises(ValueError, match="words for 256 features"):
+        linear.fit_linear(df, weights, n_features=256)
+
+
 def test_predict(corpus, pairs):
     scored = bayes.score(corpus(pairs), bayes.scores_of(bayes.fit_counts(corpus(pairs))))
     got = {r.doc_id: r.prediction for r in evaluate.predict(scored).collect()}
