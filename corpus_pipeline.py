@@ -35,12 +35,38 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near copies."""
+    """Keep one row of each group of near copies: that of the least id.
+
+    A row without an id is a document of its own and gives way to any row with one. Rows
+    repeated under an id with one text are one group, also without words; texts without
+    words are no copies otherwise. Rows of one id with different texts are compared as well.
+    """
+    rows, ids, different = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if not rows == ids == different:
+        return _one_row_of_each(docs)
     found = superminhash.near_copies(docs.select("doc_id", "text"))
     copies = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
     return join_ids(docs, saved(copies, "copies"), "left_anti").select(*docs.columns)
 
 
+def _one_row_of_each(docs: DataFrame) -> DataFrame:
+    """``drop_near_copies`` where ids are missing or repeated, by a written row number."""
+    row = free_name(docs, "row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = superminhash.near_copies(rows.select(F.col(row).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias(row), "n_shingles", "component_id")
+    marked = rows.select(row, "doc_id", F.xxhash64("text").alias("digest")).join(saved(found, "row-copies"), row)
+    blank = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = [
+        F.when(~blank, F.col("component_id")).alias("component"),
+        F.when(blank, F.col("doc_id")).alias("id"),
+        F.when(blank, F.col("digest")).alias("blank"),
+    ]
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("least")
+    stay = saved(marked.groupBy(*group).agg(least).select(F.col("least.row").alias(row)), "kept-rows")
+    return join_ids(rows, stay, "left_semi", row).select(*docs.columns)
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents without a benchmark passage."""
     name = free_name(docs, "leak")

@@ -66,6 +66,17 @@ def test_each_stage_against_a_plain_version(spark):
         assert r.token_ids == library.encode_ordinary(r.text) and r.n_tokens == len(r.token_ids) and r.round_trip
 
 
+def test_one_row_of_each_group_of_copies(spark):
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(7, text[0]), (3, text[0]), (3, text[0]), (None, text[0])]
+    rows += [(None, text[1]), (None, text[1]), (None, text[1] + " more")]
+    rows += [(9, text[2]), (9, text[2]), (12, ""), (12, ""), (13, ""), (None, None), (None, "")]
+    rows += [(20, text[3]), (20, text[0] + " more")]
+    found = corpus_pipeline.drop_near_copies(spark, table(spark, rows), SF).collect()
+    kept = sorted(((r.doc_id or 0), (r.text or "")[:1]) for r in found)
+    assert kept == [(0, ""), (0, ""), (0, "b"), (3, "a"), (9, "c"), (12, ""), (13, ""), (20, "d")]
+
+
 def test_run(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns[:5] == COLUMNS and 0 < found.count() < 200
