@@ -32,6 +32,11 @@ def _explicit(pattern: str) -> str:
     return out
 
 
+def plain(text: str) -> bool:
+    """Whether all letters are of the alphabet with explicit ranges."""
+    return text.isascii() or _PLAIN(text) is not None
+
+
 class Splitter:
     """All matches of a pattern; Latin texts take the standard module's faster scan."""
 
@@ -40,4 +45,4 @@ class Splitter:
         self.plain = re.compile(_explicit(pattern)).findall
 
     def __call__(self, text: str) -> list[str]:
-        return self.plain(text) if text.isascii() or _PLAIN(text) else self.full(text)
+        return self.plain(text) if plain(text) else self.full(text)

@@ -4,11 +4,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import byte_bpe, crf, decontaminate, forest, langid, pii, pseudo, repeats, superminhash, token_counts
+from lectern.llm import (
+    alignment, byte_bpe, crf, decontaminate, forest, grammar, langid, pii, pseudo, repeats, superminhash, token_counts,
+)
+from lectern.plans.shared import scratch_path
 from lectern.plans.stages import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+# The vocabulary of byte_bpe_50k.json as ranks.
+PLAIN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+# Appended to each document's ids.
+END_ID = 2
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +79,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(coded)
 
 
+def op11_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar.write_ids(docs, path, grammar.word_ids(WORD_BPE, END_ID))
+    found = grammar.read_ids(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.report(docs, PLAIN_RANKS, public_tokenizers.PATTERN, PIECES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,5 +99,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_vectors, op2_near_copies, op3_pii, op4_repeats, op5_pseudo_likelihood, op6_decontaminate, op7_language, op8_quality, op9_token_counts, op10_byte_bpe, pipeline]
+    found = [op1_near_vectors, op2_near_copies, op3_pii, op4_repeats, op5_pseudo_likelihood, op6_decontaminate, op7_language, op8_quality, op9_token_counts, op10_byte_bpe, op11_grammar_ids, op12_alignment, pipeline]
     return {query.__name__: query for query in found}

@@ -1,6 +1,8 @@
 """Token counts of whole texts under a word-end BPE vocabulary (a tokenizers ``.json``)."""
 
 import json
+import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -12,7 +14,10 @@ from pyspark.sql import DataFrame
 from lectern.llm.batches import annotate, longs, per_text
 from lectern.llm.byte_bpe import REMEMBERED, groups_of_texts
 from lectern.llm.merges import PairTable, merge
-from lectern.llm.pretokens import Splitter
+from lectern.llm.pretokens import Splitter, plain
+
+# Bytes of words and their ids that a task remembers, about.
+REMEMBERED_BYTES = 64 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -22,10 +27,28 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _unknown_letters() -> re.Pattern:
+    """Code points that this Python's Unicode version does not know; a library's may."""
+    ranges, first = [], None
+    for c in range(0x80, sys.maxunicode + 2):
+        unknown = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if unknown and first is None:
+            first = c
+        elif not unknown and first is not None:
+            ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 class WordBpe:
-    """Counts tokens as the vocabulary file says: special strings, normal form, words, merges."""
+    """Counts tokens as the vocabulary file says: special strings, normal form, words, merges.
+
+    Texts with code points that Python's Unicode version lacks go to the published library.
+    """
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as text:
             spec = json.load(text)
         vocab = spec["model"]["vocab"]
@@ -40,6 +63,7 @@ class WordBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = Splitter(split)
         self.known: dict[str, int] = {}
+        self.library = None
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -64,8 +88,20 @@ class WordBpe:
         _, counts = merge(symbols, sizes, self.table)
         self.known.update(zip(words, counts.tolist()))
 
+    def unsure(self, text: str) -> bool:
+        return not plain(text) and _unknown_letters().search(text) is not None
+
+    def published(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def count(self, texts: list[str]) -> list[int]:
-        found = [self.split(text) for text in texts]
+        found = [(len(self.published(t)), []) if self.unsure(t) else self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         fresh = set().union(*(w for _, w in found)).difference(self.known)
@@ -75,6 +111,57 @@ class WordBpe:
         return [n + sum(map(known, w)) for n, w in found]
 
 
+class WordIds(WordBpe):
+    """The ids themselves, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        with open(path, encoding="utf-8") as text:
+            added = json.load(text)["added_tokens"]
+        self.held = 0
+        self.special_ids = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+
+    def learn(self, words: list[str]) -> None:
+        coded = [w.encode() for w in words]
+        sizes = np.array([len(b) for b in coded])
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        symbols = self.inner[raw]
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.last[raw[ends]]
+        ids, counts = merge(symbols, sizes, self.table)
+        data = ids.astype("<u4").tobytes()
+        stops = (np.cumsum(counts) * 4).tolist()
+        self.known.update((w, data[low:high]) for w, low, high in zip(words, [0, *stops], stops))
+        self.held += len(data) + sum(sizes.tolist()) + 150 * len(words)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, special strings in it included."""
+        unsure = [self.unsure(t) for t in texts]
+        special = [[] if u or self.special is None or "<|" not in t else self.special.findall(t) for t, u in zip(texts, unsure)]
+        parts = [
+            [] if u else [self.words(self.normal(part)) for part in (self.special.split(t) if s else [t])]
+            for t, s, u in zip(texts, special, unsure)
+        ]
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.held = {}, 0
+        fresh = set().union(*(words for text in parts for words in text)).difference(self.known)
+        if fresh:
+            self.learn(list(fresh))
+        known = self.known.__getitem__
+        out = []
+        for text, words, marks, u in zip(texts, parts, special, unsure):
+            if u:
+                out.append(np.array(self.published(text), "<u4").tobytes())
+            elif not marks:
+                out.append(b"".join(map(known, words[0])))
+            else:
+                pieces = [b"".join(map(known, words[0]))]
+                for mark, part in zip(marks, words[1:]):
+                    pieces += [self.special_ids[mark], *map(known, part)]
+                out.append(b"".join(pieces))
+        return out
+
+
 def _pair(merge_rule):
     return merge_rule.split(" ") if isinstance(merge_rule, str) else merge_rule
 
@@ -84,6 +171,11 @@ def counter(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@lru_cache(maxsize=2)
+def id_coder(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, name: str = "tokens") -> DataFrame:
     """``docs`` with ``name``: struct of ``n_bytes, n_tokens, over_limit``.
 
