@@ -81,6 +81,51 @@ SELECT d.doc_id, len(d.words) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(w.
 FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN which w ON w.doc_id = d.doc_id
 """
 
+# The first turns that conversation c takes: crc32 of its decimal form, bit by bit, modulo 6.
+_TRIE = """
+WITH
+    own AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+        FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS base,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                   lambda crc, c: list_reduce(list_prepend(xor(crc, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                       lambda v, bit: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)),
+                   4294967295::BIGINT) % 6 AS kept
+        FROM (SELECT DISTINCT conv_id FROM own)),
+    heads AS (
+        SELECT i.conv_id, o.place, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.base AND o.place < i.kept),
+    rebuilt AS (
+        SELECT conv_id, 0 AS part, place, role, text FROM heads
+        UNION ALL
+        SELECT i.conv_id, 1, o.place, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.place >= i.kept),
+    gathered AS (
+        SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY part, place) AS turns FROM rebuilt GROUP BY conv_id),
+    sequences AS (
+        SELECT i.conv_id, coalesce(g.turns, []) AS turns FROM ids i LEFT JOIN gathered g ON g.conv_id = i.conv_id),
+    members AS (
+        SELECT conv_id, depth, turns[1:depth] AS path, turns
+        FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM sequences)),
+    nodes AS (
+        SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+               coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '') AS ends
+        FROM members GROUP BY path, depth),
+    children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    valued AS (
+        SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN c.n IS NULL THEN 1 ELSE 0 END AS leaf,
+               CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.path[n.depth].t) END AS worth
+        FROM nodes n LEFT JOIN children c ON c.path = n.path),
+    subtrees AS (
+        SELECT path[1:above] AS path, sum(leaf) AS n_leaves, sum(worth) AS saved_tokens
+        FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM valued) GROUP BY 1)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM valued v JOIN subtrees s ON s.path = v.path
+LEFT JOIN nodes p ON v.depth > 0 AND p.depth = v.depth - 1 AND p.path = v.path[1:v.depth - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": _VECTORS, "op2_near_copies": _COPIES, "op6_decontaminate": _LEAKS}
+    return {"op1_near_vectors": _VECTORS, "op2_near_copies": _COPIES, "op6_decontaminate": _LEAKS, "op13_prefix_trie": _TRIE}

@@ -5,9 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
-    alignment, byte_bpe, crf, decontaminate, forest, grammar, langid, pii, pseudo, repeats, superminhash, token_counts,
+    alignment, byte_bpe, crf, decontaminate, forest, grammar, langid, pii, pseudo, repeats, superminhash, token_counts, zfast,
 )
-from lectern.plans.shared import scratch_path
+from lectern.plans.shared import saved, scratch_path
 from lectern.plans.stages import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -92,6 +92,14 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(docs, PLAIN_RANKS, public_tokenizers.PATTERN, PIECES)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = saved(zfast.turn_codes(table(spark, sf_dir, "conversations")), "turn-codes")
+    conv_id = F.col("conv_id")
+    kept = F.crc32(conv_id.cast("string").cast("binary")) % 6
+    turns, sizes = zfast.rebuilt(codes, kept, conv_id - conv_id % 100)
+    return zfast.build(turns, sizes).withColumnRenamed("saved", "saved_tokens")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,5 +107,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_near_vectors, op2_near_copies, op3_pii, op4_repeats, op5_pseudo_likelihood, op6_decontaminate, op7_language, op8_quality, op9_token_counts, op10_byte_bpe, op11_grammar_ids, op12_alignment, pipeline]
+    found = [op1_near_vectors, op2_near_copies, op3_pii, op4_repeats, op5_pseudo_likelihood, op6_decontaminate, op7_language, op8_quality, op9_token_counts, op10_byte_bpe, op11_grammar_ids, op12_alignment, op13_prefix_trie, pipeline]
     return {query.__name__: query for query in found}
