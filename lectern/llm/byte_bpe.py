@@ -12,13 +12,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.batches import annotate, per_text
 from lectern.llm.merges import PairTable, merge
 from lectern.llm.pretokens import Splitter
 
-# Distinct words whose ids a task remembers.
-REMEMBERED = 500_000
+# Bytes of distinct words and their ids that a task remembers, about.
+REMEMBERED_BYTES = 48 << 20
+# What an entry takes beside its letters and ids, about.
+_ENTRY = 150
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,10 +40,13 @@ class ByteBpe:
         self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.table = PairTable(*zip(*_splits(ranks))) if any(len(p) > 1 for p in ranks) else PairTable([], [], [], [])
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of words (32-bit, as bytes), all spelled at once."""
         coded = [w.encode() for w in words]
+        # Ids take four bytes for each byte of a word at the most.
+        self.held += sum(5 * len(b) for b in coded) + _ENTRY * len(coded)
         whole = [self.ranks.get(b) for b in coded]
         self.known.update((w, r.to_bytes(4, "little")) for w, r in zip(words, whole) if r is not None)
         words = [w for w, r in zip(words, whole) if r is None]
@@ -57,8 +63,8 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [self.words(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.held = {}, 0
         fresh = set().union(*words).difference(self.known)
         if fresh:
             self.learn(list(fresh))
@@ -127,6 +133,35 @@ def round_trip(docs: DataFrame, path: str, pattern: str, name: str = "bpe") -> D
     return annotate(docs, name, per_text(start, "struct<ids:array<int>,decoded:binary>"))
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, name: str = "bpe") -> DataFrame:
+    """``docs`` with ``name``: struct of ``ids array<int>`` and ``same boolean``, whether the
+    ids decode to the text's bytes.
+
+    As ``round_trip``, but the decoded bytes stay in the worker, and results leave it a
+    bounded number of texts at a time, whatever the rows' number and size.
+    """
+    kept = [c for c in docs.columns if c != name]
+
+    def run(batches):
+        bpe = coder(path, pattern)
+        for batch in batches:
+            at = 0
+            for group in groups_of_texts(batch.column(kept.index("text")), 1 << 18):
+                ids = bpe.encode(group)
+                places = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(i) for i in ids], out=places[1:])
+                same = [bpe.decode(i) == text.encode() for i, text in zip(ids, group)]
+                lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(ids), pa.int32()))
+                rows = batch.slice(at, len(group))
+                at += len(group)
+                coded = pa.StructArray.from_arrays([lists, pa.array(same)], names=["ids", "same"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, coded], names=[*kept, name])
+
+    coded_type = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("same", T.BooleanType())
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(name, coded_type)])
+    return docs.select(*kept).mapInArrow(run, schema)
+
+
 def digests(coded: DataFrame, name: str = "bpe") -> DataFrame:
     """Number of tokens and the two digests of a coded table."""
     ids = F.col(f"{name}.ids")

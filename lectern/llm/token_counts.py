@@ -12,12 +12,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from lectern.llm.batches import annotate, longs, per_text
-from lectern.llm.byte_bpe import REMEMBERED, groups_of_texts
+from lectern.llm.byte_bpe import groups_of_texts
 from lectern.llm.merges import PairTable, merge
 from lectern.llm.pretokens import Splitter, plain
 
 # Bytes of words and their ids that a task remembers, about.
 REMEMBERED_BYTES = 64 << 20
+# What an entry takes beside its letters and ids, about.
+_ENTRY = 150
 
 
 def _byte_letters() -> list[str]:
@@ -63,6 +65,7 @@ class WordBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = Splitter(split)
         self.known: dict[str, int] = {}
+        self.held = 0
         self.library = None
 
     def normal(self, text: str) -> str:
@@ -87,6 +90,7 @@ class WordBpe:
         symbols[ends] = self.last[raw[ends]]
         _, counts = merge(symbols, sizes, self.table)
         self.known.update(zip(words, counts.tolist()))
+        self.held += len(raw) + _ENTRY * len(words)
 
     def unsure(self, text: str) -> bool:
         return not plain(text) and _unknown_letters().search(text) is not None
@@ -102,8 +106,8 @@ class WordBpe:
 
     def count(self, texts: list[str]) -> list[int]:
         found = [(len(self.published(t)), []) if self.unsure(t) else self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.held = {}, 0
         fresh = set().union(*(w for _, w in found)).difference(self.known)
         if fresh:
             self.learn(list(fresh))
@@ -118,7 +122,6 @@ class WordIds(WordBpe):
         super().__init__(path)
         with open(path, encoding="utf-8") as text:
             added = json.load(text)["added_tokens"]
-        self.held = 0
         self.special_ids = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
 
     def learn(self, words: list[str]) -> None:
@@ -132,7 +135,7 @@ class WordIds(WordBpe):
         data = ids.astype("<u4").tobytes()
         stops = (np.cumsum(counts) * 4).tolist()
         self.known.update((w, data[low:high]) for w, low, high in zip(words, [0, *stops], stops))
-        self.held += len(data) + sum(sizes.tolist()) + 150 * len(words)
+        self.held += len(data) + sum(sizes.tolist()) + _ENTRY * len(words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, special strings in it included."""

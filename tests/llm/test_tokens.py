@@ -112,3 +112,29 @@ def test_one_of_equal_pairs_first(pad):
     table = PairTable([a, ab], [b, a], [5, 2], [ab, aba])
     symbols, _ = merge(np.array([a, b, a, b] + [q] * pad), np.array([4 + pad]), table)
     assert symbols.tolist() == [aba, b] + [q] * pad
+
+
+def test_checked_ids(spark, texts, library):
+    rows = [(i, t) for i, t in enumerate(texts)] + edge_rows()
+    docs = docs_of(spark, rows).withColumnRenamed("language", "bpe")
+    found = byte_bpe.encode_checked(docs, BYTE_RANKS, public_tokenizers.PATTERN).select("text", "bpe.*", "n_tokens").collect()
+    assert len(found) == len(rows)
+    assert all(r.ids == library.encode_ordinary(r.text or "") and r.same and r.n_tokens == "y" for r in found)
+    assert byte_bpe.encode_checked(docs_of(spark, []), BYTE_RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_letters_of_newer_unicode_versions():
+    published = Tokenizer.from_file(WORD_BPE)
+    counter, ids = token_counts.WordBpe(WORD_BPE), token_counts.WordIds(WORD_BPE)
+    for text in ["aꟋb", "Ꟛ x Ꟛꟛ", "\U00032808", "x \U0003d85c<|endoftext|>y", "￿\U000e0080"]:
+        want = published.encode(text, add_special_tokens=False).ids
+        assert counter.count([text]) == [len(want)]
+        assert np.frombuffer(ids.encode([text])[0], "<u4").tolist() == want
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 10_000)
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(BYTE_RANKS), public_tokenizers.PATTERN)
+    for n in range(50):
+        bpe.encode([" ".join(f"w{n}x{i}" for i in range(50))])
+    assert sum(len(w) for w in bpe.known) < 20_000
