@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import words
+from lectern.operators.postings import is_postings, starts_row
 from lectern.plans.shared import BROADCAST_BYTES, saved
 
 LOGIT_DIGITS = 6
@@ -38,15 +39,19 @@ class CountModel:
 def fit_counts(df: DataFrame, prior: CountModel | None = None) -> CountModel:
     """Count tokens and rows per label of the training rows' whole texts, on top of ``prior``.
 
-    Frequent words are combined in the map tasks; a hot (label, token) reaches its
-    reducer as one row per task.
+    ``df`` holds texts or their postings. Frequent words are combined in the map tasks; a
+    hot (label, token) reaches its reducer as one row per task.
     """
-    tokens = (
-        df.select("label", F.explode(words("text")).alias("token"))
-        .groupBy("label", "token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    labels = df.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    if is_postings(df):
+        tokens = df.where("word IS NOT NULL").groupBy("label", F.col("word").alias("token")).agg(F.sum("n").alias("n"))
+        labels = df.where(starts_row()).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    else:
+        tokens = (
+            df.select("label", F.explode(words("text")).alias("token"))
+            .groupBy("label", "token")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        labels = df.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
     if prior is not None:
         tokens = tokens.unionByName(prior.tokens).groupBy("label", "token").agg(
             F.sum("n").alias("n")
@@ -129,22 +134,27 @@ def score(
 ) -> DataFrame:
     """``doc_id, *keep, logits`` with one score per class, for every row's whole text.
 
-    The scores of the most frequent tokens, as many as ``broadcast_bytes`` hold, are
-    broadcast to the words. Rarer ones, which are no hot keys, are joined by a shuffle of
-    the words that the first join leaves over. A row without a listed word keeps its priors.
+    ``df`` holds texts, which are cut once into a written table, or their postings. The
+    scores of the most frequent tokens, as many as ``broadcast_bytes`` hold, are broadcast
+    to the words. Rarer ones, which are no hot keys, are joined by a shuffle of the words
+    that the first join leaves over. A row without a listed word keeps its priors.
     """
     classes = scores.classes
     sums = [F.sum(f"s{c}").alias(f"s{c}") for c in classes]
-    rows = df.select("doc_id", *keep, F.explode_outer(words("text")).alias("token"))
+    times = [(F.col("k") * F.col(f"s{c}")).alias(f"s{c}") for c in classes]
+    if is_postings(df):
+        rows = df.select("doc_id", *keep, F.col("word").alias("token"), F.col("n").alias("k"))
+    else:
+        cut = df.select("doc_id", *keep, F.explode_outer(words("text")).alias("token"))
+        rows = saved(cut.groupBy("doc_id", *keep, "token").agg(F.count("token").alias("k")), "cut-words")
     head, tail = _head_and_tail(scores, broadcast_bytes)
-    part = rows.join(F.broadcast(head), "token", "left").groupBy("doc_id", *keep).agg(*sums)
+    known = rows.join(F.broadcast(head), "token", "left")
+    part = known.select("doc_id", *keep, *times).groupBy("doc_id", *keep).agg(*sums)
     if tail is not None:
         rare = (
             rows.join(F.broadcast(head.select("token")), "token", "left_anti")
-            .groupBy("doc_id", *keep, "token")
-            .agg(F.count(F.lit(1)).alias("k"))
             .join(tail, "token")
-            .select("doc_id", *keep, *[(F.col("k") * F.col(f"s{c}")).alias(f"s{c}") for c in classes])
+            .select("doc_id", *keep, *times)
         )
         part = part.unionByName(rare).groupBy("doc_id", *keep).agg(*sums)
     logits = [F.round(F.lit(p) + F.coalesce(F.col(f"s{c}"), F.lit(0.0)), LOGIT_DIGITS) for c, p in scores.priors.items()]

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from lectern.functions.arrays import frame_ids, mask, pad_right
 from lectern.functions.text import words
+from lectern.operators.postings import early_words, is_postings
 from lectern.operators.rank import row_numbers
-from lectern.plans.shared import BROADCAST_ROWS, most_frequent, saved, small_side
+from lectern.plans.shared import BROADCAST_BYTES, most_frequent, saved, small_side
 
 MAX_LEN = 128
 # Longer words are unknown to the published tokenizer, and its prefix
 # of pieces that continue a word.
 MAX_WORD_CHARS = 100
 CONTINUATION = "##"
+# Characters by which the lengths of tokens are looked up.
+LEAD = 3
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,9 @@ SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 
 
 def word_counts(df: DataFrame) -> DataFrame:
-    """``token, n`` of every word of whole texts."""
+    """``token, n`` of every word of whole texts, or of their postings."""
+    if is_postings(df):
+        return df.where("word IS NOT NULL").groupBy(F.col("word").alias("token")).agg(F.sum("n").alias("n"))
     return (
         df.select(F.explode(words("text")).alias("token"))
         .groupBy("token")
@@ -48,7 +53,8 @@ def build_vocab(
     Words of two or more characters that occur ``min_count`` times, and every single
     character both as word start and as continuation, so that unlisted words can still be
     spelled. Only a caller's ``max_words`` or ``max_alphabet`` keeps the most frequent
-    alone. Ids follow the markers by falling count, then token. Give it the training rows.
+    alone. Ids follow the markers by falling count, then token. Give it the training rows
+    or their postings.
     """
     counts = saved(word_counts(df), "word-counts")
     listed = counts.where((F.col("n") >= min_count) & (F.length("token") > 1))
@@ -82,40 +88,61 @@ def special_ids(vocab: DataFrame) -> Specials:
     return Specials(*[found[t] for t in SPECIAL_TOKENS])
 
 
-def _spans(df: DataFrame, vocab: DataFrame, broadcast_rows: int) -> DataFrame:
+def token_lengths(vocab: DataFrame) -> DataFrame:
+    """``continues, lead, sizes``: which lengths the tokens have that begin with a lead.
+
+    A lead is a token's first three characters, or all of a shorter one. Tokens that continue
+    a word are listed by what follows their prefix, and every token as a word start.
+    """
+    starts = vocab.select(F.lit(False).alias("continues"), F.col("token").alias("body"))
+    inner = vocab.where(F.col("token").startswith(CONTINUATION)).select(
+        F.lit(True).alias("continues"), F.expr(f"substring(token, {len(CONTINUATION) + 1})").alias("body")
+    )
+    return (
+        starts.unionByName(inner)
+        .where("body <> ''")
+        .groupBy("continues", F.substring("body", 1, LEAD).alias("lead"))
+        .agg(F.sort_array(F.collect_set(F.length("body"))).alias("sizes"))
+    )
+
+
+def _spans(df: DataFrame, vocab: DataFrame, broadcast_bytes: int) -> DataFrame:
     """The vocabulary's matches in each ``word``: ``at, size, id`` and the length ``n``.
 
-    A listed word matches as a whole. In any other, every substring up to the longest
-    token is looked up. The full word always stays as a row, without an id if unlisted.
+    A listed word matches as a whole. In any other, every place is looked up by its first
+    characters, which tells the few lengths that a token there can have; only these are
+    looked up in the vocabulary. The full word always stays as a row, without an id if
+    unlisted.
     """
-    longest = vocab.agg(F.max(F.length("token"))).first()[0]
-    vocab = small_side(vocab, broadcast_rows)
+    lengths = saved(token_lengths(vocab), "token-lengths")
+    # Two rows: the longest lead of word starts and of continuations.
+    leads = {r.continues: r.n for r in lengths.groupBy("continues").agg(F.max(F.length("lead")).alias("n")).collect()}
+    lengths, vocab = small_side(lengths, broadcast_bytes), small_side(vocab, broadcast_bytes)
     whole_words = vocab.select(F.col("token").alias("word"), F.col("id").alias("whole"))
     pieces = vocab.select(F.col("token").alias("piece"), "id")
-    spell = F.col("whole").isNull() & F.col("n").between(1, MAX_WORD_CHARS)
-    rest = F.col("n") - F.col("at")
-    starts = F.when(spell, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(0)))
-    sizes = F.when(
-        spell,
-        # The whole word is looked up from position 0 even if no token is that long.
-        F.when(
-            (F.col("at") == 0) & (F.col("n") > longest),
-            F.concat(F.sequence(F.lit(1), F.lit(longest)), F.array(F.col("n"))),
-        ).otherwise(F.sequence(F.lit(1), F.least(rest, F.lit(longest)))),
-    ).otherwise(F.array(F.col("n")))
+    marked = df.join(whole_words, "word", "left").withColumn("n", F.length("word"))
+    full = marked.select("word", "n", F.lit(0).alias("at"), F.col("n").alias("size"), F.col("whole").alias("id"))
+    last = F.col("n") - 1 if True in leads else F.lit(0)
+    continues = F.col("at") > 0
+    most = F.when(continues, leads.get(True, 0)).otherwise(leads.get(False, 0))
+    places = (
+        marked.where(F.col("whole").isNull() & F.col("n").between(1, MAX_WORD_CHARS))
+        .select("word", "n", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+        .where(most > 0)
+        .withColumn("k", F.explode(F.sequence(F.lit(1), F.least(most, F.col("n") - F.col("at")))))
+        .select("word", "n", "at", continues.alias("continues"), F.expr("substring(word, at + 1, k)").alias("lead"))
+    )
     piece = F.when(F.col("at") == 0, F.expr("substring(word, 1, size)")).otherwise(
         F.concat(F.lit(CONTINUATION), F.expr("substring(word, at + 1, size)"))
     )
-    full = F.col("size").isNull() | (F.col("size") == F.col("n"))
-    return (
-        df.join(whole_words, "word", "left")
-        .withColumn("n", F.length("word"))
-        .withColumn("at", F.explode_outer(starts))
-        .withColumn("size", F.explode_outer(sizes))
+    found = (
+        places.join(lengths, ["continues", "lead"])
+        .select("word", "n", "at", F.explode("sizes").alias("size"))
+        .where(F.col("size") <= F.col("n") - F.col("at"))
         .withColumn("piece", piece)
-        .join(pieces, "piece", "left")
-        .where(F.col("id").isNotNull() | full)
+        .join(pieces, "piece")
     )
+    return full.unionByName(found.select("word", "n", "at", "size", "id"))
 
 
 def _walk(spans: str, unk: int) -> Column:
@@ -155,14 +182,14 @@ def _walk(spans: str, unk: int) -> Column:
     return F.aggregate(spans, nowhere, step, closed)
 
 
-def spell(lexicon: DataFrame, vocab: DataFrame, unk: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def spell(lexicon: DataFrame, vocab: DataFrame, unk: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``word, ids``: the pieces of each of the distinct, non-null words.
 
     Greedy longest match from the left. A word meets its own matches alone in one row.
     """
     span = F.struct(F.lit(0).alias("at_word"), "at", (-F.col("size")).alias("rank"), "id", "n")
     return (
-        _spans(lexicon.select("word"), vocab, broadcast_rows)
+        _spans(lexicon.select("word"), vocab, broadcast_bytes)
         .groupBy("word")
         .agg(F.sort_array(F.collect_list(span)).alias("spans"))
         .select("word", _walk("spans", unk).alias("ids"))
@@ -176,20 +203,37 @@ def with_pieces(
     unk: int,
     carry: tuple[str, ...] = (),
     limit: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``key, *carry, ids``: the pieces of each row's ``words``, at most ``limit`` of them.
 
+    ``key`` must be unique, ``carry`` columns depend on it; see ``pieces_of_rows``.
+    """
+    rows = df.select(key, *carry, F.posexplode_outer("words").alias("at_word", "word"))
+    return pieces_of_rows(rows, key, vocab, unk, carry, limit, broadcast_bytes)
+
+
+def pieces_of_rows(
+    rows: DataFrame,
+    key: str,
+    vocab: DataFrame,
+    unk: int,
+    carry: tuple[str, ...] = (),
+    limit: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``key, *carry, ids`` from ``key, *carry, at_word, word``, in order of the places.
+
     Each distinct word is spelled once, whatever the size of the vocabulary; a vocabulary
-    or lexicon of at most ``broadcast_rows`` rows is broadcast, a larger one is joined by
-    word, where adaptive execution splits frequent words. A token listed twice counts with
-    its lower id. ``key`` must be unique, ``carry`` columns depend on it.
+    or lexicon of at most ``broadcast_bytes`` is broadcast, a larger one is joined by word,
+    where adaptive execution splits frequent words. A token listed twice counts with its
+    lower id. A null word has no pieces; its row keeps the key.
     """
     once = vocab.groupBy("token").agg(F.min("id").alias("id"))
-    rows = df.select(F.col(key).alias("_key"), *carry, F.posexplode_outer("words").alias("at_word", "word"))
+    rows = rows.select(F.col(key).alias("_key"), *carry, "at_word", "word")
     lexicon = saved(rows.select("word").where(F.col("word").isNotNull()).distinct(), "lexicon")
-    pieces = saved(spell(lexicon, saved(once, "vocab-once"), unk, broadcast_rows), "pieces")
-    found = rows.join(small_side(pieces, broadcast_rows), "word", "left")
+    pieces = saved(spell(lexicon, saved(once, "vocab-once"), unk, broadcast_bytes), "pieces")
+    found = rows.join(small_side(pieces, broadcast_bytes), "word", "left")
     placed = F.when(F.col("word").isNotNull(), F.struct("at_word", "ids"))
     ids = F.flatten(F.transform(F.sort_array(F.collect_list(placed)), lambda x: x["ids"]))
     if limit is not None:
@@ -207,23 +251,25 @@ def encode(
     max_len: int = MAX_LEN,
     specials: Specials = Specials(),
     keep: tuple[str, ...] = (),
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``doc_id, *keep, n_words, truncated, token_ids, attention_mask`` for every row.
 
-    A word yields at least one piece, so words after the first ``max_len - 2`` cannot
-    reach the encoding and are cut before they are looked up (see ``with_pieces``).
+    ``df`` holds texts or their postings. A word yields at least one piece, so words after
+    the first ``max_len - 2`` cannot reach the encoding and are not looked up.
     """
     limit = max_len - 2
     carry = (*keep, "n_words")
-    lead = df.select("doc_id", *keep, words("text").alias("words")).select(
-        "doc_id",
-        *keep,
-        F.size("words").alias("n_words"),
-        F.slice("words", 1, limit).alias("words"),
-    )
+    if is_postings(df):
+        rows = early_words(df, carry, limit)
+    else:
+        cut = df.select("doc_id", *keep, words("text").alias("words"))
+        rows = cut.select(
+            "doc_id", *keep, F.size("words").alias("n_words"),
+            F.posexplode_outer(F.slice("words", 1, limit)).alias("at_word", "word"),
+        )
     # One id more than fits tells a truncated row.
-    with_ids = with_pieces(lead, "doc_id", vocab, specials.unk, carry, limit + 1, broadcast_rows)
+    with_ids = pieces_of_rows(rows, "doc_id", vocab, specials.unk, carry, limit + 1, broadcast_bytes)
     framed = frame_ids(F.col("ids"), max_len, specials.cls, specials.sep)
     return with_ids.withColumn("framed", framed).select(
         "doc_id",

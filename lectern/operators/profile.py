@@ -100,13 +100,12 @@ def length_histogram(df: DataFrame) -> DataFrame:
 def _extreme(df: DataFrame, length: Column) -> DataFrame:
     """The row of least ``length``, then id: the lowest id wins, so no copy can.
 
-    Lengths and ids alone are compared; the text is fetched for that one row.
+    One narrow pass compares lengths and ids; the text is fetched by that id alone, a
+    predicate that reaches the scan, and counted again for that one row.
     """
-    rows = with_n_tokens(drop_empty(df))
-    best = rows.agg(F.min(F.struct(length.alias("_length"), "doc_id")).alias("row"))
-    # An aggregate without groups is one row.
-    one = F.broadcast(best.select(F.col("row.doc_id").alias("doc_id")))
-    return rows.join(one, "doc_id").select("doc_id", "label", "n_tokens", "text")
+    found = with_n_tokens(drop_empty(df)).agg(F.min(F.struct(length.alias("_length"), "doc_id")).alias("row")).first()["row"]
+    one = df.where(F.col("doc_id") == (found.doc_id if found else None))
+    return with_n_tokens(drop_empty(one)).select("doc_id", "label", "n_tokens", "text")
 
 
 def longest_row(df: DataFrame) -> DataFrame:

@@ -275,12 +275,12 @@ def words(spark, sf_dir):
 
 @query
 def vocabulary(spark, sf_dir):
-    return encode.build_vocab(stages.part(spark, sf_dir))
+    return encode.build_vocab(stages.part_words(spark, sf_dir))
 
 
 def _word_pieces(spark, sf_dir, **how):
     """Pieces of every distinct word of the cleaned corpus."""
-    every = stages.cleaned(spark, sf_dir).select(F.explode(text.words("text")).alias("word"))
+    every = stages.split_words(spark, sf_dir).select("word").where("word IS NOT NULL")
     one_each = every.distinct().withColumn("words", F.array("word"))
     vocab, unk = stages.vocab(spark, sf_dir), encode.Specials().unk
     return encode.with_pieces(one_each, "word", vocab, unk, **how).select("word", _joined("ids"))
@@ -294,12 +294,12 @@ def word_pieces(spark, sf_dir):
 @query
 def word_pieces_by_join(spark, sf_dir):
     """The same with neither vocabulary nor lexicon broadcast."""
-    return _word_pieces(spark, sf_dir, broadcast_rows=0)
+    return _word_pieces(spark, sf_dir, broadcast_bytes=0)
 
 
 def _encoded(spark, sf_dir, **how):
     encoded = encode.encode(
-        stages.split_corpus(spark, sf_dir), stages.vocab(spark, sf_dir), keep=("label", "split"), **how
+        stages.split_words(spark, sf_dir), stages.vocab(spark, sf_dir), keep=("label", "split"), **how
     )
     return encoded.select(
         "doc_id", "label", "split", "n_words", _joined("token_ids"), _joined("attention_mask")
@@ -314,7 +314,7 @@ def encode_fixed(spark, sf_dir):
 @query
 def encode_large_vocab(spark, sf_dir):
     """The same as if the vocabulary were too large to be broadcast."""
-    return _encoded(spark, sf_dir, broadcast_rows=0)
+    return _encoded(spark, sf_dir, broadcast_bytes=0)
 
 
 @query
@@ -355,18 +355,18 @@ def _logit_columns(logits: DataFrame, n: int) -> DataFrame:
 
 @query
 def nb_model(spark, sf_dir):
-    return bayes.fit_counts(stages.part(spark, sf_dir)).tokens
+    return bayes.fit_counts(stages.part_words(spark, sf_dir)).tokens
 
 
 @query
 def nb_labels(spark, sf_dir):
-    return bayes.fit_counts(stages.part(spark, sf_dir)).labels
+    return bayes.fit_counts(stages.part_words(spark, sf_dir)).labels
 
 
 @query
 def nb_resume(spark, sf_dir):
     """Fit on half of the training rows, save, load, and go on with the other half."""
-    train = stages.part(spark, sf_dir)
+    train = stages.part_words(spark, sf_dir)
     path = scratch_path(spark, "half-model")
     bayes.fit_counts(train.where("doc_id % 2 = 0")).write(path)
     half = bayes.CountModel.read(spark, path)
@@ -375,21 +375,21 @@ def nb_resume(spark, sf_dir):
 
 @query
 def nb_logits(spark, sf_dir):
-    test = stages.part(spark, sf_dir, name="test")
+    test = stages.part_words(spark, sf_dir, name="test")
     return _logit_columns(bayes.score(test, bayes.scores_of(stages.model(spark, sf_dir))), 4)
 
 
 @query
 def nb_logits_split(spark, sf_dir):
     """The same as if few of the token scores could be broadcast."""
-    test = stages.part(spark, sf_dir, name="test")
+    test = stages.part_words(spark, sf_dir, name="test")
     scores = bayes.scores_of(stages.model(spark, sf_dir))
     return _logit_columns(bayes.score(test, scores, broadcast_bytes=20_000), 4)
 
 
 @query
 def quality_logits(spark, sf_dir):
-    test = stages.part(spark, sf_dir, TASK_B, "test")
+    test = stages.part_words(spark, sf_dir, TASK_B, "test")
     return _logit_columns(bayes.score(test, bayes.scores_of(stages.model(spark, sf_dir, TASK_B))), 2)
 
 
@@ -411,8 +411,8 @@ def quality_predictions(spark, sf_dir):
 def shifted_labels(spark, sf_dir):
     """The quality task with labels 5 and 6: predictions are labels, not positions."""
     shift = F.col("label") + 5
-    train = stages.part(spark, sf_dir, TASK_B).withColumn("label", shift)
-    test = stages.part(spark, sf_dir, TASK_B, "test").withColumn("label", shift)
+    train = stages.part_words(spark, sf_dir, TASK_B).withColumn("label", shift)
+    test = stages.part_words(spark, sf_dir, TASK_B, "test").withColumn("label", shift)
     scores = bayes.scores_of(bayes.fit_counts(train))
     rows = loss.with_nll(evaluate.with_prediction(bayes.score(test, scores), scores.classes), scores.classes)
     return _rounded(rows.select("doc_id", "label", "prediction", "nll"), "nll")
@@ -590,7 +590,7 @@ def model_round_trip(spark, sf_dir):
     path = scratch_path(spark, "model")
     stages.model(spark, sf_dir).write(path)
     loaded = bayes.scores_of(bayes.CountModel.read(spark, path))
-    return _logit_columns(bayes.score(stages.part(spark, sf_dir, name="valid"), loaded), 4)
+    return _logit_columns(bayes.score(stages.part_words(spark, sf_dir, name="valid"), loaded), 4)
 
 
 @query

@@ -2,14 +2,16 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side of at most this many narrow rows is broadcast (an id is 8 bytes, a
-# vocabulary token at most 100 characters).
+# A side of at most this many ids (8 bytes each) is broadcast.
 BROADCAST_ROWS = 1_000_000
-# A wider side, whose rows the caller sizes, is broadcast up to this many bytes.
+# Any other side is broadcast up to this many bytes of values and row heads.
 BROADCAST_BYTES = 32 << 20
+# What a row of a hash table takes beside its values, about.
+ROW_BYTES = 32
 # A hash-join build side may hold this many narrow rows per shuffle partition.
 HASH_ROWS_PER_PARTITION = 2_000_000
 
@@ -47,13 +49,50 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``limit`` rows.
+def _width(field: T.StructField) -> Column:
+    """Bytes of one value: the length of texts, of lists that of their values, else 8."""
+    name = F.col(f"`{field.name}`")
+    kind = field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(name)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+        size = F.aggregate(name, F.lit(0), lambda n, x: n + 8 + F.coalesce(F.octet_length(x), F.lit(0)))
+    elif isinstance(kind, T.ArrayType):
+        size = 8 * F.size(name)
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(8)).cast("bigint")
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of all rows of a saved table, as a hash table would hold them; one pass."""
+    row = sum((_width(field) for field in df.schema), F.lit(ROW_BYTES))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if its rows take at most ``limit`` bytes.
+
+    Rows are measured, not counted, as a few of them may hold very long words. Beyond the
+    limit the join is left to a shuffle, where adaptive execution splits hot keys. Pass a
+    saved table.
+    """
+    return F.broadcast(df) if table_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out over the cores if the scan's row groups fill fewer tasks.
 
-    Counting stops at ``limit + 1`` rows. Beyond the limit the join is left to a
-    shuffle, where adaptive execution splits hot keys. Pass a saved table.
+    A file with one row group is read by one task whatever the split size. Such a table is
+    smaller than the cores' worth of row groups, so this shuffle does not grow with the data;
+    filters and column choices still reach the scan below it.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > cores:
+        return df
+    # No column is read, only the footers.
+    filled = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    return df.repartition(cores) if 0 < filled < cores else df
 
 
 def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:

@@ -11,8 +11,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import bayes, clean, encode, evaluate, labels, profile, rank, split
-from lectern.plans.shared import join_ids, scratch_path
+from lectern.operators import bayes, clean, encode, evaluate, labels, postings, profile, rank, split
+from lectern.plans.shared import join_ids, scratch_path, spread
 from lectern.plans.workflow import BATCH_SIZE, TRAIN_SEED
 from lectern.sources.tables import write_table
 
@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text")
 
 
 def stage(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -59,7 +59,7 @@ def flags(spark, sf_dir, task):
 
 def corpus(spark: SparkSession, sf_dir: str, task: str = "lang") -> DataFrame:
     """``doc_id, label, text`` of a task: the language's number, or a flag of ``labels``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     if task == "lang":
         named = labels.with_class(docs, "lang", classes(spark, sf_dir))
         return named.select("doc_id", "label", "text")
@@ -81,6 +81,16 @@ def part(spark, sf_dir, task="lang", name="train"):
     return split_corpus(spark, sf_dir, task).where(F.col(SPLIT) == name)
 
 
+@stage
+def split_words(spark, sf_dir, task):
+    """The split corpus cut into words, once for all that count, encode or score them."""
+    return postings.postings(split_corpus(spark, sf_dir, task), ("label", SPLIT), encode.MAX_LEN - 2)
+
+
+def part_words(spark, sf_dir, task="lang", name="train"):
+    return split_words(spark, sf_dir, task).where(F.col(SPLIT) == name)
+
+
 @stage
 def class_weights(spark, sf_dir, task):
     return profile.class_weights(part(spark, sf_dir, task))
@@ -88,24 +98,24 @@ def class_weights(spark, sf_dir, task):
 
 @stage
 def vocab(spark, sf_dir, task):
-    return encode.build_vocab(part(spark, sf_dir, task))
+    return encode.build_vocab(part_words(spark, sf_dir, task))
 
 
 @stage
 def encoded(spark, sf_dir, task):
     return encode.encode(
-        split_corpus(spark, sf_dir, task), vocab(spark, sf_dir, task), keep=("label", SPLIT)
+        split_words(spark, sf_dir, task), vocab(spark, sf_dir, task), keep=("label", SPLIT)
     )
 
 
 @stage
 def model_tokens(spark, sf_dir, task):
-    return bayes.fit_counts(part(spark, sf_dir, task)).tokens
+    return bayes.fit_counts(part_words(spark, sf_dir, task)).tokens
 
 
 @stage
 def model_labels(spark, sf_dir, task):
-    return bayes.fit_counts(part(spark, sf_dir, task)).labels
+    return bayes.fit_counts(part_words(spark, sf_dir, task)).labels
 
 
 def model(spark, sf_dir, task="lang") -> bayes.CountModel:
@@ -129,12 +139,12 @@ def scores(spark, sf_dir, task="lang") -> bayes.Scores:
 
 @stage
 def test_logits(spark, sf_dir, task):
-    return bayes.score(part(spark, sf_dir, task, "test"), scores(spark, sf_dir, task))
+    return bayes.score(part_words(spark, sf_dir, task, "test"), scores(spark, sf_dir, task))
 
 
 @stage
 def valid_logits(spark, sf_dir, task):
-    return bayes.score(part(spark, sf_dir, task, "valid"), scores(spark, sf_dir, task))
+    return bayes.score(part_words(spark, sf_dir, task, "valid"), scores(spark, sf_dir, task))
 
 
 @stage
@@ -148,7 +158,7 @@ def test_batches(spark, sf_dir, task):
 @stage
 def train_batches(spark, sf_dir, task):
     """Training rows in the shuffled order of the first epoch."""
-    logits = bayes.score(part(spark, sf_dir, task), scores(spark, sf_dir, task))
+    logits = bayes.score(part_words(spark, sf_dir, task), scores(spark, sf_dir, task))
     predicted = evaluate.with_prediction(logits, scores(spark, sf_dir, task).classes)
     return rank.batches(predicted, BATCH_SIZE, TRAIN_SEED, epoch=0)
 

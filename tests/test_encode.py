@@ -42,12 +42,12 @@ def texts():
     return fixed + [" ".join(rng.choices(parts, k=rng.randint(1, 140))) for _ in range(60)]
 
 
-@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
-def test_encoding_equals_the_published_tokenizer(corpus, vocab, published, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_encoding_equals_the_published_tokenizer(corpus, vocab, published, broadcast_bytes):
     """With the vocabulary and the lexicon broadcast, and joined."""
     given = texts()
     df = encode.encode(
-        corpus([(0, t) for t in given]), vocab, keep=("label",), broadcast_rows=broadcast_rows
+        corpus([(0, t) for t in given]), vocab, keep=("label",), broadcast_bytes=broadcast_bytes
     )
     rows = {r.doc_id: r for r in df.collect()}
     assert len(rows) == len(given)
@@ -64,7 +64,7 @@ def test_join_path_with_a_shuffled_vocabulary(spark, corpus, vocab, published, m
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         given = texts()[-10:]
-        df = encode.encode(corpus([(0, t) for t in given]), vocab, broadcast_rows=0)
+        df = encode.encode(corpus([(0, t) for t in given]), vocab, broadcast_bytes=0)
         rows = {r.doc_id: r.token_ids for r in df.collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -112,7 +112,7 @@ def test_limit_and_repeated_tokens_do_not_depend_on_the_way(spark, vocab):
     df = spark.createDataFrame([(1, ["unaffable", "the", "the"]), (2, []), (3, None)], "k INT, words ARRAY<STRING>")
     twice = vocab.unionByName(spark.createDataFrame([("the", 999)], "token STRING, id INT"))
     found = [
-        {r.k: r.ids for r in encode.with_pieces(df, "k", twice, 1, limit=4, broadcast_rows=n).collect()} for n in (0, 10**6)
+        {r.k: r.ids for r in encode.with_pieces(df, "k", twice, 1, limit=4, broadcast_bytes=n).collect()} for n in (0, 32 << 20)
     ]
     ids = {t: i for i, t in enumerate(TOKENS)}
     assert found[0] == found[1] == {1: [ids["un"], ids["##aff"], ids["##able"], ids["the"]], 2: [], 3: []}
