@@ -7,23 +7,27 @@ connected group, whose label all share. Groups so end where both tokenizers end
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import annotate, per_text, strings
+from lectern.llm.batches import annotate, byte_view, longs, per_text, strings
 from lectern.llm.byte_bpe import ByteBpe, groups_of_texts, read_ranks
 from lectern.plans.shared import saved
 
+# Letters of text that are aligned together, about; a longer text is taken alone.
+BLOCK = 1 << 18
+# Ids of A whose links are found together, about; a longer text is taken alone.
+MARKS_AT_ONCE = 1 << 18
 # Links that are written out at once.
-LINKS_AT_ONCE = 1 << 20
+LINKS_AT_ONCE = 1 << 19
 # In a group with more links than this, equal ids are counted before they are paired.
 PLAIN_LINKS = 4096
 # Pairs that a task counts before it hands them on.
-PAIRS_HELD = 1 << 20
+PAIRS_HELD = 1 << 18
 # Most frequent pairs whose counts every task holds (16 bytes each); the others are joined.
 HEAD_PAIRS = 1 << 20
 
@@ -143,7 +147,28 @@ def _same_bytes(pieces: list[bytes], ids: np.ndarray, whole: bytes) -> bool:
     return b"".join(map(pieces.__getitem__, ids.tolist())) == whole
 
 
-_ALIGNED = "a_ids:array<int>,b_ids:array<int>,a_sizes:array<int>,b_sizes:array<int>,groups:string"
+def _blocks(sides, texts: pa.Array) -> Iterator[tuple]:
+    """Bounded numbers of texts at a time: ids of A and how many each text has, the same of
+    B, the groups' sizes in both, how many groups each text has, and the groups as text."""
+    a_side, b_side = sides
+    none = np.zeros(0, np.int32)
+    for block in groups_of_texts(texts, BLOCK):
+        a_all, b_all = a_side.encode(block), b_side.encode(block)
+        for i, text in enumerate(block):
+            whole = b" " + text.encode()
+            # A's tokens are cut from these bytes, so their number tells all; B may change them.
+            if not text or a_side.pieces.sizes[a_all[i]].sum() != len(whole) or not _same_bytes(b_side.pieces.pieces, b_all[i], whole):
+                a_all[i] = b_all[i] = none
+        a_ids, b_ids = np.concatenate(a_all), np.concatenate(b_all)
+        label = group_ends(np.cumsum(a_side.pieces.sizes[a_ids]), np.cumsum(b_side.pieces.sizes[b_ids]))
+        n_groups = int(label.max(initial=-1)) + 1
+        groups_a, groups_b = label[: len(a_ids)], label[len(a_ids) :]
+        n_a, n_b = [len(x) for x in a_all], [len(x) for x in b_all]
+        ends = np.cumsum(n_a)
+        first = np.r_[0, np.where(ends > 0, np.r_[groups_a, -1][ends - 1] + 1, 0)]
+        written = _written(a_ids, b_ids, groups_a, groups_b, n_groups, first)
+        sizes_a, sizes_b = np.bincount(groups_a, minlength=n_groups), np.bincount(groups_b, minlength=n_groups)
+        yield a_ids, n_a, b_ids, n_b, sizes_a, sizes_b, np.diff(first), written
 
 
 def align(docs: DataFrame, byte_path: str, pattern: str, piece_path: str, name: str = "aligned") -> DataFrame:
@@ -155,37 +180,83 @@ def align(docs: DataFrame, byte_path: str, pattern: str, piece_path: str, name:
     tokens. Other columns and repeated rows pass unchanged; an older column ``name`` is
     replaced.
     """
+
     def start():
-        a_side, b_side = _sides(byte_path, pattern, piece_path)
-
-        def block(texts):
-            a_all, b_all = a_side.encode(texts), b_side.encode(texts)
-            none = np.zeros(0, np.int32)
-            for i, text in enumerate(texts):
-                whole = b" " + text.encode()
-                if not text or not (_same_bytes(a_side.pieces.pieces, a_all[i], whole) and _same_bytes(b_side.pieces.pieces, b_all[i], whole)):
-                    a_all[i] = b_all[i] = none
-            a_ids, b_ids = np.concatenate(a_all), np.concatenate(b_all)
-            label = group_ends(np.cumsum(a_side.pieces.sizes[a_ids]), np.cumsum(b_side.pieces.sizes[b_ids]))
-            n_groups = int(label.max(initial=-1)) + 1
-            groups_a, groups_b = label[: len(a_ids)], label[len(a_ids) :]
-            n_a, n_b = [len(x) for x in a_all], [len(x) for x in b_all]
-            ends = np.cumsum(n_a)
-            first = np.r_[0, np.where(ends > 0, np.r_[groups_a, -1][ends - 1] + 1, 0)]
-            written = _written(a_ids, b_ids, groups_a, groups_b, n_groups, first)
-            each = np.diff(first)
-            sizes_a, sizes_b = np.bincount(groups_a, minlength=n_groups), np.bincount(groups_b, minlength=n_groups)
-            return (a_ids, n_a), (b_ids, n_b), (sizes_a, each), (sizes_b, each), written
+        sides = _sides(byte_path, pattern, piece_path)
 
         def work(texts):
-            parts = [block(group) for group in groups_of_texts(texts)]
-            columns = [_lists([p[i] for p in parts]) for i in range(4)]
-            written = strings([w.decode() for p in parts for w in p[4]])
+            parts = list(_blocks(sides, texts))
+            columns = [_lists([(p[i], p[j]) for p in parts]) for i, j in ((0, 1), (2, 3), (4, 6), (5, 6))]
+            written = strings([w.decode() for p in parts for w in p[7]])
             return dict(zip(["a_ids", "b_ids", "a_sizes", "b_sizes", "groups"], [*columns, written]))
 
         return work
 
-    return annotate(docs, name, per_text(start, f"struct<{_ALIGNED}>"))
+    schema = "struct<a_ids:array<int>,b_ids:array<int>,a_sizes:array<int>,b_sizes:array<int>,groups:string>"
+    return annotate(docs, name, per_text(start, schema))
+
+
+def mark(docs: DataFrame, byte_path: str, pattern: str, piece_path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' alignments in a narrow form, and how many rows of each task hold each pair.
+
+    The first table is ``row, doc_id, n_a, n_b, n_groups, a_marks, b_marks, groups_sha256``:
+    a mark is twice an id, plus one at the end of a group, in three bytes; the groups' text is
+    digested (empty without tokens); ``row`` numbers the rows, whatever their ids. The second
+    is ``pair, n`` with a row for each task and pair, to be added up. One pass writes both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = _sides(byte_path, pattern, piece_path)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            at = 0
+            kind = batch.schema.field("doc_id").type
+            for a_ids, n_a, b_ids, n_b, sizes_a, sizes_b, each, written in _blocks(sides, batch.column("text")):
+                own = batch.slice(at, len(n_a))
+                at += len(n_a)
+                marks = [_packed(ids, sizes, n) for ids, sizes, n in ((a_ids, sizes_a, n_a), (b_ids, sizes_b, n_b))]
+                digests = strings([sha256(w).hexdigest() if n else "" for w, n in zip(written, n_a)])
+                columns = [own.column("row"), own.column("doc_id"), longs(n_a), longs(n_b), longs(each), *marks, digests]
+                none = [pa.nulls(own.num_rows, pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([*columns, *none], names=_MARKED)
+                for _, pair, _ in _by_row(pa.RecordBatch.from_arrays(marks, names=["a_marks", "b_marks"])):
+                    held.append(np.unique(pair, return_counts=True))
+                    size += len(held[-1][0])
+                if size > 2 * PAIRS_HELD:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                if size > PAIRS_HELD:
+                    yield _pair_rows(*held[0], kind)
+                    held, size = [], 0
+        if held:
+            yield _pair_rows(*_merged(held), kind)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    schema = (
+        f"row bigint, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, a_marks binary, b_marks binary, "
+        "groups_sha256 string, pair bigint, n bigint"
+    )
+    both = saved(rows.mapInArrow(run, schema), "marked")
+    return both.where("row IS NOT NULL").drop("pair", "n"), both.where("row IS NULL").select("pair", "n")
+
+
+_MARKED = ["row", "doc_id", "n_a", "n_b", "n_groups", "a_marks", "b_marks", "groups_sha256", "pair", "n"]
+
+
+def _pair_rows(pair: np.ndarray, n: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+    return pa.RecordBatch.from_arrays([*[pa.nulls(len(pair), k) for k in kinds], pa.array(pair), pa.array(n)], names=_MARKED)
+
+
+def _packed(ids: np.ndarray, sizes: np.ndarray, n: list[int]) -> pa.Array:
+    """Marks of each text, three bytes each."""
+    marks = ids.astype("<u4") * 2
+    marks[np.cumsum(sizes) - 1] += 1
+    raw = marks.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    places = pa.py_buffer((np.r_[0, np.cumsum(n)] * 3).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, places, pa.py_buffer(raw)])
 
 
 def _lists(parts) -> pa.Array:
@@ -195,20 +266,21 @@ def _lists(parts) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(places), pa.array(flat.astype(np.int32)))
 
 
-def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column and where each row's start; null rows are empty."""
-    sizes = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()], np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(sizes)]
+def _marks(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a side of marked rows, the sizes of their groups, and the row of each group."""
+    data, places = byte_view(batch.column(side))
+    marks = np.zeros((len(data) // 3, 4), np.uint8)
+    marks[:, :3] = data.reshape(-1, 3)
+    marks = marks.view("<u4").ravel()
+    ends = np.flatnonzero(marks & 1)
+    return marks.astype(np.int64) >> 1, np.diff(np.r_[-1, ends]), np.searchsorted(places // 3, ends, "right") - 1
 
 
 def _links(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``row, pair, times`` of the links of a batch of aligned rows, in blocks of bounded
+    """``row, pair, times`` of the links of a batch of marked rows, in blocks of bounded
     size; a pair may come again. A pair is A's id times 2**32 plus B's."""
-    a, _ = _numbers(batch.column("a_ids"))
-    b, _ = _numbers(batch.column("b_ids"))
-    sizes_a, groups = _numbers(batch.column("a_sizes"))
-    sizes_b, _ = _numbers(batch.column("b_sizes"))
-    row = np.repeat(np.arange(len(groups) - 1), np.diff(groups))
+    a, sizes_a, row = _marks(batch, "a_marks")
+    b, sizes_b, _ = _marks(batch, "b_marks")
     from_a, from_b = np.cumsum(sizes_a) - sizes_a, np.cumsum(sizes_b) - sizes_b
     links = sizes_a * sizes_b
     large = np.flatnonzero(links > PLAIN_LINKS)
@@ -231,15 +303,11 @@ def _links(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 
 def _by_row(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """As ``_links``, each row's pairs once: rows of few links together, others one by one."""
-    groups = _numbers(batch.column("a_sizes"))[1]
-    weight = np.zeros(len(groups) - 1, np.int64)
-    sizes_a, sizes_b = _numbers(batch.column("a_sizes"))[0], _numbers(batch.column("b_sizes"))[0]
-    upto = np.r_[0, np.cumsum(sizes_a * sizes_b)]
-    weight = upto[groups[1:]] - upto[groups[:-1]]
+    """As ``_links``, each row's pairs once: rows of few marks together, longer ones alone."""
+    places = byte_view(batch.column("a_marks"))[1] // 3
     low = 0
-    while low < len(weight):
-        high = max(low + 1, int(np.searchsorted(np.cumsum(weight[low:]), LINKS_AT_ONCE, "right")) + low)
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(places, places[low] + MARKS_AT_ONCE, "right")) - 1)
         held = None
         for row, pair, times in _links(batch.slice(low, high - low)):
             row, pair, times = _summed(row, pair, times)
@@ -258,33 +326,13 @@ def _summed(row, pair, times):
     return row[edge], pair[edge], np.add.reduceat(times, edge) if len(edge) else times
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """``pair, n, best`` of a table with the columns of ``align``: how many rows hold each
-    pair of ids linked, and whether no pair of the same A id is in more.
+def pair_counts(parts: DataFrame) -> DataFrame:
+    """``pair, n, best`` from the second table of ``mark``: how many rows hold each pair of
+    ids linked, and whether no pair of the same A id is in more.
 
-    A task counts its own rows first. ``best`` compares with one number for each A id, a
-    table no longer than A's vocabulary.
+    ``best`` compares with one number for each A id, a table no longer than A's vocabulary.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for _, pair, _ in _by_row(batch):
-                held.append(np.unique(pair, return_counts=True))
-                size += len(held[-1][0])
-                if size > 2 * PAIRS_HELD:
-                    held = [_merged(held)]
-                    size = len(held[0][0])
-                    if size > PAIRS_HELD:
-                        yield _pairs(*held[0])
-                        held, size = [], 0
-        if held:
-            yield _pairs(*_merged(held))
-
-    columns = aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes")
-    counts = columns.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    counts = saved(counts, "pair-counts")
+    counts = saved(parts.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     a_id = F.shiftright("pair", 32).alias("a_id")
     most = counts.groupBy(a_id).agg(F.max("n").alias("most"))
     return counts.withColumn("a_id", a_id).join(F.broadcast(most), "a_id").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -296,10 +344,6 @@ def _merged(held):
     return pair, n
 
 
-def _pairs(pair, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
-
-
 def _head(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
     """The most frequent pairs, sorted, as many whole counts as ``limit`` holds, and the rest."""
     by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
@@ -314,14 +358,14 @@ def _head(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return pair[order], n[order], best[order], rest
 
 
-def link_scores(aligned: DataFrame, counts: DataFrame, head_pairs: int = HEAD_PAIRS) -> DataFrame:
-    """``row, n_links, n_best, count_sum`` of saved rows with the columns of ``align`` and a
-    unique ``row``; ``counts`` is a saved table of ``pair_counts``.
+def link_scores(marked: DataFrame, counts: DataFrame, head_pairs: int = HEAD_PAIRS) -> DataFrame:
+    """``row, n_links, n_best, count_sum`` of the first table of ``mark``; ``counts`` is a
+    saved table of ``pair_counts``.
 
     The counts of the ``head_pairs`` most frequent pairs go to every task. A row's other
     pairs leave it as a list and are joined by a shuffle; rare pairs are no hot keys.
     """
-    spark = aligned.sparkSession
+    spark = marked.sparkSession
     pairs, n_docs, is_best, rest = _head(counts, head_pairs)
     shared = spark.sparkContext.broadcast((pairs, n_docs, is_best))
 
@@ -346,7 +390,7 @@ def link_scores(aligned: DataFrame, counts: DataFrame, head_pairs: int = HEAD_PA
             )
 
     schema = "row bigint, n_links bigint, n_best bigint, count_sum bigint, pairs array<bigint>, times array<bigint>"
-    columns = aligned.select("row", "a_ids", "b_ids", "a_sizes", "b_sizes")
+    columns = marked.select("row", "a_marks", "b_marks")
     first = saved(columns.mapInArrow(score, schema), "link-scores")
     rare = first.where(F.size("pairs") > 0).select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x"))
     rare = rare.select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times")).join(rest, "pair")
@@ -368,14 +412,8 @@ def report(docs: DataFrame, byte_path: str, pattern: str, piece_path: str, head_
     Rows without tokens have zeros and an empty digest. Repeated rows and rows without an id
     are rows of their own, and each counts among the rows that hold a pair.
     """
-    found = align(docs.select("doc_id", "text"), byte_path, pattern, piece_path)
-    empty = F.size("aligned.a_ids") == 0
-    digest = F.when(empty, "").otherwise(F.sha2("aligned.groups", 256)).alias("groups_sha256")
-    lists = [F.col(f"aligned.{c}") for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")]
-    rows = saved(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", *lists, digest), "aligned")
-    scores = link_scores(rows, saved(pair_counts(rows), "counted-pairs"), head_pairs)
-    size = lambda c: F.size(c).cast("long")
-    numbers = [size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("a_sizes").alias("n_groups")]
-    return rows.select("row", "doc_id", *numbers, "groups_sha256").join(scores, "row").select(
+    rows, parts = mark(docs, byte_path, pattern, piece_path)
+    scores = link_scores(rows, saved(pair_counts(parts), "counted-pairs"), head_pairs)
+    return rows.select("row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256").join(scores, "row").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )
