@@ -209,8 +209,9 @@ def with_pieces(
 
     ``key`` must be unique, ``carry`` columns depend on it; see ``pieces_of_rows``.
     """
-    rows = df.select(key, *carry, F.posexplode_outer("words").alias("at_word", "word"))
-    return pieces_of_rows(rows, key, vocab, unk, carry, limit, broadcast_bytes)
+    # The key may be called as the words are.
+    rows = df.select(F.col(key).alias("_key"), *carry, F.posexplode_outer("words").alias("at_word", "word"))
+    return pieces_of_rows(rows, "_key", vocab, unk, carry, limit, broadcast_bytes).withColumnRenamed("_key", key)
 
 
 def pieces_of_rows(

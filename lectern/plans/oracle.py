@@ -401,6 +401,8 @@ def oracle_sql() -> dict[str, str]:
                                                lambda n: n > 18), ' ') AS sizes
             FROM documents""",
         "lr_predictions": "SELECT doc_id, label, true AS known FROM parts WHERE split = 'test'",
+        "lr_reloaded": "SELECT doc_id, label, true AS same FROM parts WHERE split = 'test'",
+        "lr_optimum": "SELECT label, n_rows, true AS at_optimum FROM weights",
         "array_round_trip": f"""
             SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, {_IDS}, {_MASK}
             FROM encoded""",

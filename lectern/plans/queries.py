@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +11,16 @@ from lectern.operators import (
     bayes, clean, encode, evaluate, join, labels, linear, loss, profile, rank, split,
 )
 from lectern.plans import stages, workflow
-from lectern.plans.shared import join_ids, scratch_path
-from lectern.sources import runs, tables
+from lectern.plans.shared import join_ids, saved, scratch_path
+from lectern.sources import delimited, runs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TASK_B = "quality"
 TASK_C = "toxic"
 EPOCHS = 3
+# Bound of the gradient's length at the optimum, as a share of that without coefficients.
+OPTIMUM = 1e-4
 _QUERIES: dict[str, Query] = {}
 
 
@@ -534,7 +537,7 @@ def valid_report(spark, sf_dir):
 def _text_round_trip(spark, sf_dir, sep):
     path = scratch_path(spark, "corpus-text")
     tables.write_text_corpus(stages.corpus(spark, sf_dir), path, sep=sep)
-    rows = tables.number_rows(tables.read_text_corpus(spark, path, sep=sep), "position")
+    rows = delimited.read_quoted(spark, path, tables.CORPUS_SCHEMA, sep, name="position")
     return rows.select("position", "label", F.md5("text").alias("text_md5"))
 
 
@@ -622,9 +625,29 @@ def run_params(spark, sf_dir):
 def lr_predictions(spark, sf_dir):
     """Every test row, and whether its prediction is a class of the training part.
 
-    The weights of an iterative solver have no SQL form.
+    The weights of an iterative solver have no SQL form; see ``lr_optimum``.
     """
-    model = linear.fit_linear(stages.part(spark, sf_dir), stages.class_weights(spark, sf_dir))
-    found = linear.predict_linear(stages.part(spark, sf_dir, name="test"), model)
+    found = linear.predict_linear(stages.part(spark, sf_dir, name="test"), stages.linear_model(spark, sf_dir))
     known = F.col("prediction").isin(stages.class_list(spark, sf_dir))
     return found.select("doc_id", "label", known.alias("known"))
+
+
+@query
+def lr_reloaded(spark, sf_dir):
+    """The same by the model as saved and loaded again, next to the fitted one's answer."""
+    path = scratch_path(spark, "linear")
+    fitted = stages.linear_model(spark, sf_dir)
+    fitted.write().overwrite().save(path)
+    test = stages.part(spark, sf_dir, name="test")
+    again = linear.predict_linear(test, PipelineModel.load(path))
+    both = again.join(linear.predict_linear(test, fitted).withColumnRenamed("prediction", "fitted"), ["doc_id", "label"])
+    return both.select("doc_id", "label", (F.col("prediction") == F.col("fitted")).alias("same"))
+
+
+@query
+def lr_optimum(spark, sf_dir):
+    """Each class of the training part, and whether the loss has no slope left in its
+    coefficients: found from the data by joins, not from the solver's report."""
+    betas = saved(linear.coefficients(spark, stages.linear_model(spark, sf_dir)), "betas")
+    norms = linear.gradient_norms(stages.part_words(spark, sf_dir), stages.class_weights(spark, sf_dir), betas)
+    return norms.select("label", "n_rows", (F.col("norm") <= OPTIMUM * F.col("start")).alias("at_optimum"))

@@ -8,10 +8,13 @@ shared folder, and read from there by every query that needs them.
 from collections.abc import Callable
 from functools import wraps
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import bayes, clean, encode, evaluate, labels, postings, profile, rank, split
+from lectern.operators import (
+    bayes, clean, encode, evaluate, labels, linear, postings, profile, rank, split,
+)
 from lectern.plans.shared import join_ids, scratch_path, spread
 from lectern.plans.workflow import BATCH_SIZE, TRAIN_SEED
 from lectern.sources.tables import write_table
@@ -168,3 +171,14 @@ def valid_batches(spark, sf_dir, task):
     logits = valid_logits(spark, sf_dir, task)
     predicted = evaluate.with_prediction(logits, scores(spark, sf_dir, task).classes)
     return rank.batches(predicted, BATCH_SIZE)
+
+
+_linear: dict[tuple, PipelineModel] = {}
+
+
+def linear_model(spark, sf_dir, task="lang") -> PipelineModel:
+    """The logistic regression of the training part, fitted on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, task)
+    if key not in _linear:
+        _linear[key] = linear.fit_linear(part(spark, sf_dir, task), class_weights(spark, sf_dir, task))
+    return _linear[key]

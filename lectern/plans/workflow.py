@@ -1,7 +1,8 @@
 """The three steps a user runs: prepare a corpus, train on it, test the model.
 
-Steps hand over Parquet tables under one folder: ``classes``, ``corpus`` and ``encoded``
-(each of the two partitioned by split), ``vocab``, and one model folder per epoch.
+Steps hand over Parquet tables under one folder: ``classes``, ``corpus``, its ``words`` and
+``encoded`` (the three partitioned by split), ``vocab``, and one model folder per epoch.
+Texts are cut into words once; vocabulary, encoding and the count model read ``words``.
 Rerunning a step overwrites its tables and records.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import words
 from lectern.operators import (
-    bayes, clean, encode, evaluate, labels, linear, loss, profile, rank, split,
+    bayes, clean, encode, evaluate, labels, linear, loss, postings, profile, rank, split,
 )
 from lectern.plans.shared import saved
 from lectern.sources import runs
@@ -35,7 +36,7 @@ def prepare(
     Labels of any type are mapped to 0, 1, ... in their order; ``classes`` keeps the map.
     A row without a label is an error. A supplied ``vocab`` brings its own marker ids;
     otherwise one is built from the training part. The given texts are read twice, for the
-    digests and for writing the cleaned and split corpus; vocabulary and encoding read that.
+    digests and for writing the cleaned and split corpus.
     """
     spark = corpus.sparkSession
     named = corpus.select("doc_id", F.col("label").alias("class"), "text")
@@ -45,6 +46,8 @@ def prepare(
     cleaned, keys = clean.clean_with_keys(corpus, min_tokens)
     write_table(split.stratified_split(cleaned, keys=keys), f"{folder}/corpus", "split")
     rows = spark.read.parquet(f"{folder}/corpus")
+    write_table(postings.postings(rows, ("label", "split"), max_len - 2), f"{folder}/words", "split")
+    rows = spark.read.parquet(f"{folder}/words")
     if vocab is None:
         vocab, specials = encode.build_vocab(rows.where("split = 'train'")), encode.Specials()
     else:
@@ -90,12 +93,14 @@ def train(
 
     From epoch 1 on, the counts go on top of the model of the epoch before: prepare new
     rows into the folder, then train the next epoch. With ``linear_model`` the logistic
-    regression is fitted instead, to its end in one epoch. Loss, accuracy, precision,
+    regression is fitted instead, to its end in epoch 0; a later epoch is an error. Loss, accuracy, precision,
     recall and F1 of both parts are recorded, the training batches in the epoch's shuffled
     order; training an epoch again replaces its records.
     """
-    rows = read_split(spark, f"{folder}/corpus", "train")
-    weights = saved(profile.class_weights(rows), "weights")
+    if linear_model and epoch:
+        raise ValueError("the linear model is fitted to its end in epoch 0 and cannot be trained further")
+    weights = saved(profile.class_weights(read_split(spark, f"{folder}/corpus", "train")), "weights")
+    rows = _rows(spark, folder, "train", linear_model)
     path = _model_path(folder, epoch)
     if linear_model:
         linear.fit_linear(rows, weights).write().overwrite().save(path)
@@ -116,7 +121,7 @@ def train(
                 "model_path": f"{folder}/model",
             },
         )
-    valid = read_split(spark, f"{folder}/corpus", "valid")
+    valid = _rows(spark, folder, "valid", linear_model)
     for subset, batched in (
         ("train", rank.batches(score(rows), batch_size, seed, epoch)),
         ("valid", rank.batches(score(valid), batch_size)),
@@ -136,6 +141,11 @@ def _load(spark: SparkSession, path: str, linear_model: bool):
     return model, lambda rows: _scored(rows, scores), scores.classes
 
 
+def _rows(spark: SparkSession, folder: str, part: str, linear_model: bool) -> DataFrame:
+    """What a model reads of a part: the linear one texts, the count model their words."""
+    return read_split(spark, f"{folder}/corpus" if linear_model else f"{folder}/words", part)
+
+
 def _model_path(folder: str, epoch: int) -> str:
     return f"{folder}/model/epoch-{epoch}"
 
@@ -155,7 +165,8 @@ def test(
     rows = read_split(spark, f"{folder}/corpus", "test").select("doc_id", "label", "text")
     names = spark.read.parquet(f"{folder}/classes")
     _, score, classes = _load(spark, _model_path(folder, epoch), linear_model)
-    batched = saved(rank.batches(score(rows), batch_size).drop("logits"), "predictions")
+    scored = score(_rows(spark, folder, "test", linear_model))
+    batched = saved(rank.batches(scored, batch_size).drop("logits"), "predictions")
     predicted = names.select(F.col("label").alias("prediction"), F.col("class").alias("predicted_class"))
 
     def named(df):

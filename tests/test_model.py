@@ -184,3 +184,41 @@ def test_predict(corpus, pairs):
     scored = bayes.score(corpus(pairs), bayes.scores_of(bayes.fit_counts(corpus(pairs))))
     got = {r.doc_id: r.prediction for r in evaluate.predict(scored).collect()}
     assert got == {r.doc_id: int(np.argmax(r.logits)) for r in scored.collect()}
+
+
+def test_the_gradient_vanishes_at_the_optimum_only(spark, corpus, pairs):
+    from lectern.operators.postings import postings
+    from lectern.plans.shared import saved
+
+    df = corpus(pairs)
+    weights = profile.class_weights(df)
+    rows = saved(postings(df), "postings")
+    model = linear.fit_linear(df, weights, tol=1e-9)
+    betas = saved(linear.coefficients(spark, model), "betas")
+    found = linear.gradient_norms(rows, weights, betas).collect()
+    assert sorted((r.label, r.n_rows) for r in found) == sorted(Counter(c for c, _ in pairs).items())
+    assert all(r.norm < 1e-3 * r.start for r in found)
+    moved = saved(betas.withColumn("betas", F.transform("betas", lambda b: b * 1.2)), "moved")
+    assert all(r.norm > 5e-3 * r.start for r in linear.gradient_norms(rows, weights, moved).collect())
+    # Without coefficients the gradient is the one at the start, found here by hand.
+    zero = saved(betas.withColumn("betas", F.transform("betas", lambda b: b * 0)), "zero")
+    at_zero = {r.label: r for r in linear.gradient_norms(rows, weights, zero).collect()}
+    weight = {r.label: r.weight for r in weights.collect()}
+    idf = {r.word: r.idf for r in betas.collect()}
+    whole = sum(weight[c] for c, _ in pairs)
+    features = [Counter({w: n * idf[w] for w, n in Counter(text.split()).items() if w in idf}) for _, text in pairs]
+    squares = sum(weight[c] ** 2 for c, _ in pairs)
+    scale = {None: 1.0}
+    for word in idf:
+        if word is not None:
+            mean = sum(weight[c] * x[word] for (c, _), x in zip(pairs, features)) / whole
+            scale[word] = math.sqrt(sum(weight[c] * (x[word] - mean) ** 2 for (c, _), x in zip(pairs, features)) / (whole - squares / whole))
+    for k, row in at_zero.items():
+        slope = Counter()
+        for (c, _), row_features in zip(pairs, features):
+            error = weight[c] / whole * (1 / len(weight) - (c == k))
+            slope[None] += error
+            for word, x in row_features.items():
+                slope[word] += error * x
+        by_hand = math.sqrt(sum((v / scale[word]) ** 2 for word, v in slope.items()))
+        assert row.norm == pytest.approx(by_hand) == row.start

@@ -38,3 +38,13 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["strip_segments", "empty_segments", "drop_empty_segments", "error_rows", "first_error_rows"])
 def test_rows_that_can_fail(spark, name):
     assert catalogue.queries()[name](spark, SF_DIR).count() > 0
+
+
+def test_the_linear_model_on_held_out_rows(spark):
+    from lectern.operators import linear
+    from lectern.plans import stages
+
+    test = stages.part(spark, SF_DIR, name="test")
+    found = linear.predict_linear(test, stages.linear_model(spark, SF_DIR)).collect()
+    assert len(found) == test.count()
+    assert sum(r.label == r.prediction for r in found) >= 0.95 * len(found)

@@ -85,3 +85,10 @@ def test_supplied_vocabulary_brings_its_marker_ids(spark, corpus, pairs, tmp_pat
         assert 14 in row.token_ids and 12 not in row.token_ids
         assert sum(row.attention_mask) == min(row.n_words, 14) + 2
     assert encode.special_ids(vocab) == encode.Specials(10, 12, 13, 14)
+
+
+def test_the_linear_model_cannot_be_trained_further(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(ValueError, match="cannot be trained further"):
+        workflow.train(spark, str(tmp_path), "r", epoch=1, linear_model=True)
