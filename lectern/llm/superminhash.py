@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from lectern.llm.batches import longs, text_slices
 from lectern.llm.components import components
 from lectern.llm.vectors import add_up
-from lectern.llm.words import NOT_SPACE, hashed_words, mix, salted, shingles
+from lectern.llm.words import NOT_SPACE, hashed_words, mix, salted, shingles, strengthened
 from lectern.plans.shared import saved
 
 U = np.uint64
 SHINGLE = 5
 # Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-# At a similarity of 0.75 a pair shares no band once in about 6,000.
-BANDS, ROWS = 32, 5
+# At a similarity of 0.75 a pair shares no band once in about 4 million.
+BANDS, ROWS = 40, 4
 # Elements whose permutations are held at once.
 STEP_ELEMENTS = 1 << 16
 # Counters, as a power of two, of the sketch that orders shingles by rarity.
@@ -54,13 +54,18 @@ def signatures(elements: np.ndarray, text: np.ndarray, n_texts: int, size: int)
     return bins.reshape(n_texts, size)
 
 
+def _sets(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text and the text of each, ordered by text."""
+    begin, end, words, first = hashed_words(data, starts, NOT_SPACE)
+    return shingles(strengthened(data, begin, end, words), first, SHINGLE)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
         for data, starts, low, high in text_slices(batch.column("text"), 1 << 19):
             n = high - low
-            _, _, words, first = hashed_words(data, starts, NOT_SPACE)
-            found, text = shingles(words, first, SHINGLE)
+            found, text = _sets(data, starts)
             size = np.bincount(text, minlength=n)
             key1, key2 = np.zeros(n, U), np.zeros(n, U)
             np.add.at(key1, text, salted(found, 101))
@@ -88,8 +93,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_pylist()
         out = []
         for data, starts, low, high in text_slices(batch.column("text")):
-            _, _, words, first = hashed_words(data, starts, NOT_SPACE)
-            found, text = shingles(words, first, SHINGLE)
+            found, text = _sets(data, starts)
             edges = np.searchsorted(text, np.arange(high - low + 1))
             for i in range(low, high):
                 mine = found[edges[i - low] : edges[i - low + 1]]
@@ -129,8 +133,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH_BITS)
     for batch in batches:
         for data, starts, _, _ in text_slices(batch.column("text")):
-            _, _, words, first = hashed_words(data, starts, NOT_SPACE)
-            total += np.bincount(_slots(shingles(words, first, SHINGLE)[0]), minlength=len(total))
+            total += np.bincount(_slots(_sets(data, starts)[0]), minlength=len(total))
     yield pa.RecordBatch.from_arrays(
         [pa.array(["counts"]), longs([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())],
         names=["key", "part", "vector"],
@@ -147,8 +150,7 @@ def _prefixes(counts, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, starts, low, high in text_slices(batch.column("text")):
-                _, _, words, first = hashed_words(data, starts, NOT_SPACE)
-                found, text = shingles(words, first, SHINGLE)
+                found, text = _sets(data, starts)
                 order = np.lexsort((found, counts.value[_slots(found)], text))
                 found, text = found[order], text[order]
                 size = np.bincount(text, minlength=high - low)

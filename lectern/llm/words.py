@@ -5,6 +5,8 @@ of a piece of text come from one running sum. Equal hashes are taken as candidat
 an operator promises exact results, and texts are compared there.
 """
 
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
@@ -14,6 +16,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_CODE = np.random.default_rng(20240917).integers(1, 1 << 63, 256, dtype=np.uint64)
 # Bytes that byte-level arrays are built for at once.
 PIECE = 1 << 20
+# Polynomials modulo 2**64 are equal for some words of 1,024 bytes and more that differ,
+# whatever the base; ``strengthened`` hashes words beyond this length another way.
+POLYNOMIAL_BYTES = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -112,6 +117,15 @@ def hashed_words(
     return begin, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(begin, starts)
 
 
+def strengthened(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """``hashes`` of words with those of long words replaced by BLAKE2b of their folded bytes."""
+    out = hashes.copy()
+    for i in np.flatnonzero(end - begin > POLYNOMIAL_BYTES):
+        digest = blake2b(LOWER[data[begin[i] : end[i]]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every ``size`` consecutive words, one for each possible first word."""
     n = len(words) - size + 1

@@ -61,6 +61,29 @@ def test_a_chain_of_changes_and_a_large_group(spark):
     check(spark, rows)
 
 
+def test_long_words_of_doubling_sequences_differ(spark):
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    other = " ".join(f"w{i}" for i in range(6))
+    rows = [(1, one), (2, two), (3, one.upper()), (4, f"{other} {one}"), (5, f"{other} {two}"), (6, f"{other} {one}")]
+    check(spark, rows)
+
+
+def test_bands_miss_few_pairs():
+    # Pairs at a similarity of exactly 0.75: 300 shared shingles of 400.
+    rng = np.random.default_rng(1)
+    n, text = 60, np.repeat(np.arange(2), [350, 350])
+    missed = 0
+    for _ in range(n):
+        common = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+        sides = [np.r_[common, rng.integers(0, 1 << 63, 50, dtype=np.uint64)] for _ in range(2)]
+        marks = superminhash.signatures(np.concatenate(sides), text, 2, superminhash.BANDS * superminhash.ROWS)
+        bands = (marks[0] == marks[1]).reshape(superminhash.BANDS, superminhash.ROWS).all(1)
+        assert bands.sum() >= 2
+        missed += not bands.any()
+    assert missed == 0
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
