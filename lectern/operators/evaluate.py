@@ -63,7 +63,7 @@ def batch_metrics(batched: DataFrame, labels: list[int], size: int) -> DataFrame
     with 0 and no batch x label product is needed.
     """
     zeros = F.when(
-        F.col("position") % size == 0, F.array(*[_tally(F.lit(c), 0, 0, 0) for c in labels])
+        F.col("position") % size == 0, F.transform(F.lit(labels), lambda c: _tally(c, 0, 0, 0))
     ).otherwise(F.array().cast("array<struct<label:int,tp:bigint,predicted:bigint,actual:bigint>>"))
     tallies = batched.select("batch_id", F.inline(F.concat(F.array(*_row_tallies()), zeros)))
     return _sum_tallies(tallies, "batch_id").select(

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.hashing import seeded_hash, unit_hash
+from lectern.operators.labels import class_side
+from lectern.plans.shared import saved
 
 # Leading hex digits of the seeded hash that form a bucket: 65,536 buckets a label.
 _BUCKET_DIGITS = 4
-_CUT_SCHEMA = "label INT, cut_hash STRING, cut_id BIGINT"
 
 
 def allocate(sizes: dict[int, int], fraction: float) -> dict[int, int]:
@@ -31,43 +32,60 @@ def allocate(sizes: dict[int, int], fraction: float) -> dict[int, int]:
     return quotas
 
 
+def quotas(sizes: DataFrame, fraction: float) -> DataFrame:
+    """``label, quota`` from ``label, n``: what ``allocate`` gives, for any number of classes.
+
+    The windows run over one row a class. Three numbers reach the driver.
+    """
+    whole = sizes.agg(
+        F.sum("n").alias("total"), F.min("n").alias("least"), F.sum(F.when(F.col("label").isNull(), F.col("n"))).alias("bare")
+    ).first()
+    if whole.bare:
+        raise ValueError(f"{whole.bare} rows have no label and cannot be split by class")
+    if (whole.least or 0) < 2:
+        raise ValueError("every class needs at least 2 rows to be split")
+    kept = whole.total - math.ceil(fraction * whole.total)
+    share = F.col("n").cast("double") * F.lit(kept) / F.lit(whole.total)
+    by_remainder = Window.orderBy(F.col("quota") - F.col("share"), "label")
+    spare = F.lit(kept) - F.sum("quota").over(Window.partitionBy())
+    one_more = (F.row_number().over(by_remainder) <= spare).cast("bigint")
+    floors = sizes.withColumn("share", share).withColumn("quota", F.floor("share"))
+    return floors.select("label", (F.col("quota") + one_more).alias("quota"))
+
+
 def _cut_points(keys: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Per class the greatest (hash, id) that is still kept: a literal table, a row a class.
+    """Per class the greatest (hash, id) that is still kept: a written table, a row a class.
 
     Keeping the k lowest hashes of a class needs the k-th lowest, not a rank for every
     row: bucket counts find the bucket holding it, and only the rows of that one bucket
-    are ordered. Class sizes and cuts are all that reaches the driver.
+    are ordered. No class reaches the driver.
     """
-    spark = keys.sparkSession
-    sizes = {r.label: r.n for r in keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if None in sizes:
-        raise ValueError(f"{sizes[None]} rows have no label and cannot be split by class")
-    quotas = allocate(sizes, fraction)
     keys = keys.withColumn("hash", seeded_hash("doc_id", seed)).withColumn(
         "bucket", F.substring("hash", 1, _BUCKET_DIGITS)
     )
-    counts = keys.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n_bucket"))
+    counts = saved(keys.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n_bucket")), "bucket-counts")
+    quota_of = saved(quotas(counts.groupBy("label").agg(F.sum("n_bucket").alias("n")), fraction), "quotas")
     running = Window.partitionBy("label").orderBy("bucket")
     upto, quota = F.col("upto"), F.col("quota")
-    edge = (
+    edge = saved(
         counts.withColumn("upto", F.sum("n_bucket").over(running))
-        .join(
-            F.broadcast(spark.createDataFrame(list(quotas.items()), "label INT, quota BIGINT")),
-            "label",
-        )
+        .join(class_side(quota_of), "label")
         .where((quota <= upto) & (quota > upto - F.col("n_bucket")))
-        .select("label", "bucket", (quota - upto + F.col("n_bucket")).alias("nth"))
+        .select("label", "bucket", (quota - upto + F.col("n_bucket")).alias("nth")),
+        "edges",
     )
     in_bucket = Window.partitionBy("label").orderBy("hash", "doc_id")
     cuts = (
-        keys.join(F.broadcast(edge), ["label", "bucket"])
+        keys.join(class_side(edge), ["label", "bucket"])
         .withColumn("rank", F.row_number().over(in_bucket))
         .where(F.col("rank") == F.col("nth"))
-        .collect()
+        .select("label", "hash", "doc_id")
     )
     # A class that keeps nothing has no cut: every hash lies beyond the empty string.
-    found = dict.fromkeys(quotas, ("", 0)) | {r.label: (r.hash, r.doc_id) for r in cuts}
-    return spark.createDataFrame([(label, *cut) for label, cut in found.items()], _CUT_SCHEMA)
+    found = quota_of.join(cuts, "label", "left").select(
+        "label", F.coalesce("hash", F.lit("")).alias("cut_hash"), F.coalesce("doc_id", F.lit(0)).alias("cut_id")
+    )
+    return saved(found, "cuts")
 
 
 def _beyond(df: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
@@ -75,7 +93,7 @@ def _beyond(df: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
     here = F.struct(seeded_hash("doc_id", seed), F.col("doc_id"))
     cut = F.struct(F.col("cut_hash"), F.col("cut_id"))
     return (
-        df.join(F.broadcast(cuts), "label")
+        df.join(class_side(cuts), "label")
         .withColumn("_beyond", here > cut)
         .drop("cut_hash", "cut_id")
     )

@@ -69,6 +69,38 @@ def test_resuming_equals_fitting_the_whole(spark, corpus, pairs, tmp_path):
     )
 
 
+@pytest.mark.parametrize("limit", [0, 900, 32 << 20])
+def test_rows_of_classes_sum_to_the_same_scores(corpus, pairs, limit):
+    scores = bayes.scores_of(bayes.fit_counts(corpus(pairs[:60])))
+    found = bayes.score(corpus(pairs), scores, broadcast_bytes=limit, column_classes=0)
+    want = bayes.score(corpus(pairs), scores, broadcast_bytes=limit)
+    np.testing.assert_allclose(logits_of(found), logits_of(want), atol=2e-6)
+    np.testing.assert_allclose(logits_of(found), by_hand(pairs[:60], pairs), atol=2e-6)
+
+
+def test_no_listed_word(corpus):
+    scores = bayes.scores_of(bayes.fit_counts(corpus([(0, "a"), (1, "b"), (1, "c")])))
+    for classes in (0, 64):
+        assert len({tuple(x) for x in logits_of(bayes.score(corpus([(0, "a b"), (1, ""), (1, None)]), scores, column_classes=classes))}) == 1
+
+
+def test_five_thousand_classes(corpus):
+    train = [(c, f"common own{c} own{c} near{c % 700}") for c in range(5_000)]
+    train += [(c, "common common") for c in range(100)]
+    scores = bayes.scores_of(bayes.fit_counts(corpus(train)))
+    assert len(scores.classes) == 5_000
+    test = [(c, f"own{c} own{c} common unheard") for c in range(0, 5_000, 500)] + [(3, "")]
+    logits = bayes.score(corpus(test), scores)
+    np.testing.assert_allclose(logits_of(logits), by_hand(train, test), atol=2e-6)
+    predicted = {r.doc_id: (r.label, r.prediction) for r in evaluate.with_prediction(logits, scores.classes).collect()}
+    assert sum(a == b for a, b in predicted.values()) >= 10
+    rows = evaluate.with_prediction(logits, scores.classes).select(
+        F.col("doc_id").alias("position"), F.lit(0).alias("batch_id"), "label", "prediction"
+    )
+    per_label = evaluate.batch_metrics(rows, scores.classes, 100).collect()
+    assert len(per_label) == 5_000 and sum(r.tp for r in per_label) >= 10
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_layout_does_not_matter(corpus, pairs, parts):
     model = bayes.fit_counts(corpus(pairs))

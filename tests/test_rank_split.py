@@ -85,6 +85,28 @@ def test_small_classes(spark):
     assert sum(s == "test" for s in got.values()) == math.ceil(0.2 * 100)
 
 
+def test_quotas_of_many_classes(spark):
+    rng = random.Random(3)
+    sizes = {c: 2 + rng.randint(0, 40) for c in range(5_000)}
+    table_of = spark.createDataFrame(list(sizes.items()), "label INT, n BIGINT")
+    for fraction in (0.2, 0.37):
+        got = {r.label: r.quota for r in split.quotas(table_of, fraction).collect()}
+        assert got == split.allocate(sizes, fraction)
+
+
+def test_split_of_many_classes(spark):
+    rows = {i: i % 5_000 for i in range(17_000)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id BIGINT, label INT")
+    got = {r.doc_id: r.split for r in split.stratified_split(df, PARTS[:1]).collect()}
+    assert got == by_hand(rows, PARTS[:1])
+
+
+def test_a_row_without_label_is_refused(spark):
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, None)], "doc_id BIGINT, label INT")
+    with pytest.raises(ValueError, match="1 rows have no label"):
+        split.stratified_split(df)
+
+
 def test_a_class_of_one_row_is_refused(spark):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id BIGINT, label INT")
     with pytest.raises(ValueError, match="at least 2"):
