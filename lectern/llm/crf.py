@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> F
     """
     labels = labels.where("label IS NOT NULL AND doc_id IS NOT NULL")
     one = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = least_hashes(one, "doc_id", sample_docs, labels.count())
+    chosen = least_hashes(one, "doc_id", sample_docs, one.count())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -93,14 +93,14 @@ def fit(rows: DataFrame, bits: int = BUCKET_BITS, smoothing: float = 0.5) -> Lan
 
     Each task counts its own rows; the count vectors are added up on the executors and
     only the languages' sums, ``len(ORDERS) << bits`` numbers each, come to the driver. The
-    number of languages must be bounded: ``bits`` is lowered, for any number of rows alike,
-    until the matrix is below ``MATRIX_BYTES``. Rows without language teach nothing; rows
+    number of languages must be bounded: a matrix beyond ``MATRIX_BYTES``, with the default
+    ``bits`` that of more than 341 languages, is an error. Rows without language teach nothing; rows
     without text count for the prior alone.
     """
     rows = rows.where(F.col("lang").isNotNull()).select("lang", "text")
     languages = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    while bits > 4 and (len(ORDERS) << bits) * max(len(languages), 1) * 4 > MATRIX_BYTES:
-        bits -= 1
+    if (len(ORDERS) << bits) * len(languages) * 4 > MATRIX_BYTES:
+        raise ValueError(f"{len(languages)} languages need a smaller value of bits than {bits}")
     width = len(ORDERS) << bits
     place = {lang: i for i, lang in enumerate(languages)}
 

@@ -98,60 +98,104 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+# Logits up to this size neither overflow nor vanish as exponentials of 32-bit numbers.
+SAFE_LOGIT = 60.0
+
+
+def _exp(z: np.ndarray, bound: float) -> np.ndarray:
+    """Exponentials in place, up to a factor for each row, of logits no larger than ``bound``."""
+    if bound > SAFE_LOGIT:
+        z -= z.max(1, keepdims=True)
+    return np.exp(z, out=z)
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, bound: float, ones: np.ndarray) -> np.ndarray:
+    """Log softmax of one entry of each row; ``z`` is overwritten."""
+    if bound > SAFE_LOGIT:
+        z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), at]
+    return picked - np.log(np.exp(z, out=z) @ ones)
+
+
+def _with_bias(net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Both output layers with their biases as a last row."""
+    to_class = np.vstack([net.to_class, net.class_bias])
+    return to_class, np.concatenate([net.to_word, net.word_bias[:, None]], 1)
+
+
+def _bound(layer: np.ndarray) -> float:
+    """The largest size a logit can have, as hidden units lie between -1 and 1."""
+    return float(np.abs(layer).sum(-2).max())
+
+
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Order that sorts words by class, their classes, and ``class, first, end`` of each run."""
+    group = (ids // IN_CLASS).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return order, group, list(zip(group[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(group)]))
+
+
+def _hidden(net: Network, given: np.ndarray) -> np.ndarray:
+    """Hidden units and a last column of ones, which the biases go with."""
+    out = np.ones((len(given), HIDDEN + 1), np.float32)
+    np.tanh(given @ net.inner + net.inner_bias, out=out[:, :HIDDEN])
+    return out
+
+
+def _given(net: Network, around: np.ndarray) -> np.ndarray:
+    return net.embed.take(around.ravel(), 0).reshape(len(around), -1)
 
 
 def log_probabilities(net: Network, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Conditional log probability of each word given its window."""
     out = np.empty(len(ids))
+    to_class, to_word = _with_bias(net)
+    bounds = _bound(to_class), _bound(to_word)
+    ones, logits = np.ones(IN_CLASS, np.float32), np.empty((min(BATCH, len(ids)), IN_CLASS), np.float32)
     for low in range(0, len(ids), BATCH):
         y = ids[low : low + BATCH]
-        order = np.argsort(y // IN_CLASS, kind="stable")
-        y = y[order]
-        group = y // IN_CLASS
-        hidden = _hidden(net, around[low : low + BATCH][order])
-        logp = _log_softmax(hidden @ net.to_class + net.class_bias)[np.arange(len(y)), group]
-        for c, a, b in _runs(group):
-            words = _log_softmax(hidden[a:b] @ net.to_word[c] + net.word_bias[c])
-            logp[a:b] += words[np.arange(b - a), y[a:b] % IN_CLASS]
-        out[low + order] = logp
+        order, group, runs = _by_class(y)
+        place = y[order] % IN_CLASS
+        hidden = _hidden(net, _given(net, around[low : low + BATCH][order]))
+        words = logits[: len(y)]
+        for c, a, b in runs:
+            np.matmul(hidden[a:b], to_word[c], out=words[a:b])
+        out[low + order] = _log_softmax_at(words, place, bounds[1], ones) + _log_softmax_at(
+            hidden @ to_class, group, bounds[0], ones
+        )
     return out
 
 
-def _hidden(net, around):
-    return np.tanh(net.embed[around].reshape(len(around), -1) @ net.inner + net.inner_bias)
-
-
-def _runs(group):
-    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    return zip(group[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(group)])
-
-
 def train(net: Network, around: np.ndarray, ids: np.ndarray, rate: float) -> None:
     """One pass of stochastic gradient ascent over the words, in place."""
+    to_class, to_word = _with_bias(net)
+    ones, logits = np.ones(IN_CLASS, np.float32), np.empty((min(BATCH, len(ids)), IN_CLASS), np.float32)
     for low in range(0, len(ids), BATCH):
         y = ids[low : low + BATCH]
-        order = np.argsort(y // IN_CLASS, kind="stable")
-        y, window = y[order], around[low : low + BATCH][order]
-        n, group = len(y), y // IN_CLASS
-        given = net.embed[window].reshape(n, -1)
-        hidden = np.tanh(given @ net.inner + net.inner_bias)
+        order, group, runs = _by_class(y)
+        window = around[low : low + BATCH][order]
+        n, here, place = len(y), np.arange(len(y)), y[order] % IN_CLASS
+        given = _given(net, window)
+        hidden = _hidden(net, given)
         step = np.float32(rate / n)
-        miss = -np.exp(_log_softmax(hidden @ net.to_class + net.class_bias))
-        miss[np.arange(n), group] += 1
-        back = miss @ net.to_class.T
-        net.to_class[:] += step * (hidden.T @ miss)
-        net.class_bias[:] += step * miss.sum(0)
-        for c, a, b in _runs(group):
-            part = hidden[a:b]
-            off = -np.exp(_log_softmax(part @ net.to_word[c] + net.word_bias[c]))
-            off[np.arange(b - a), y[a:b] % IN_CLASS] += 1
-            back[a:b] += off @ net.to_word[c].T
-            net.to_word[c] += step * (part.T @ off)
-            net.word_bias[c] += step * off.sum(0)
-        back *= 1 - hidden**2
+        miss = _exp(hidden @ to_class, _bound(to_class))
+        miss *= (-1 / (miss @ ones))[:, None]
+        miss[here, group] += 1
+        off = logits[:n]
+        for c, a, b in runs:
+            np.matmul(hidden[a:b], to_word[c], out=off[a:b])
+        _exp(off, _bound(to_word))
+        off *= (-1 / (off @ ones))[:, None]
+        off[here, place] += 1
+        back = miss @ to_class.T
+        for c, a, b in runs:
+            back[a:b] += off[a:b] @ to_word[c].T
+            to_word[c] += step * (hidden[a:b].T @ off[a:b])
+        to_class += step * (hidden.T @ miss)
+        back, units = back[:, :HIDDEN], hidden[:, :HIDDEN]
+        back *= 1 - units**2
         to_given = back @ net.inner.T
         net.inner[:] += step * (given.T @ back)
         net.inner_bias[:] += step * back.sum(0)
@@ -159,6 +203,8 @@ def train(net: Network, around: np.ndarray, ids: np.ndarray, rate: float) -> Non
         to_given = to_given.reshape(-1, EMBED)
         for d in range(EMBED):
             net.embed[:, d] += (step * EMBED) * np.bincount(flat, to_given[:, d], len(net.embed)).astype(np.float32)
+    net.to_class[:], net.class_bias[:] = to_class[:-1], to_class[-1]
+    net.to_word[:], net.word_bias[:] = to_word[:, :-1], to_word[:, -1]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from plain import docs_of, edge_rows
 from pyspark.sql import functions as F
 
 from lectern.llm import boost, crf, langid, pseudo, queries, sample
+from lectern.llm.vectors import add_up
+from lectern.llm.words import NOT_SPACE, hashed_words
 from lectern.plans.shared import saved
 
 SF01 = "/root/testdata/sf0.01"
@@ -125,6 +128,70 @@ def test_network_probabilities_sum_to_one_and_step_uphill():
     assert pseudo.log_probabilities(net, around, ids).mean() > before
 
 
+def test_score_of_whole_texts_equals_a_plain_one(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").where("doc_id < 40")
+    net = pseudo.fit(docs)
+    counts = {r.word: r.n for r in net.counts.collect()}
+    embed, inner, to_class, to_word = (getattr(net, p).astype(float) for p in ("embed", "inner", "to_class", "to_word"))
+    places = dict(zip(net.words.tolist(), net.places.tolist()))
+    own = pseudo.VOCABULARY - pseudo.SHARED
+
+    def softmax(z):
+        return np.exp(z) / np.exp(z).sum()
+
+    for r in pseudo.score(docs, net).select("text", "lm.log_prob").collect():
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        hashes = hashed_words(raw, np.array([0, len(raw)]), NOT_SPACE)[2].tolist()
+        ids = [places.get(h, own + (h >> 40) % pseudo.SHARED) for h in hashes]
+        total = 0.0
+        for i, (h, y) in enumerate(zip(hashes, ids)):
+            window = [ids[i + o] if 0 <= i + o < len(ids) else pseudo.PAD for o in (-2, -1, 1, 2)]
+            hidden = np.tanh(np.concatenate([embed[w] for w in window]) @ inner + net.inner_bias)
+            c, place = divmod(y, pseudo.IN_CLASS)
+            p = softmax(hidden @ to_class + net.class_bias)[c] * softmax(hidden @ to_word[c] + net.word_bias[c])[place]
+            if y >= own:
+                slot = [n for w, n in counts.items() if w not in signed(places) and (w % (1 << 64) >> 40) % pseudo.SHARED == y - own]
+                p *= (counts[h - (1 << 64) if h >> 63 else h] + 1) / (sum(slot) + len(slot) + 1)
+            total += np.log(p)
+        assert np.isclose(r.log_prob, total, rtol=1e-4, atol=1e-3)
+
+
+def signed(words):
+    return {w - (1 << 64) if w >> 63 else w for w in words}
+
+
+def test_large_logits_neither_overflow_nor_vanish():
+    rng = np.random.default_rng(3)
+    z = (rng.normal(size=(50, pseudo.IN_CLASS)) * 200).astype("f")
+    at = rng.integers(0, pseudo.IN_CLASS, 50)
+    exact = z.astype(float)
+    want = exact[np.arange(50), at] - exact.max(1) - np.log(np.exp(exact - exact.max(1, keepdims=True)).sum(1))
+    found = pseudo._log_softmax_at(z, at, 1e4, np.ones(pseudo.IN_CLASS, "f"))
+    assert np.isfinite(found).all() and np.allclose(found, want, rtol=1e-4, atol=1e-3)
+
+
+def test_vectors_add_up_over_many_parts(spark):
+    rows = [(f"k{i % 2}", i // 2, np.array([i, 1.0]).tobytes()) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "key string, part bigint, vector binary").repartition(5)
+    found = {r.key: np.frombuffer(r.vector).tolist() for r in add_up(vectors, fan_in=3).collect()}
+    assert found == {"k0": [sum(range(0, 400, 2)), 200.0], "k1": [sum(range(1, 400, 2)), 200.0]}
+    assert add_up(vectors.where("key = 'none'"), fan_in=3).count() == 0
+
+
+def test_sample_of_repeated_labels_keeps_its_size(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF01}/labels.parquet").selectExpr("doc_id", "quality AS label")
+    once, often = crf.fit(docs, labels, 100), crf.fit(docs, labels.crossJoin(spark.range(9)).drop("id"), 100)
+    assert np.array_equal(once.mean, often.mean) and np.allclose(once.theta, often.theta)
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = spark.range(400).selectExpr("concat('l', id) AS lang", "'some text' AS text")
+    with pytest.raises(ValueError, match="400 languages"):
+        langid.fit(rows)
+    assert len(langid.fit(rows, bits=8).languages) == 400
+
+
 def test_network_edges(spark):
     rows = edge_rows()
     docs = docs_of(spark, rows)
