@@ -14,7 +14,13 @@ from lectern.llm.sample import least_hashes
 from lectern.plans.shared import saved
 
 COSINE = 0.9
+# Least number of trees; more are grown until this share of pairs planted at the least
+# cosine, in directions in which the vectors spread, meet in a leaf.
 TREES = 12
+RECALL = 0.995
+PLANTED = 4000
+# The number of a tree is eight bits of a leaf's key.
+MOST_TREES = 255
 # Share of a node's rows on either side of its split that go to both children.
 SPILL = 0.06
 # Vectors that the upper splits are fitted on at most; every vector is routed by them.
@@ -73,6 +79,49 @@ def grow(x: np.ndarray, dim: int, tree: int, depth: int, spill: float, seed: int
     return Tree(lines, low, high)
 
 
+def planted(x: np.ndarray, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at ``cosine``: vectors of ``x``, each turned towards another one."""
+    rng = np.random.default_rng([seed, len(x)])
+    a, other = (x[rng.integers(0, max(len(x), 1), PLANTED if len(x) else 0)] for _ in range(2))
+    side = other - a * (a * other).sum(1, keepdims=True)
+    size = np.linalg.norm(side, axis=1)
+    apart = size > 1e-9
+    a, side = a[apart], side[apart] / size[apart, None]
+    return a, cosine * a + np.sqrt(1 - cosine**2) * side
+
+
+def meet(tree: Tree, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether ``a`` and ``b`` share a leaf, row by row."""
+    leaves = 2 ** (tree.lines.shape[1] + 1)
+    row, leaf = tree.leaves(a)
+    other_row, other_leaf = tree.leaves(b)
+    there = np.isin(row * leaves + leaf, other_row * leaves + other_leaf)
+    return np.bincount(row[there], minlength=len(a)) > 0
+
+
+def grown(x: np.ndarray, dim: int, depth: int, wanted: int, trees: int, spill: float, cosine: float, seed: int) -> list[Tree]:
+    """Trees of ``depth`` levels, ``trees`` or as many more as the planted pairs need.
+
+    Pairs part more often the deeper the trees are and the narrower the vectors spread. If
+    the sample allows fewer levels than are ``wanted``, leaves are split on later, and trees
+    are added for the pairs that these levels part at the same rate.
+    """
+    a, b = planted(x, cosine, seed)
+    out, missed, met = [], np.ones(len(a), bool), []
+    least = trees
+    while len(out) < least:
+        out.append(grow(x, dim, len(out), depth, spill, seed))
+        met.append(meet(out[-1], a, b))
+        missed &= ~met[-1]
+        if len(out) == least and len(a):
+            if missed.mean() > 1 - RECALL:
+                least = min(least + 1, MOST_TREES)
+            elif wanted > depth > 0:
+                stay = np.mean(met) ** (1 / depth)
+                least, wanted = min(int(np.ceil(least / stay ** (wanted - depth))), MOST_TREES), depth
+    return out
+
+
 def _blocked(rows: DataFrame, block_rows: int) -> DataFrame:
     """Rows with ``key`` dealt into groups ``key, i, j`` of at most two blocks each, about.
 
@@ -189,7 +238,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def fit(classes: DataFrame, trees: int, sample_rows: int, leaf_rows: int, spill: float, seed: int) -> dict[int, list[Tree]]:
+def fit(
+    classes: DataFrame, trees: int, sample_rows: int, leaf_rows: int, spill: float, cosine: float, seed: int
+) -> dict[int, list[Tree]]:
     """Upper splits for each dimension from at most ``sample_rows`` vectors."""
     sizes = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
@@ -200,7 +251,7 @@ def fit(classes: DataFrame, trees: int, sample_rows: int, leaf_rows: int, spill:
         x = unit(mine) if len(mine) else mine
         wanted = max(0, int(np.ceil(np.log2(max(n, 1) / leaf_rows))))
         depth = min(wanted, int(np.log2(max(len(x) / SAMPLE_LEAF, 1)))) if total > sample_rows else wanted
-        out[dim] = [grow(x, dim, tree, depth, spill, seed) for tree in range(trees)]
+        out[dim] = grown(x, dim, depth, wanted, trees, spill, cosine, seed)
     return out
 
 
@@ -222,8 +273,9 @@ def near_vectors(
     of a component, so the links of each vector are then counted exactly inside its
     component, block against block, without making pairs. Vectors that are null, empty,
     zero or not finite link with nothing, nor do vectors of different lengths. Rows
-    repeated under one id with the same vector count once; a row without an id has no
-    links, no component, and is not kept.
+    repeated under one id with the same vector count once; an id with different vectors is
+    one node that joins what each of them links. A row without an id has no links, no
+    component, and is not kept. ``trees`` is the least number of trees.
     """
     spark = rows.sparkSession
     plain = F.transform("embedding", lambda x: x + F.lit(0).cast("float"))
@@ -239,16 +291,16 @@ def near_vectors(
         ),
         "classes",
     )
-    forest = spark.sparkContext.broadcast(fit(classes, trees, sample_rows, leaf_rows, spill, seed))
+    forest = spark.sparkContext.broadcast(fit(classes, trees, sample_rows, leaf_rows, spill, cosine, seed))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grown = forest.value
+        fitted = forest.value
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = unit(part.column("embedding").flatten().to_numpy().reshape(-1, int(dim)))
-                for number, tree in enumerate(grown[int(dim)]):
+                for number, tree in enumerate(fitted[int(dim)]):
                     row, leaf = tree.leaves(x)
                     key = (int(dim) << 44) + (number << 36) + leaf
                     taken = part.take(pa.array(row))

@@ -59,6 +59,27 @@ def test_edges(spark):
     check(spark, rows)
 
 
+def recall(trees, a, b):
+    return np.any([forest.meet(tree, a, b) for tree in trees], axis=0).mean()
+
+
+def test_recall_holds_where_vectors_spread_narrowly():
+    rng = np.random.default_rng(4)
+    for mean in (0.0, 0.5, 0.8):
+        middle = np.sqrt(mean / (1 - mean)) * np.eye(64)[0] * 8
+        x = forest.unit(rng.normal(size=(20_000, 64)) + middle)
+        # Pairs that the trees are not fitted to, at 0.905, in directions of their own.
+        side = rng.normal(size=(2000, 64))
+        side -= x[:2000] * (x[:2000] * side).sum(1, keepdims=True)
+        b = 0.905 * x[:2000] + np.sqrt(1 - 0.905**2) * forest.unit(side)
+        fixed = [forest.grow(x, 64, t, 9, forest.SPILL, 11) for t in range(forest.TREES)]
+        trees = forest.grown(x, 64, 9, 9, forest.TREES, forest.SPILL, forest.COSINE, 11)
+        deeper = forest.grown(x, 64, 7, 9, forest.TREES, forest.SPILL, forest.COSINE, 11)
+        print(mean, len(trees), len(deeper), recall(fixed, x[:2000], b), recall(trees, x[:2000], b))
+        assert recall(trees, x[:2000], b) >= 0.985
+        assert len(deeper) <= forest.MOST_TREES and (mean < 0.8 or len(trees) > forest.TREES)
+
+
 def test_empty_table(spark):
     assert forest.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
