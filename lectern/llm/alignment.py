@@ -196,7 +196,9 @@ def align(docs: DataFrame, byte_path: str, pattern: str, piece_path: str, name:
     return annotate(docs, name, per_text(start, schema))
 
 
-def mark(docs: DataFrame, byte_path: str, pattern: str, piece_path: str) -> tuple[DataFrame, DataFrame]:
+def mark(
+    docs: DataFrame, byte_path: str, pattern: str, piece_path: str, pairs_held: int = PAIRS_HELD
+) -> tuple[DataFrame, DataFrame]:
     """The rows' alignments in a narrow form, and how many rows of each task hold each pair.
 
     The first table is ``row, doc_id, n_a, n_b, n_groups, a_marks, b_marks, groups_sha256``:
@@ -223,12 +225,12 @@ def mark(docs: DataFrame, byte_path: str, pattern: str, piece_path: str) -> tupl
                 for _, pair, _ in _by_row(pa.RecordBatch.from_arrays(marks, names=["a_marks", "b_marks"])):
                     held.append(np.unique(pair, return_counts=True))
                     size += len(held[-1][0])
-                if size > 2 * PAIRS_HELD:
+                if size > 2 * pairs_held:
                     held = [_merged(held)]
                     size = len(held[0][0])
-                if size > PAIRS_HELD:
-                    yield _pair_rows(*held[0], kind)
-                    held, size = [], 0
+                    if size > pairs_held:
+                        yield _pair_rows(*held[0], kind)
+                        held, size = [], 0
         if held:
             yield _pair_rows(*_merged(held), kind)
 

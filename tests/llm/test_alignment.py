@@ -118,6 +118,27 @@ def test_pointers_reach_the_end_of_long_chains():
         assert alignment.group_ends(a, b).tolist() == [*np.searchsorted(cuts, a), *np.searchsorted(cuts, b)]
 
 
+@pytest.mark.parametrize("held", [1, 40, 300])
+def test_pairs_are_counted_whatever_a_task_holds(spark, sides, held):
+    # One task, a batch for each text: pairs are handed on between batches.
+    texts = [f"{t} number{i} of the plain words, and m{i}re" for i, t in enumerate(ODD * 3)]
+    docs = docs_of(spark, list(enumerate(texts))).coalesce(1)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "1")
+    try:
+        _, parts = alignment.mark(docs, queries.PLAIN_RANKS, public_tokenizers.PATTERN, queries.PIECES, held)
+    finally:
+        spark.conf.set(rows, before)
+    found = Counter()
+    for r in parts.collect():
+        found[r.pair >> 32, r.pair & 0xFFFFFFFF] += r.n
+    wanted = Counter()
+    for t in texts:
+        wanted.update({(x, y) for a, b in groups_of(t, sides) for x in a for y in b})
+    assert found == wanted
+
+
 def test_empty_table(spark):
     assert report(docs_of(spark, [])) == []
 
