@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from lectern.llm import boost
 from lectern.llm.batches import annotate, longs, per_text
-from lectern.llm.sample import least_hashes
+from lectern.plans.shared import saved
 
 KINDS = ("email", "ip", "card", "phone")
-# Documents whose candidates the trees are fitted on at most; redaction needs this
-# precision on candidates kept for calibration.
-SAMPLE_DOCS = 10_000
+# Redaction needs this precision on candidates kept for calibration.
 PRECISION = 0.995
+# So many distinct candidates are summed on the driver (58 bytes each); more of them in tasks.
+DRIVER_CELLS = 1 << 16
+# Distinct candidates that a task counts before it hands them on.
+CELLS_HELD = 1 << 16
 
 # The base patterns of the contract; linear-time forms of the same matches.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -113,8 +115,8 @@ _CUES = {
 FEATURES = 26
 
 
-def features(text: str, span: Span) -> list[float]:
-    """Format of the span and its surroundings."""
+def features(text: str, span: Span) -> bytes:
+    """Format of the span and its surroundings, a whole number up to 255 each."""
     begin, end, kind = span
     body = text[begin:end]
     digits = _digits(body)
@@ -122,8 +124,8 @@ def features(text: str, span: Span) -> list[float]:
     groups = [len(g) for g in re.findall(r"[0-9]+", body)] or [0]
     last = before[-1:]
     octets = re.findall(r"[0-9]+", body)
-    return [
-        *(float(kind == k) for k in KINDS),
+    found = [
+        *(kind == k for k in KINDS),
         len(digits),
         len(body),
         sum(c.isalpha() for c in body),
@@ -136,17 +138,18 @@ def features(text: str, span: Span) -> list[float]:
         len(groups),
         min(groups),
         max(groups),
-        float(bool(digits) and 12 <= len(digits) <= 19 and luhn(digits)),
-        float(len(octets) == 4 and all(len(o) <= 3 and int(o) <= 255 for o in octets)),
-        float(digits[:1] == "0"),
-        float(last == "+"),
-        float(last.isalnum() or last in "\"'=_"),
-        float(after[:1].isalnum() or after[:1] in "\"'=_"),
-        float(last.isspace() or last in "(:<,"),
-        float(bool(_CUES[kind].search(before))),
-        float(len(set(digits)) / max(len(digits), 1)),
-        float(bool(re.match(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}", body))),
+        bool(digits) and 12 <= len(digits) <= 19 and luhn(digits),
+        len(octets) == 4 and all(len(o) <= 3 and int(o) <= 255 for o in octets),
+        digits[:1] == "0",
+        last == "+",
+        last.isalnum() or last in "\"'=_",
+        after[:1].isalnum() or after[:1] in "\"'=_",
+        last.isspace() or last in "(:<,",
+        bool(_CUES[kind].search(before)),
+        100 * len(set(digits)) // max(len(digits), 1),
+        bool(re.match(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}", body)),
     ]
+    return bytes(min(int(value), 255) for value in found)
 
 
 def _crossing(held: list[Span]) -> Callable[[Span], bool]:
@@ -177,7 +180,7 @@ def _disguise(text: str, span: Span, number: int) -> tuple[str, Span]:
     return text[:begin] + body + text[end:], (begin, begin + len(body), kind)
 
 
-def training_rows(text: str) -> Iterator[tuple[int, float, list[float]]]:
+def training_rows(text: str) -> Iterator[tuple[int, float, bytes]]:
     """``start, label, features``: base matches and their disguises against other candidates.
 
     A number that merely fails a check (a wrong card sum, an octet above 255) and every
@@ -203,45 +206,112 @@ class Detector:
     thresholds: dict[str, float]
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Detector:
-    """Fit and calibrate on the candidates of at most ``sample_docs`` documents.
+def fit(docs: DataFrame, precision: float = PRECISION, driver_cells: int = DRIVER_CELLS) -> Detector:
+    """Fit and calibrate on the candidates of all documents.
 
-    Taken from all documents with a digit or an ``@``, by the hash of their ids, so the
-    sample does not depend on the layout of the rows; only features come to the driver. A
-    kind's threshold is the least at which accepted candidates of the third kept apart
-    reach ``precision``.
+    Candidates are told apart by their features alone, so how many of either label each
+    distinct vector of features has is all that trees, calibration and thresholds need. The
+    table of them, of two thirds to fit on and a third kept apart by the hash of document and
+    place, is counted in the tasks. Up to ``driver_cells`` vectors come to the driver; more of
+    them stay in the table, each level of a tree is a pass over it, and only sums come back.
+    A kind's threshold is the least at which accepted candidates kept apart reach
+    ``precision``.
     """
+    cells = saved(_cells(docs), "candidates")
+
+    def passes(function: Callable[..., dict], columns: str) -> list:
+        """Sums by key over the cells: ``function`` gives numbers by key of some of them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, FEATURES)
+                numbers = [batch.column(i).to_numpy().astype(float) for i in range(1, 5)]
+                yield pa.RecordBatch.from_pydict(function(x, *numbers))
+
+        names = [c.split()[0] for c in columns.split(", ")]
+        found = cells.mapInArrow(run, columns)
+        return found.groupBy(names[:-2]).agg(*[F.sum(c).alias(c) for c in names[-2:]]).orderBy(names[:-2]).collect()
+
+    def values(x, no, yes, *_):
+        at = np.add(x, np.arange(FEATURES) * 256, dtype=np.int64)
+        both = [np.bincount(at.ravel(), np.repeat(n, FEATURES), FEATURES * 256) for n in (no, yes)]
+        place = np.flatnonzero(both[0] + both[1])
+        return {"place": place, "no": both[0][place], "yes": both[1][place]}
+
+    counts = np.zeros((2, FEATURES * 256))
+    for r in passes(values, "place bigint, no double, yes double"):
+        counts[:, r.place] = r.no, r.yes
+    n_no, n_yes = counts[:, :256].sum(1)
+    cuts = boost.quantile_cuts(counts.sum(0).reshape(FEATURES, 256))
+
+    def sums_of_table(growing: boost.Growing) -> np.ndarray:
+        shape = (2, 2**growing.level, FEATURES, boost.BINS)
+
+        def level(x, no, yes, *_):
+            grad, hess = boost.Cells(cuts, x, no, yes).sums(growing).reshape(2, -1)
+            place = np.flatnonzero(hess)
+            return {"place": place, "grad": grad[place], "hess": hess[place]}
+
+        out = np.zeros((2, int(np.prod(shape[1:]))))
+        for r in passes(level, "place bigint, grad double, hess double"):
+            out[:, r.place] = r.grad, r.hess
+        return out.reshape(shape)
+
+    if cells.count() <= driver_cells:
+        rows = sorted(cells.collect())
+        x = np.frombuffer(b"".join(r.x for r in rows), np.uint8).reshape(-1, FEATURES)
+        no, yes = (np.array([r[i] for r in rows], float) for i in (1, 2))
+        sums = boost.Cells(cuts, x, no, yes).sums
+    else:
+        sums = sums_of_table
+    trees = boost.grow(n_yes / (n_no + n_yes), cuts, sums) if n_no + n_yes else boost.fit(np.zeros((0, FEATURES)), np.zeros(0))
+
+    def margins(x, _, __, no, yes):
+        apart = no + yes > 0
+        kind = np.argmax(x[apart, : len(KINDS)], 1) if apart.any() else np.zeros(0, np.int64)
+        return {"kind": kind, "margin": trees.margin(x[apart]), "no": no[apart], "yes": yes[apart]}
+
+    # Rounded margins: their number does not grow with the table.
+    kept = passes(margins, "kind bigint, margin double, no double, yes double")
+    kind, margin, no, yes = np.array([tuple(r) for r in kept]).reshape(-1, 4).T
+    trees = boost.calibrate_margins(trees, margin, no, yes)
+    p = trees.of_margin(margin)
+    thresholds = {}
+    for i, name in enumerate(KINDS):
+        order = np.flatnonzero(kind == i)
+        order = order[np.argsort(-p[order], kind="stable")]
+        accepted = np.cumsum(no[order] + yes[order])
+        good = np.flatnonzero(np.cumsum(yes[order]) >= precision * accepted)
+        # Without evidence nothing is added beside the base matches.
+        enough = len(good) and accepted[good[-1]] >= 20
+        thresholds[name] = max(float(p[order][good[-1]]) * (1 - 1e-12), 0.5) if enough else 2.0
+    return Detector(trees, thresholds)
+
+
+def _cells(docs: DataFrame) -> DataFrame:
+    """``x, no, yes, apart_no, apart_yes``: how many training rows have the features ``x``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike("[0-9@]"))
-    docs = least_hashes(docs, "doc_id", sample_docs, docs.count())
+    names = ["no", "yes", "apart_no", "apart_yes"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+
+        def out():
+            numbers = np.array(list(held.values()), np.int64).reshape(-1, 4)
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), *map(longs, numbers.T)], names=["x", *names])
+
         for batch in batches:
-            ids, at, label, x = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for place, y, f in training_rows(text.as_py() or ""):
-                    ids.append(doc_id), at.append(place), label.append(y), x.append(f)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), longs(at), pa.array(label, pa.float64()), pa.array(x, pa.list_(pa.float64()))],
-                names=["doc_id", "at", "label", "x"],
-            )
-
-    sample = docs.mapInArrow(rows, "doc_id bigint, at bigint, label double, x array<double>").collect()
-    # In an order that ids and places alone decide.
-    sample.sort(key=lambda r: (zlib.crc32(f"{r.doc_id}:{r.at}".encode()), r.doc_id is None, r.doc_id, r.at, -r.label, r.x))
-    x = np.array([r.x for r in sample], np.float64).reshape(len(sample), FEATURES)
-    y = np.array([r.label for r in sample])
-    apart = np.arange(len(y)) % 3 == 2
-    trees = boost.calibrate(boost.fit(x[~apart], y[~apart]), x[apart], y[apart])
-    p = trees.probability(x[apart])
-    thresholds = {}
-    for i, kind in enumerate(KINDS):
-        mine = x[apart][:, i] == 1
-        order = np.argsort(-p[mine], kind="stable")
-        right = np.cumsum(y[apart][mine][order]) / np.arange(1, mine.sum() + 1)
-        good = np.flatnonzero(right >= precision)
-        # Without evidence nothing is added beside the base matches.
-        thresholds[kind] = max(float(p[mine][order][good[-1]]), 0.5) if len(good) and good[-1] >= 19 else 2.0
-    return Detector(trees, thresholds)
+                for place, y, x in training_rows(text.as_py() or ""):
+                    apart = zlib.crc32(f"{doc_id}:{place}".encode()) % 3 == 2
+                    held.setdefault(x, [0, 0, 0, 0])[2 * apart + int(y)] += 1
+                if len(held) >= CELLS_HELD:
+                    yield out()
+                    held = {}
+        yield out()
+
+    counted = docs.mapInArrow(rows, "x binary, no bigint, yes bigint, apart_no bigint, apart_yes bigint")
+    return counted.groupBy("x").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def find(text: str, detector: Detector | None) -> tuple[list[Span], list[Span]]:
@@ -253,7 +323,7 @@ def find(text: str, detector: Detector | None) -> tuple[list[Span], list[Span]]:
     open_ones = [s for s in dict.fromkeys(candidates(text)) if not crosses(s)]
     if not open_ones:
         return base, base
-    p = detector.trees.probability(np.array([features(text, s) for s in open_ones]))
+    p = detector.trees.probability(np.frombuffer(b"".join(features(text, s) for s in open_ones), np.uint8).reshape(-1, FEATURES))
     # Sorted and without overlap, so that only the last one that starts before can overlap.
     taken: list[Span] = []
     for score, span in sorted(zip(-p, open_ones)):

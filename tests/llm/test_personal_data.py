@@ -94,3 +94,22 @@ def test_edges(spark):
     assert all((r.pii.redacted is None) == (r.text is None) for r in found)
     none = docs_of(spark, [])
     assert pii.detect(none, pii.fit(none)).count() == 0
+
+
+def test_thresholds_come_from_all_documents(spark):
+    # More documents than a sample of 10,000 would hold.
+    rows = [(i, f"a{i % 7}.b@mail.example.com and +1 (017) 555-77{i % 90 + 10} at 10.0.{i % 200}.1 of 5500{i % 800:04}00") for i in range(12_000)]
+    cells = pii._cells(docs_of(spark, rows)).collect()
+    wanted = sum(len(list(pii.training_rows(t))) for _, t in rows)
+    assert sum(sum(c[1:]) for c in cells) == wanted
+    assert len(cells) == len({x for _, t in rows for _, _, x in pii.training_rows(t)})
+
+
+def test_sums_in_tasks_give_the_same_detector(spark):
+    docs = docs_of(spark, [(i, f"a{i % 7}.b@mail{i}.example.com, +1 (017) 555-77{i % 90 + 10}, 10.0.{i}.1, 2024-05-{i % 28}, 5500{i:04}00") for i in range(250)])
+    held, passed = pii.fit(docs), pii.fit(docs.repartition(2), driver_cells=0)
+    assert (held.trees.feature == passed.trees.feature).all() and (held.trees.threshold == passed.trees.threshold).all()
+    assert np.allclose(held.trees.value, passed.trees.value, atol=1e-6)
+    assert held.thresholds.keys() == passed.thresholds.keys()
+    assert np.allclose(list(held.thresholds.values()), list(passed.thresholds.values()), atol=1e-3)
+    assert {2.0} != set(held.thresholds.values())
