@@ -110,3 +110,33 @@ def test_spread(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,7)]" in dealt.where("id = 7")._jdf.queryExecution().executedPlan().toString()
     wide = spark.range(0, 1000, 1, 64)
     assert shared.spread(wide).rdd.getNumPartitions() == 64
+
+
+def test_words_are_counted_without_a_shuffle(corpus, pairs):
+    found = postings.postings(corpus(pairs), first=FIRST)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
+    # The rows of a text stay together, so that sums by text are done in the map tasks.
+    at = [r.doc_id for r in found.collect()]
+    assert len(set(at)) == 1 + sum(a != b for a, b in zip(at, at[1:]))
+
+
+def test_rows_beyond_a_block_of_words():
+    import pyarrow as pa
+
+    texts = [["a", "b", "a"], [], ["b"] * 200, ["c"]]
+    row, n_words, word, n, early = postings._counted(pa.array(texts, pa.list_(pa.string())), range(0, FIRST, 63), FIRST)
+    assert list(zip(row.tolist(), n_words.tolist(), word.to_pylist(), n.tolist())) == [
+        (0, 3, "a", 2), (0, 3, "b", 1), (1, 0, None, 0), (2, 200, "b", 200), (3, 1, "c", 1)
+    ]
+    assert early.tolist() == [[5, 0], [2, 0], [0, 0], [2**63 - 1, 2**63 - 1], [1, 0]]
+
+
+def test_a_written_part_needs_no_sort(spark, tmp_path):
+    from lectern.sources.tables import write_table
+
+    rows = [(i, ("train", "valid", "test")[i % 3]) for i in range(60)]
+    write_table(spark.createDataFrame(rows, "doc_id bigint, split string").coalesce(1), str(tmp_path / "t"), "split")
+    # Rows of a part keep the order in which the task had them, and the setting is undone.
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == sorted(rows)
