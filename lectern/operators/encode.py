@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.arrays import frame_ids, mask, pad_right
 from lectern.functions.text import words
-from lectern.operators.postings import early_words, is_postings
+from lectern.operators.postings import is_postings, places_of, reached_words
 from lectern.operators.rank import row_numbers
 from lectern.plans.shared import BROADCAST_BYTES, most_frequent, saved, small_side
 
@@ -225,6 +225,8 @@ def pieces_of_rows(
 ) -> DataFrame:
     """``key, *carry, ids`` from ``key, *carry, at_word, word``, in order of the places.
 
+    ``at_word`` is a place, or the bits of all places of the word in its row, which then meets
+    its pieces once and is set out when the row is put together.
     Each distinct word is spelled once, whatever the size of the vocabulary; a vocabulary
     or lexicon of at most ``broadcast_bytes`` is broadcast, a larger one is joined by word,
     where adaptive execution splits frequent words. A token listed twice counts with its
@@ -236,7 +238,15 @@ def pieces_of_rows(
     pieces = saved(spell(lexicon, saved(once, "vocab-once"), unk, broadcast_bytes), "pieces")
     found = rows.join(small_side(pieces, broadcast_bytes), "word", "left")
     placed = F.when(F.col("word").isNotNull(), F.struct("at_word", "ids"))
-    ids = F.flatten(F.transform(F.sort_array(F.collect_list(placed)), lambda x: x["ids"]))
+    listed = F.collect_list(placed)
+    if dict(rows.dtypes)["at_word"].startswith("array"):
+        listed = F.flatten(
+            F.transform(
+                listed,
+                lambda x: F.transform(places_of(x["at_word"]), lambda at: F.struct(at.alias("at_word"), x["ids"].alias("ids"))),
+            )
+        )
+    ids = F.flatten(F.transform(F.sort_array(listed), lambda x: x["ids"]))
     if limit is not None:
         ids = F.slice(ids, 1, limit)
     return (
@@ -262,7 +272,7 @@ def encode(
     limit = max_len - 2
     carry = (*keep, "n_words")
     if is_postings(df):
-        rows = early_words(df, carry, limit)
+        rows = reached_words(df, carry, limit)
     else:
         cut = df.select("doc_id", *keep, words("text").alias("words"))
         rows = cut.select(

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,34 @@ def early_words(rows: DataFrame, carry: tuple[str, ...], limit: int) -> DataFram
     )
 
 
+def reached_words(rows: DataFrame, carry: tuple[str, ...], limit: int) -> DataFrame:
+    """``doc_id, *carry, at_word, word`` of the first ``limit`` words, a row for each distinct
+    word: ``at_word`` holds its places as bits, see ``places_of``.
+
+    A row without words keeps one. Postings that were cut with fewer first places than
+    ``limit`` are an error.
+    """
+    masks = F.array(*[F.lit((1 << max(min(limit - low, _BITS), 0)) - 1).cast("bigint") for low in range(0, max(limit, 1), _BITS)])
+    own = F.transform("early", lambda bits, i: bits.bitwiseAND(F.coalesce(F.get(masks, i), F.lit(0).cast("bigint"))))
+    enough = F.when(F.size("early") * _BITS < limit, F.raise_error(F.lit("postings hold too few first places"))).otherwise(own)
+    found = rows.select("doc_id", *carry, enough.alias("at_word"), "word")
+    return found.where(F.col("word").isNull() | F.exists("at_word", lambda bits: bits != 0))
+
+
+def places_of(at_word: Column) -> Column:
+    """The places that the bits of ``reached_words`` stand for."""
+    none = F.array().cast("array<int>")
+
+    def places(bits, i):
+        # Most words have one place.
+        one = F.array(F.round(F.log2(bits)).cast("int"))
+        many = F.filter(F.sequence(F.lit(0), F.lit(_BITS - 1)), lambda b: F.getbit(bits, b) == 1)
+        found = F.when(bits == 0, none).when(F.bit_count(bits) == 1, one).otherwise(many)
+        return F.transform(found, lambda b: i * _BITS + b)
+
+    return F.flatten(F.transform(at_word, places))
+
+
 def starts_row(early: str = "early", word: str = "word"):
     """Whether this is the one row of its text that holds the first word, or no word."""
     return F.col(word).isNull() | (F.get(early, F.lit(0)).bitwiseAND(F.lit(1)) == 1)

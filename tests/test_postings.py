@@ -140,3 +140,13 @@ def test_a_written_part_needs_no_sort(spark, tmp_path):
     # Rows of a part keep the order in which the task had them, and the setting is undone.
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == sorted(rows)
+
+
+def test_a_word_meets_its_pieces_once_a_row(spark):
+    early = [[5, 0], [0, 1 << 62], [1 << 62, 7], [2**63 - 1, 2**63 - 1]]
+    rows = spark.createDataFrame([(i, "w", e) for i, e in enumerate(early)], "doc_id bigint, word string, early array<bigint>")
+    wanted = [[b + 63 * i for i, bits in enumerate(e) for b in range(63) if bits >> b & 1] for e in early]
+    for limit in (1, 63, 64, 100, 126):
+        found = postings.reached_words(rows, (), limit)
+        at = {r.doc_id: r.at for r in found.select("doc_id", postings.places_of(found.at_word).alias("at")).collect()}
+        assert at == {i: kept for i, w in enumerate(wanted) if (kept := [p for p in w if p < limit])}
