@@ -5,9 +5,11 @@ the right among those that overlap it; doubling the pointers ends at the last to
 connected group, whose label all share. Groups so end where both tokenizers end a token.
 """
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from lectern.plans.shared import saved
 
 # Letters of text that are aligned together, about; a longer text is taken alone.
 BLOCK = 1 << 18
+# Letters that the piece model encodes at once, about; its merges slow down over long texts.
+PART = 256
 # Ids of A whose links are found together, about; a longer text is taken alone.
 MARKS_AT_ONCE = 1 << 18
 # Links that are written out at once.
@@ -36,8 +40,15 @@ class Pieces:
     """The bytes of each id of a vocabulary, all in one array."""
 
     def __init__(self, pieces: list[bytes]):
-        self.pieces = pieces
         self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after another."""
+        sizes = self.sizes[ids]
+        shift = self.starts[ids] - (np.cumsum(sizes) - sizes)
+        return self.data[np.repeat(shift, sizes) + np.arange(sizes.sum())]
 
 
 class ByteSide:
@@ -56,20 +67,35 @@ class ByteSide:
 
 
 class PieceSide:
-    """A sentencepiece model, which adds the space itself."""
+    """A sentencepiece model, which adds the space itself.
+
+    Texts are cut before spaces that follow another letter, where no piece of the model goes on.
+    White space at a text's end stays with what is before it.
+    """
+
+    _parts = re.compile(rf"(?s).{{1,{PART}}} *+[^ ]*+(?: +\Z)?").findall
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = Pieces([self._bytes(i) for i in range(self.model.get_piece_size())])
+        pieces = [self._bytes(i) for i in range(self.model.get_piece_size())]
+        self.pieces = Pieces(pieces)
+        # Whether no piece goes on behind a letter with a space, and all spaces are kept.
+        odd = "  a   b "
+        kept = b"".join(pieces[i] for i in self.model.encode(odd)) == b" " + odd.encode()
+        self.parted = kept and not any(re.search(b"[^ ] ", piece) for piece in pieces)
 
     def _bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int32) for ids in self.model.encode(texts, num_threads=1)]
+        parts = [self._parts(" " + t) if self.parted and t else [" " + t] for t in texts]
+        found = self.model.encode([part[1:] for part in chain.from_iterable(parts)], num_threads=1)
+        ends = np.cumsum([len(ids) for ids in found])
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]) if len(ends) else 0)
+        return np.split(ids, ends[np.cumsum([len(x) for x in parts])[:-1] - 1])
 
 
 @lru_cache(maxsize=2)
@@ -106,14 +132,19 @@ def group_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
     return (np.cumsum(terminal) - 1)[point]
 
 
-_DIGITS = 10
+# Bytes of an id as text with a sign behind it: one number, so ids have seven digits at most.
+_WIDTH = 8
 
 
 @lru_cache(maxsize=2)
 def _decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Decimal digits of the numbers below ``size``, left-aligned, and how many each has."""
-    text = np.array([str(i) for i in range(size)], f"S{_DIGITS}")
-    return text.view(np.uint8).reshape(size, _DIGITS), np.char.str_len(text)
+    text = np.array([str(i) for i in range(size)], f"S{_WIDTH}")
+    return text.view("<u8"), np.char.str_len(text)
+
+
+# By the number of digits: which bytes hold them and the sign behind them.
+_SHOWN = np.tri(_WIDTH, dtype=np.uint8).view("<u8").ravel()
 
 
 def _written(ids_a, ids_b, groups_a, groups_b, n_groups, first) -> list[bytes]:
@@ -125,16 +156,13 @@ def _written(ids_a, ids_b, groups_a, groups_b, n_groups, first) -> list[bytes]:
     at_a = starts[groups_a, 0] + _within(sizes[:, 0])
     at_b = starts[groups_b, 1] + _within(sizes[:, 1])
     ids[at_a], ids[at_b] = ids_a, ids_b
-    mark = np.full(n, ord(","), np.uint8)
+    mark = np.full(n, ord(","), np.uint64)
     mark[starts[:, 0] + sizes[:, 0] - 1] = ord("|")
     mark[starts[:, 1] + sizes[:, 1] - 1] = ord(";")
     digits, width = _decimals(1 << 17)
-    table = np.empty((n, _DIGITS + 1), np.uint8)
-    table[:, :_DIGITS] = digits[ids]
     wide = width[ids]
-    table[np.arange(n), wide] = mark
-    shown = np.arange(_DIGITS + 1) <= wide[:, None]
-    raw = table[shown].tobytes()
+    table = digits[ids] | mark << (8 * wide).astype(np.uint64)
+    raw = table.view(np.uint8)[_SHOWN[wide].view(bool)].tobytes()
     places = np.r_[0, np.cumsum(wide + 1)][np.r_[starts[:, 0], n][first]]
     return [raw[low : max(high - 1, low)] for low, high in zip(places[:-1].tolist(), places[1:].tolist())]
 
@@ -143,10 +171,6 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _same_bytes(pieces: list[bytes], ids: np.ndarray, whole: bytes) -> bool:
-    return b"".join(map(pieces.__getitem__, ids.tolist())) == whole
-
-
 def _blocks(sides, texts: pa.Array) -> Iterator[tuple]:
     """Bounded numbers of texts at a time: ids of A and how many each text has, the same of
     B, the groups' sizes in both, how many groups each text has, and the groups as text."""
@@ -154,10 +178,19 @@ def _blocks(sides, texts: pa.Array) -> Iterator[tuple]:
     none = np.zeros(0, np.int32)
     for block in groups_of_texts(texts, BLOCK):
         a_all, b_all = a_side.encode(block), b_side.encode(block)
-        for i, text in enumerate(block):
-            whole = b" " + text.encode()
+        wholes = [b" " + t.encode() for t in block]
+        whole = np.frombuffer(b"".join(wholes), np.uint8)
+        spelled = b_side.pieces.spelled(np.concatenate(b_all))
+        at_whole = at_spelled = 0
+        for i, text in enumerate(wholes):
             # A's tokens are cut from these bytes, so their number tells all; B may change them.
-            if not text or a_side.pieces.sizes[a_all[i]].sum() != len(whole) or not _same_bytes(b_side.pieces.pieces, b_all[i], whole):
+            n_b = int(b_side.pieces.sizes[b_all[i]].sum())
+            same = len(text) > 1 and a_side.pieces.sizes[a_all[i]].sum() == n_b == len(text) and np.array_equal(
+                spelled[at_spelled : at_spelled + n_b], whole[at_whole : at_whole + n_b]
+            )
+            at_whole += len(text)
+            at_spelled += n_b
+            if not same:
                 a_all[i] = b_all[i] = none
         a_ids, b_ids = np.concatenate(a_all), np.concatenate(b_all)
         label = group_ends(np.cumsum(a_side.pieces.sizes[a_ids]), np.cumsum(b_side.pieces.sizes[b_ids]))
@@ -223,7 +256,7 @@ def mark(
                 none = [pa.nulls(own.num_rows, pa.int64())] * 2
                 yield pa.RecordBatch.from_arrays([*columns, *none], names=_MARKED)
                 for _, pair, _ in _by_row(pa.RecordBatch.from_arrays(marks, names=["a_marks", "b_marks"])):
-                    held.append(np.unique(pair, return_counts=True))
+                    held.append(_counted(pair))
                     size += len(held[-1][0])
                 if size > 2 * pairs_held:
                     held = [_merged(held)]
@@ -278,9 +311,10 @@ def _marks(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np
     return marks.astype(np.int64) >> 1, np.diff(np.r_[-1, ends]), np.searchsorted(places // 3, ends, "right") - 1
 
 
-def _links(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _links(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """``row, pair, times`` of the links of a batch of marked rows, in blocks of bounded
-    size; a pair may come again. A pair is A's id times 2**32 plus B's."""
+    size; a pair may come again. A pair is A's id times 2**32 plus B's; ``times`` of None are
+    ones."""
     a, sizes_a, row = _marks(batch, "a_marks")
     b, sizes_b, _ = _marks(batch, "b_marks")
     from_a, from_b = np.cumsum(sizes_a) - sizes_a, np.cumsum(sizes_b) - sizes_b
@@ -297,11 +331,13 @@ def _links(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     upto = np.cumsum(links[small])
     for low in range(0, int(upto[-1]) if len(upto) else 0, LINKS_AT_ONCE):
         g = small[np.searchsorted(upto, low, "right") : np.searchsorted(upto, low + LINKS_AT_ONCE, "right")]
+        # Most groups are of one token a side.
+        alone, g = g[links[g] == 1], g[links[g] > 1]
         each = links[g]
         place = _within(each)
         wide = np.repeat(sizes_b[g], each)
         pair = a[np.repeat(from_a[g], each) + place // wide] << 32 | b[np.repeat(from_b[g], each) + place % wide]
-        yield np.repeat(row[g], each), pair, np.ones(len(pair), np.int64)
+        yield np.r_[row[alone], np.repeat(row[g], each)], np.r_[a[from_a[alone]] << 32 | b[from_b[alone]], pair], None
 
 
 def _by_row(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -321,7 +357,19 @@ def _by_row(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         low = high
 
 
+# Bits of an id where row and pair are sorted as one number.
+_ID_BITS = 18
+
+
 def _summed(row, pair, times):
+    """Distinct rows and pairs in order, with their sums; ``times`` of None are ones."""
+    if times is None:
+        low = (1 << _ID_BITS) - 1
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        if len(row) and max(a.max(), b.max()) <= low and row.max() < 1 << 63 - 2 * _ID_BITS:
+            key, times = _counted(row << 2 * _ID_BITS | a << _ID_BITS | b)
+            return key >> 2 * _ID_BITS, (key >> _ID_BITS & low) << 32 | key & low, times
+        times = np.ones(len(pair), np.int64)
     order = np.lexsort((pair, row))
     row, pair, times = row[order], pair[order], times[order]
     edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])]) if len(row) else np.zeros(0, np.int64)
@@ -340,6 +388,13 @@ def pair_counts(parts: DataFrame) -> DataFrame:
     return counts.withColumn("a_id", a_id).join(F.broadcast(most), "a_id").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+def _counted(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often each occurs."""
+    numbers = np.sort(numbers)
+    edge = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, np.int64)
+    return numbers[edge], np.diff(np.r_[edge, len(numbers)])
+
+
 def _merged(held):
     pair, n = (np.concatenate(x) for x in zip(*held))
     _, pair, n = _summed(np.zeros(len(pair), np.int64), pair, n)

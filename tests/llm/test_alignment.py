@@ -106,6 +106,25 @@ def test_groups(spark, sides):
         assert groups == groups_of(r.text, sides)
 
 
+def test_the_piece_model_meets_short_parts_only(sides):
+    ours = alignment.PieceSide(queries.PIECES)
+    assert ours.parted
+    met = []
+
+    class Watched:
+        def encode(self, texts, num_threads):
+            met.extend(texts)
+            return model.encode(texts, num_threads=num_threads)
+
+    model, ours.model = ours.model, Watched()
+    words = "ab  c, \n d\u3000e   "
+    texts = [*ODD, "", " ", "   ", "x" + " " * 700, " " * 300 + "y z", "w" * 255 + "  v", "w " * 600, *(words * n for n in (1, 30, 31, 90)), "long " * 40_000]
+    found = ours.encode(texts)
+    assert [x.tolist() for x in found] == [sides[1].encode(t) for t in texts]
+    assert max(len(m) for m in met if " " in m.strip()) < 2 * alignment.PART
+    assert [x.tolist() for x in ours.encode(["a b"])] == [sides[1].encode("a b")]
+
+
 def test_pointers_reach_the_end_of_long_chains():
     a = np.r_[np.arange(3, 30_000, 2), 30_000]
     b = np.r_[np.arange(2, 30_000, 2), 30_000]
