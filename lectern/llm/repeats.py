@@ -3,7 +3,7 @@
 Only the first ``SIZE`` bytes of a suffix matter. Suffixes are dealt into buckets by the
 least hash among their 8-byte substrings, rare ones first, so equal ones meet and
 neighbours travel together: a bucket receives short runs of text instead of one record for each position.
-A bucket is sorted by a prefix of its suffixes; ties are resolved by ranks of a
+A bucket is sorted by hashes of its suffixes' first bytes; ties are resolved by ranks of a
 difference-cover sample of its positions, never by comparing long strings.
 """
 
@@ -33,9 +33,13 @@ HELD_BYTES = 24 << 20
 PIECE = 1 << 20
 # Difference cover: every difference modulo PERIOD is one of two members of COVER.
 PERIOD, COVER = 7, (0, 1, 3)
-# Prefix that suffixes are first sorted by.
-PREFIX = 32
-# Windows whose prefixes are hashed at once.
+_IN_COVER = np.isin(np.arange(PERIOD), COVER)
+# By the places' remainders: the least shift at which both meet the sample.
+_SHIFT = np.array([
+    [next(s for s in range(PERIOD) if _IN_COVER[(a + s) % PERIOD] and _IN_COVER[(b + s) % PERIOD]) for b in range(PERIOD)]
+    for a in range(PERIOD)
+])
+# Windows that are hashed at once.
 STEP = 1 << 18
 
 _BYTE = (np.arange(256, dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)
@@ -49,13 +53,6 @@ def grams(data: np.ndarray) -> np.ndarray:
     return x[:-4] << U(32) | x[4:]
 
 
-def gram_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(at), U)
-    for j in range(GRAM):
-        out = out << U(8) | data[at + j].astype(U)
-    return out
-
-
 def least_hashes(data: np.ndarray, size: int, hot: np.ndarray) -> np.ndarray:
     """For each window of ``size`` bytes the least hash of its 8-byte substrings; frequent
     substrings come after all others."""
@@ -196,14 +193,14 @@ def _packed(held) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=names)
 
 
-def prefix_hashes(body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the first bytes of each window; ``at`` is increasing."""
+def window_hashes(body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes of each window; ``at`` is increasing."""
     out = np.empty(len(at), U)
     for low in range(0, len(at), STEP):
         mine = at[low : low + STEP]
         first = mine[0]
         sums = prefix_sums(_BYTE[body[first : mine[-1] + length]])
-        out[low : low + STEP] = span_hashes(sums, mine - first, mine - first + length)
+        out[low : low + STEP] = mix(span_hashes(sums, mine - first, mine - first + length))
     return out
 
 
@@ -212,23 +209,65 @@ def later_windows(body: np.ndarray, at: np.ndarray, order: np.ndarray, size: int
     flagged = np.zeros(len(at), bool)
     if len(at) < 2:
         return flagged
-    prefix = prefix_hashes(body, at, min(PREFIX, size))
-    by = np.argsort(prefix)
-    same = prefix[by][1:] == prefix[by][:-1]
-    tied = np.zeros(len(at), bool)
-    tied[by[1:][same]] = tied[by[:-1][same]] = True
-    del prefix, by
-    which = np.flatnonzero(tied)
+    # Equal windows have equal hashes; those with a hash of their own are done.
+    key = window_hashes(body, at, size)
+    which = _shared(key)
+    key = key[which]
+    by = np.argsort(key)
+    key = key[by]
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[edge, len(by)])
+    which = which[by[np.repeat(sizes > 1, sizes)]]
+    sizes = sizes[sizes > 1]
     if not len(which):
         return flagged
     place, rank_of = at[which], order[which]
-    ranks = cover_ranks(body, place, size)
-    ends = gram_at(body, place) ^ mix(gram_at(body, place + size - GRAM))
-    residue = place % PERIOD
-    late = np.zeros(len(which), bool)
+    edge = np.cumsum(sizes) - sizes
+    least = np.repeat(np.minimum.reduceat(rank_of, edge), sizes)
+    group = np.repeat(np.arange(len(edge)), sizes)
+    first = np.empty(len(edge), np.int64)
+    lowest = np.flatnonzero(rank_of == least)
+    first[group[lowest]] = lowest
+    head = grams(np.r_[body, np.zeros(size + GRAM, np.uint8)])
+    ranks = cover_ranks(head, place, size)
+    # Any two places have a shift at which both meet the sample; the ranks of the windows
+    # and of their group's first one there, and the bytes at both ends, decide.
+    mine, other = place, place[first[group]]
+    shift = _SHIFT[mine % PERIOD, other % PERIOD]
+    same = (
+        (ranks[mine + shift] == ranks[other + shift])
+        & (head[mine] == head[other])
+        & (head[mine + size - GRAM] == head[other + size - GRAM])
+    )
+    late = same & (rank_of > least)
+    # A hash that different windows share: these groups are compared with each other.
+    odd = np.zeros(len(edge), bool)
+    odd[group[~same]] = True
+    mixed = np.flatnonzero(odd[group])
+    if len(mixed):
+        late[mixed] = _later_by_shifts(head, place[mixed], rank_of[mixed], ranks, size)
+    flagged[which[late]] = True
+    return flagged
+
+
+def _shared(keys: np.ndarray) -> np.ndarray:
+    """Places of all keys that occur more than once, and of few others."""
+    ordered = np.sort(keys)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
+        return np.zeros(0, np.int64)
+    bits = max(10, len(again).bit_length() + 3)
+    known = np.zeros(1 << bits, bool)
+    known[again >> U(64 - bits)] = True
+    return np.flatnonzero(known[keys >> U(64 - bits)])
+
+
+def _later_by_shifts(head: np.ndarray, place: np.ndarray, rank_of: np.ndarray, ranks: np.ndarray, size: int) -> np.ndarray:
+    ends = head[place] ^ mix(head[place + size - GRAM])
+    late = np.zeros(len(place), bool)
     for shift in range(PERIOD):
         # Two equal windows have some shift at which both meet the sample.
-        mine = np.flatnonzero(np.isin((residue + shift) % PERIOD, COVER))
+        mine = np.flatnonzero(_IN_COVER[(place + shift) % PERIOD])
         if not len(mine):
             continue
         key = mix(ends[mine] + mix(ranks[place[mine] + shift].astype(U) + U(1)))
@@ -237,24 +276,24 @@ def later_windows(body: np.ndarray, at: np.ndarray, order: np.ndarray, size: int
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         least = np.repeat(np.minimum.reduceat(numbers, edge), np.diff(np.r_[edge, len(by)]))
         late[mine[by]] |= numbers > least
-    flagged[which[late]] = True
-    return flagged
+    return late
 
 
-def cover_ranks(body: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+def cover_ranks(head: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
     """Ranks of the sample positions within the given windows, for the ``size - PERIOD + 1``
-    bytes from each: equal ranks mean equal strings. Strides are multiples of the period,
+    bytes from each: equal ranks mean equal strings. ``head`` has the 8 bytes from each
+    position, up to ``size`` beyond the last window. Strides are multiples of the period,
     so a doubled rank again starts at a sample position."""
-    marks = np.zeros(len(body) + 1, np.int32)
-    np.add.at(marks, place, 1)
-    np.add.at(marks, place + size, -1)
+    marks = np.zeros(len(head) + 1, np.int32)
+    # Places differ, so none is marked twice.
+    marks[place] += 1
+    marks[place + size] -= 1
     inside = np.cumsum(marks)[:-1] > 0
     sample = np.flatnonzero(inside)
-    sample = sample[np.isin(sample % PERIOD, COVER)]
-    ranks = np.zeros(len(body) + size, np.int64)
-    padded = np.r_[body, np.zeros(size + GRAM, np.uint8)]
+    sample = sample[_IN_COVER[sample % PERIOD]]
+    ranks = np.zeros(len(head) + size, np.int64)
     length = 2 * PERIOD
-    ranks[sample] = _dense(mix(gram_at(padded, sample)) + gram_at(padded, sample + length - GRAM))
+    ranks[sample] = _dense(mix(head[sample]) + head[sample + length - GRAM])
     wanted = size - PERIOD + 1
     while length < wanted:
         step = min(length, (wanted - length) // PERIOD * PERIOD)
@@ -263,7 +302,7 @@ def cover_ranks(body: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
         ranks[sample] = _dense((ranks[sample] << 32 | ranks[sample + step]).view(U))
         length += step
     if length < wanted:
-        ranks[sample] = _dense(mix(ranks[sample].astype(U) + U(1)) + gram_at(padded, sample + wanted - GRAM))
+        ranks[sample] = _dense(mix(ranks[sample].astype(U) + U(1)) + head[sample + wanted - GRAM])
     return ranks
 
 

@@ -78,3 +78,44 @@ def test_long_texts_are_worked_on_in_pieces(spark, monkeypatch):
 def test_cover_has_every_difference():
     differences = {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER}
     assert differences == set(range(repeats.PERIOD))
+
+
+def later(body, at, order, size):
+    seen, out = {}, []
+    for p, n in zip(at.tolist(), order.tolist()):
+        seen.setdefault(body[p : p + size].tobytes(), []).append(n)
+    for p, n in zip(at.tolist(), order.tolist()):
+        out.append(n > min(seen[body[p : p + size].tobytes()]))
+    return out
+
+
+def test_windows_with_bytes_of_their_own_are_not_ranked(monkeypatch):
+    rng = np.random.default_rng(7)
+    body = rng.integers(97, 123, 20_000).astype(np.uint8)
+    # Many windows share their first 32 bytes, few all 100.
+    for place in range(500, 19_000, 200):
+        body[place : place + 40] = body[:40]
+    body[15_000:15_230] = body[9_000:9_230]
+    at = np.arange(len(body) - 99)
+    ranked = []
+    ranks = repeats.cover_ranks
+    monkeypatch.setattr(repeats, "cover_ranks", lambda head, place, size: ranked.append(len(place)) or ranks(head, place, size))
+    order = rng.permutation(len(at))
+    assert repeats.later_windows(body, at, order, 100).tolist() == later(body, at, order, 100)
+    assert sum(later(body, at, order, 100)) == 131 and sum(ranked) < 300
+
+
+def test_windows_that_share_a_hash_are_compared(monkeypatch):
+    rng = np.random.default_rng(8)
+    for size in (40, 41, 57, 100, 128):
+        body = rng.integers(97, 99, 4000).astype(np.uint8)
+        body[2500:3500] = body[100:1100]
+        body[3600:3900] = 97
+        at = np.flatnonzero(rng.random(len(body) - size + 1) < 0.8)
+        order = rng.permutation(len(at))
+        want = later(body, at, order, size)
+        assert repeats.later_windows(body, at, order, size).tolist() == want
+        with monkeypatch.context() as patch:
+            whole = repeats.window_hashes
+            patch.setattr(repeats, "window_hashes", lambda *given: whole(*given) & np.uint64(0xFF << 56))
+            assert repeats.later_windows(body, at, order, size).tolist() == want
