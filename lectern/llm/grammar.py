@@ -27,7 +27,9 @@ ROUND_SHARE = 0.125
 LEAST_GAIN = 0.005
 
 _MAGIC = 0x31475052
-_FILTER_BITS = 18
+_SLOT_BITS = 18
+# Above all pairs, as ids stay below 2**32 - 1.
+_NO_PAIR = np.uint64((1 << 64) - 1)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -40,21 +42,23 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
     """
     seq = np.array(ids, np.uint32)
     base = int(seq.max(initial=0)) + 1
-    last = np.zeros(len(seq), bool)
-    last[ends[ends > 0] - 1] = True
     # Where documents start, among the symbols that are left; an empty document has no symbol.
     first = np.r_[0, ends[:-1]].astype(np.int64)
     left, right, rounds = [], [], [0]
     n_rules = 0
     while len(seq) > 1:
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        inside = ~last[:-1]
-        pairs, uses = _counted(key[inside])
+        # A document's last symbol has no pair.
+        stops = first[first > 0] - 1
+        key[stops[stops < len(key)]] = _NO_PAIR
+        pairs, uses = _counted(key)
+        if len(pairs) and pairs[-1] == _NO_PAIR:
+            pairs, uses = pairs[:-1], uses[:-1]
         most = int(uses.max(initial=0))
         if most < LEAST_USES:
             break
         pairs = pairs[uses >= max(LEAST_USES, int(most * ROUND_SHARE))]
-        place, pair = _places(key, inside, pairs)
+        place, pair = _places(key, pairs)
         kept = _apart(place)
         place, pair = place[kept], pair[kept]
         # Places that overlapped others are gone: a rule must still be used more than once.
@@ -71,12 +75,11 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> bytes:
         n_rules += len(used)
         rounds.append(n_rules)
         seq[place] = symbol[pair]
-        last[place] = last[place + 1]
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
         first -= np.searchsorted(place + 1, first)
         before = len(seq)
-        seq, last = seq[stay], last[stay]
+        seq = seq[stay]
         if len(place) < before * LEAST_GAIN:
             break
     left = np.concatenate(left) if left else np.zeros(0, np.uint32)
@@ -94,17 +97,26 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[edge], np.diff(np.r_[edge, len(key)])
 
 
-def _places(key: np.ndarray, inside: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of the sorted ``pairs`` starts, and which one it is; a small table of
-    hashes sorts out most of the others first."""
+def _places(key: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the sorted ``pairs`` starts, and which one it is. A small table by hash
+    tells that; only where pairs share a slot of it they are searched."""
     def slot(x):
-        return (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)
-
-    known = np.zeros(1 << _FILTER_BITS, bool)
-    known[slot(pairs)] = True
-    place = np.flatnonzero(known[slot(key)] & inside)
-    found = np.minimum(np.searchsorted(pairs, key[place]), len(pairs) - 1)
-    same = pairs[found] == key[place]
+        return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+
+    table = np.full(1 << _SLOT_BITS, -1, np.int32)
+    own, held = np.arange(len(pairs), dtype=np.int32), slot(pairs)
+    table[held] = own
+    shared = np.zeros(1 << _SLOT_BITS, bool)
+    shared[held[table[held] != own]] = True
+    slots = slot(key)
+    found = table[slots]
+    place = np.flatnonzero(found >= 0)
+    found, mine = found[place], key[place]
+    same = pairs[found] == mine
+    others = np.flatnonzero(~same)
+    others = others[shared[slots[place[others]]]]
+    found[others] = np.minimum(np.searchsorted(pairs, mine[others]), len(pairs) - 1)
+    same[others] = pairs[found[others]] == mine[others]
     return place[same], found[same]
 
 

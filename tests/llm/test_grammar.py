@@ -101,3 +101,26 @@ def test_query(spark, library):
     found = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op11_grammar_ids(spark, SF).collect()}
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
     assert found == {doc: (start, len(ids), crc(ids)) for doc, start, ids in plain(library, rows)}
+
+
+def test_pairs_that_share_a_slot_are_found(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 30, 20_000).astype(np.uint32)
+    ends = np.r_[0, 0, np.sort(rng.integers(0, len(ids), 40)), len(ids), len(ids)]
+    whole = grammar.compress(ids, ends)
+    monkeypatch.setattr(grammar, "_SLOT_BITS", 3)
+    assert grammar.compress(ids, ends) == whole
+    shard = grammar.Shard(whole)
+    assert np.array_equal(shard.ids(), ids) and shard.documents().tolist() == [0, *ends.tolist()]
+
+
+def test_pairs_are_found_without_bisection(monkeypatch):
+    rng = np.random.default_rng(5)
+    searched = []
+    search = np.searchsorted
+    monkeypatch.setattr(grammar.np, "searchsorted", lambda a, v, *more: searched.append(np.size(v)) or search(a, v, *more))
+    ids = rng.integers(0, 200, 50_000).astype(np.uint32)
+    shard = grammar.Shard(grammar.compress(ids, np.array([20_000, 50_000])))
+    # It was a search for each place of a pair that becomes a rule, 50,000 in the first round.
+    assert sum(searched) < len(ids) / 2
+    assert np.array_equal(shard.ids(), ids)
