@@ -4,6 +4,9 @@ Each stage takes the documents that the one before kept, calls one operator of
 ``lectern.llm``, and acts on what it decides.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,24 @@ from lectern.plans.stages import table
 
 # Least posterior of the language found; below it a document counts as unidentified.
 LEAST_SCORE = 0.5
+# Bytes of rows that a task hands to Python at once; a longer row goes alone.
+BATCH_BYTES = 2 << 20
+
+
+def in_short_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` with Arrow batches of about ``BATCH_BYTES`` instead of 10,000 rows each.
+
+    Rows are whole documents, and a batch is held by the executor and by its Python worker,
+    several times on the way. The session keeps the setting, as rows are made after the stage
+    has returned; no result depends on it.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -25,6 +46,7 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+@in_short_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is identified; unknown and doubtful ones go."""
     learn = docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(3, 1))
@@ -34,6 +56,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(known).select(*docs.columns)
 
 
+@in_short_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near copies: that of the least id.
 
@@ -67,6 +90,7 @@ def _one_row_of_each(docs: DataFrame) -> DataFrame:
     return join_ids(rows, stay, "left_semi", row).select(*docs.columns)
 
 
+@in_short_batches
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents without a benchmark passage."""
     name = free_name(docs, "leak")
@@ -74,6 +98,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.size(f"{name}.hits") == 0).select(*docs.columns)
 
 
+@in_short_batches
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind; ``n_chars`` follows the text where there is one."""
     name = free_name(docs, "pii")
@@ -85,6 +110,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return changed.select(*docs.columns)
 
 
+@in_short_batches
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether decoding them gives its bytes back."""
     name = free_name(docs, "bpe")

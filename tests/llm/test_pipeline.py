@@ -1,5 +1,6 @@
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from plain import SF, edge_rows
 from test_leaks import expected as leak
@@ -80,3 +81,15 @@ def test_one_row_of_each_group_of_copies(spark):
 def test_run(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns[:5] == COLUMNS and 0 < found.count() < 200
+
+
+def test_python_gets_short_batches(spark):
+    docs = table(spark, [(i, f"w{i} " * 20_000) for i in range(80)]).coalesce(1)
+    longest = 120_000
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.encode_tokens):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        made = stage(spark, docs, SF)
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint")
+        # All rows together are three times as long.
+        assert max(r.n for r in sizes.collect()) <= corpus_pipeline.BATCH_BYTES + longest
+        assert made.count() == 80
