@@ -6,12 +6,12 @@ Texts are cut into words once; vocabulary, encoding and the count model read ``w
 Rerunning a step overwrites its tables and records.
 """
 
+import math
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import words
 from lectern.operators import (
     bayes, clean, encode, evaluate, labels, linear, loss, postings, profile, rank, split,
 )
@@ -63,9 +63,12 @@ def _scored(rows: DataFrame, scores: bayes.Scores) -> DataFrame:
 
 def _linear(rows: DataFrame, model: PipelineModel) -> DataFrame:
     """Rows scored like those of the count model: log probabilities and the class."""
-    scored = model.transform(rows.select("doc_id", "label", words("text").alias("words")))
-    logits = F.transform(vector_to_array("probability"), lambda p: F.log(F.greatest(p, F.lit(1e-300))))
-    return scored.select("doc_id", "label", logits.alias("logits"), F.col("prediction").cast("int").alias("prediction"))
+    scored = model.transform(rows.select("doc_id", "label", "text"))
+    top = F.array_max("logits")
+    mass = top + F.log(F.aggregate("logits", F.lit(0.0), lambda n, x: n + F.exp(x - top)))
+    logits = F.transform("logits", lambda x: F.greatest(x - mass, F.lit(math.log(1e-300))))
+    best = (F.array_position("logits", top) - 1).cast("int")
+    return scored.select("doc_id", "label", logits.alias("logits"), best.alias("prediction"))
 
 
 def scalars(batched: DataFrame, weights: DataFrame, classes: list, size: int) -> DataFrame:

@@ -254,3 +254,62 @@ def test_the_gradient_vanishes_at_the_optimum_only(spark, corpus, pairs):
                 slope[word] += error * x
         by_hand = math.sqrt(sum((v / scale[word]) ** 2 for word, v in slope.items()))
         assert row.norm == pytest.approx(by_hand) == row.start
+
+
+@pytest.mark.parametrize("block_pairs", [1 << 20, 400])
+def test_linear_model_in_blocks_is_the_one_of_mllib(spark, corpus, pairs, block_pairs):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, CountVectorizer
+
+    from lectern.functions.text import words
+
+    df = corpus(pairs)
+    weights = profile.class_weights(df)
+    rows = df.join(weights.select("label", "weight"), "label").select("label", "weight", words("text").alias("words"))
+    stages = [
+        CountVectorizer(inputCol="words", outputCol="counts", minDF=2),
+        IDF(inputCol="counts", outputCol="features"),
+        LogisticRegression(weightCol="weight", maxIter=500, tol=1e-12, regParam=linear.PENALTY, family="multinomial"),
+    ]
+    counter, idf, regression = Pipeline(stages=stages).fit(rows).stages
+    model = linear.fit_linear(df, weights, tol=1e-8, block_pairs=block_pairs)
+    found = {r.word: (r.idf, r.betas) for r in linear.coefficients(spark, model).collect()}
+    assert found.keys() == {None, *counter.vocabulary}
+    for i, word in enumerate(counter.vocabulary):
+        assert found[word][0] == pytest.approx(idf.idf[i])
+        np.testing.assert_allclose(found[word][1], regression.coefficientMatrix.toArray()[:, i], atol=1e-5)
+    np.testing.assert_allclose(found[None][1], regression.interceptVector.toArray(), atol=1e-5)
+
+
+def test_linear_fit_sends_few_numbers_to_the_driver(spark, corpus, tmp_path):
+    import json
+    import subprocess
+    import sys
+
+    # The event log of a session of its own tells the size of every task's result.
+    n = 60_000
+    code = f"""
+import sys
+sys.path[:0] = {sys.path!r}
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+    .config("spark.sql.shuffle.partitions", "2").config("spark.sql.autoBroadcastJoinThreshold", "-1").config("spark.checkpoint.dir", "file://{tmp_path}/shared")
+    .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", "file://{tmp_path}")
+    .config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false").getOrCreate())
+from lectern.operators import linear, profile
+# Tables that are broadcast, which are bounded, go by the driver as well.
+linear.small_side = lambda df: df
+text = ["".join(f"{{c}}{{i}} " for i in range({n})) for c in "ab"]
+rows = [(i, i % 2, text[i % 2]) for i in range(4)]
+df = spark.createDataFrame(rows, "doc_id BIGINT, label INT, text STRING").repartition(2)
+model = linear.fit_linear(df, profile.class_weights(df), max_iter=3)
+assert linear.predict_linear(df, model).where("label <> prediction").count() == 0
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+    logs = [p for p in tmp_path.iterdir() if p.is_file() and p.name.startswith("local")]
+    events = [json.loads(line) for p in logs for line in p.read_text().splitlines()]
+    sizes = [e["Task Metrics"]["Result Size"] for e in events if e["Event"] == "SparkListenerTaskEnd"]
+    # One number for each word alone would be 960,000 bytes.
+    assert sizes and sum(max(0, size - 10_000) for size in sizes) < 500_000
