@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.byte_bpe import groups_of_texts
 from lectern.llm.token_counts import id_coder
+from lectern.llm.wordtable import run_places
 
 # Ids of a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
@@ -160,6 +161,8 @@ class Shard:
         high = int(self.places[-1]) if high is None else min(high, int(self.places[-1]))
         if low >= high:
             return np.zeros(0, np.uint32)
+        if low == 0 and high == int(self.places[-1]):
+            return self._all()
         begin = int(np.searchsorted(self.places, low, "right")) - 1
         end = int(np.searchsorted(self.places, high))
         found, at = self.symbols[begin:end], int(self.places[begin])
@@ -180,6 +183,18 @@ class Shard:
                 found, at = found[begin:end], int(places[begin])
         return found
 
+    def _all(self) -> np.ndarray:
+        """All ids; each rule is expanded once, from the rules of earlier rounds."""
+        begin = np.cumsum(self.lengths) - self.lengths
+        ids = np.empty(int(self.lengths.sum()), np.uint32)
+        ids[: self.base] = np.arange(self.base)
+        for low, high in zip(self.rounds, self.rounds[1:]):
+            sides = np.stack([self.left[low:high], self.right[low:high]], 1).ravel()
+            found = ids[run_places(begin[sides], self.lengths[sides])]
+            at = int(begin[self.base + low])
+            ids[at : at + len(found)] = found
+        return ids[run_places(begin[self.symbols], self.lengths[self.symbols])]
+
     def documents(self) -> np.ndarray:
         """The place of each document's first id, and the place after the last one's."""
         return np.r_[self.places[self.first], self.places[-1]]

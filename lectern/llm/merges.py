@@ -5,114 +5,146 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 
-NEVER = np.int64(1 << 40)
+# No pair; above the rank and result of any.
+NEVER = np.int64((1 << 63) - 1)
+# A symbol that was merged into the one before it.
+_GONE = -2
+# Where a pair's number has its rank, and, while words are merged, its place in the word.
+_RANK, _PLACE = 40, 32
 
 
 class PairTable:
-    """Rank and result of each mergeable pair of symbol ids, looked up by bisection."""
+    """Rank and result of each mergeable pair of symbol ids, looked up by hash."""
 
     def __init__(self, left, right, rank, result):
         key = np.asarray(left, np.int64) << 32 | np.asarray(right, np.int64)
-        order = np.argsort(key)
-        self.key = key[order]
-        self.rank = np.asarray(rank, np.int64)[order]
-        self.result = np.asarray(result, np.int64)[order]
-        # Whether a rank's result takes part in a pair of lower rank, which then comes first.
-        parts = np.r_[self.key >> 32, self.key & 0xFFFFFFFF]
-        least = np.full(max(parts.max(initial=0), self.result.max(initial=0)) + 1, NEVER)
-        np.minimum.at(least, parts, np.tile(self.rank, 2))
-        self.single = np.zeros(self.rank.max(initial=0) + 1, bool)
-        self.single[self.rank] = least[self.result] <= self.rank
+        # Ranks are numbered anew, so that each leaves room for a place and a result.
+        order = np.unique(np.asarray(rank, np.int64), return_inverse=True)[1].astype(np.int64)
+        # The last entry is that of an empty slot.
+        self.key = np.r_[key, np.iinfo(np.int64).min]
+        self.value = np.r_[order << _RANK | np.asarray(result, np.int64), NEVER]
+        bits = max(8, (8 * len(key)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.full(1 << bits, len(key), np.int32)
+        wanted, rest = self._slot(key), np.arange(len(key), dtype=np.int32)
+        while len(rest):
+            at = wanted[rest]
+            free = self.slots[at] == len(key)
+            self.slots[at[free]] = rest[free]
+            rest = rest[self.slots[at] != rest]
+            wanted[rest] = (wanted[rest] + 1) & (len(self.slots) - 1)
         self._pairs = None
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
     @property
     def pairs(self) -> dict[int, int]:
         """Rank and result in one number by the pair's key; built for the first long word."""
         if self._pairs is None:
-            self._pairs = dict(zip(self.key.tolist(), (self.rank << 32 | self.result).tolist()))
+            self._pairs = dict(zip(self.key[:-1].tolist(), self.value[:-1].tolist()))
         return self._pairs
 
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.key):
-            return np.full(len(left), NEVER), np.zeros(len(left), np.int64)
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``rank << 40 | result`` of each pair, ``NEVER`` for one that does not merge."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        known = self.key[at] == key
-        return np.where(known, self.rank[at], NEVER), np.where(known, self.result[at], 0)
+        slot = self._slot(key)
+        entry = self.slots[slot]
+        same = self.key[entry] == key
+        found = np.where(same, self.value[entry], NEVER)
+        rest = np.flatnonzero(~same & (entry < len(self.key) - 1))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (len(self.slots) - 1)
+            entry = self.slots[slot[rest]]
+            same = self.key[entry] == key[rest]
+            found[rest[same]] = self.value[entry[same]]
+            rest = rest[~same & (entry < len(self.key) - 1)]
+        return found
 
 
 # A longer word is merged by itself with a heap: its rounds would be about as many as its
 # letters, each over all of them. The results are the same.
 LONG_WORD = 256
+# Letters of words of like lengths that are merged at once, about.
+BLOCK_LETTERS = 1 << 16
 
 
 def merge(symbols: np.ndarray, sizes: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Merge each sequence to the end: always its lowest-rank pair, the leftmost of equals.
 
-    Sequences up to ``LONG_WORD`` are merged all at once, longer ones one by one.
-    ``symbols`` holds the sequences one after another, ``sizes`` their lengths (1 or
-    more). Returns the surviving symbols and their number for each sequence.
+    Sequences up to ``LONG_WORD`` are merged many at once, one pair of each in a round,
+    longer ones one by one. ``symbols`` holds the sequences one after another, ``sizes``
+    their lengths (1 or more). Returns the surviving symbols and their number for each
+    sequence.
     """
-    symbols = np.asarray(symbols, np.int64).copy()
-    sizes = np.asarray(sizes)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    done_symbols, done_rows = [], []
-    ends = np.cumsum(sizes)
-    long_rows = np.flatnonzero(sizes > LONG_WORD)
-    for r in long_rows.tolist():
-        done_symbols.append(_merge_long(symbols[ends[r] - sizes[r] : ends[r]], table))
-        done_rows.append(np.full(len(done_symbols[-1]), r))
-    if len(long_rows):
-        short = sizes[row] <= LONG_WORD
-        symbols, row = symbols[short], row[short]
-    rank, result = _pairs(symbols, row, table)
-    while len(symbols):
-        edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        lowest = np.minimum.reduceat(rank, edge)
-        each = np.diff(np.r_[edge, len(row)])
-        live = np.repeat(lowest < NEVER, each)
-        if not live.all():
-            done_symbols.append(symbols[~live])
-            done_rows.append(row[~live])
-            symbols, row, rank, result = symbols[live], row[live], rank[live], result[live]
-            continue
-        chosen = rank == np.repeat(lowest, each)
-        single = table.single[lowest]
-        if single.any():
-            # These ranks merge one pair a round, as it may make a pair that comes first.
-            place = np.flatnonzero(chosen & np.repeat(single, each))
-            chosen[place[1:][row[place[1:]] == row[place[:-1]]]] = False
-        # Of touching pairs take every other one, from the left.
-        place = np.flatnonzero(chosen)
-        run = np.cumsum(np.r_[True, np.diff(place) > 1]) - 1
-        first = place[np.flatnonzero(np.r_[True, np.diff(run) > 0])]
-        place = place[(place - first[run]) % 2 == 0]
-        symbols[place] = result[place]
-        stay = np.ones(len(symbols), bool)
-        stay[place + 1] = False
-        touched = np.zeros(len(symbols), bool)
-        touched[place] = True
-        symbols, row, rank, result, touched = (x[stay] for x in (symbols, row, rank, result, touched))
-        # The symbol before a merged one has a new right neighbour.
-        touched[:-1] |= touched[1:]
-        again = np.flatnonzero(touched)
-        nxt = np.minimum(again + 1, len(symbols) - 1)
-        new_rank, new_result = table.find(symbols[again], symbols[nxt])
-        joined = (again + 1 < len(symbols)) & (row[again] == row[nxt])
-        rank[again] = np.where(joined, new_rank, NEVER)
-        result[again] = np.where(joined, new_result, 0)
-    if not done_symbols:
-        return symbols, np.zeros(len(sizes), np.int64)
-    symbols, row = np.concatenate(done_symbols), np.concatenate(done_rows)
-    order = np.argsort(row, kind="stable")
-    return symbols[order], np.bincount(row, minlength=len(sizes))
+    n, sizes = len(symbols), np.asarray(sizes, np.int64)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+    # A merged symbol stays at its left part's place. Beyond the last one lies what no pair has.
+    held = np.r_[np.asarray(symbols, np.int64), _GONE]
+    starts = np.cumsum(sizes) - sizes
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[starts + sizes - 1] = n
+    before[starts] = n
+    value = table.find(held[:-1], held[after[:-1]])
+    order = np.argsort(sizes, kind="stable")
+    ordered = sizes[order]
+    low, short = np.searchsorted(ordered, [2, LONG_WORD + 1])
+    for word in order[short:].tolist():
+        own = slice(starts[word], starts[word] + sizes[word])
+        merged = _merge_long(held[own], table)
+        held[own] = _GONE
+        held[own.start : own.start + len(merged)] = merged
+    while low < short:
+        most = min(ordered[low] * 3 // 2 + 2, LONG_WORD)
+        high = min(low + max(1, BLOCK_LETTERS // most), short, np.searchsorted(ordered, most, "right"))
+        _merge_block(held, after, before, value, starts[order[low:high]], ordered[low:high], table)
+        low = high
+    kept = held[:-1] != _GONE
+    return held[:-1][kept], np.add.reduceat(kept, starts, dtype=np.int64)
+
+
+def _merge_block(held, after, before, value, starts, sizes, table: PairTable) -> None:
+    """Merge the words at ``starts``; ``held, after, before`` are all words' symbols and
+    neighbours and are changed in place, ``value`` tells the pairs that start at each symbol."""
+    width, last = int(sizes.max()), len(held) - 1
+    places = np.arange(width)[:, None]
+    # Pairs by place in the word; a last row takes those of words that have no symbol before.
+    pair = np.full((width + 1, len(starts)), NEVER)
+    inside = places < sizes
+    pair[:-1][inside] = value[(starts + places)[inside]]
+    pair[:-1] |= np.where(pair[:-1] < NEVER, places << _PLACE, 0)
+    while True:
+        lowest = pair[:-1].min(axis=0)
+        live = np.flatnonzero(lowest < NEVER)
+        if not len(live):
+            return
+        if 2 * len(live) < len(starts):
+            # The others have ended.
+            pair, starts, lowest = pair.take(live, axis=1), starts[live], lowest[live]
+            live = np.arange(len(live))
+        words, flat, lowest, start = len(starts), pair.reshape(-1), lowest[live], starts[live]
+        place = lowest >> _PLACE & (1 << _RANK - _PLACE) - 1
+        made = lowest & (1 << _PLACE) - 1
+        at = start + place
+        gone = after[at]
+        right, left = after[gone], before[at]
+        held[at], held[gone] = made, _GONE
+        after[at], before[right] = right, at
+        place_before = np.where(left < last, left - start, width)
+        found = table.find(np.r_[made, held[left]], np.r_[held[right], made])
+        found |= np.where(found < NEVER, np.r_[place, place_before] << _PLACE, 0)
+        flat[(gone - start) * words + live] = NEVER
+        flat[place * words + live] = found[: len(live)]
+        flat[place_before * words + live] = found[len(live) :]
 
 
 def _merge_long(symbols: np.ndarray, table: PairTable) -> np.ndarray:
     """One sequence: a heap of (rank, place) over linked neighbours."""
     n = len(symbols)
-    rank, _ = table.find(symbols[:-1], symbols[1:])
-    known = np.flatnonzero(rank < NEVER)
+    found = table.find(symbols[:-1], symbols[1:])
+    known = np.flatnonzero(found < NEVER)
+    rank = found >> _RANK
     heap = (rank[known] << 32 | known).tolist()
     heapify(heap)
     # Rank of the pair that starts at each place now; an entry of another rank is stale.
@@ -128,7 +160,7 @@ def _merge_long(symbols: np.ndarray, table: PairTable) -> np.ndarray:
         if pair is None:
             now[at] = -1
         else:
-            now[at] = new = pair >> 32
+            now[at] = new = pair >> _RANK
             heappush(heap, new << 32 | at)
 
     while heap:
@@ -149,14 +181,3 @@ def _merge_long(symbols: np.ndarray, table: PairTable) -> np.ndarray:
             renew(left, held[left], made)
     found = np.frombuffer(held, np.int64)
     return found[found >= 0]
-
-
-def _pairs(symbols, row, table):
-    rank = np.full(len(symbols), NEVER)
-    result = np.zeros(len(symbols), np.int64)
-    if len(symbols) > 1:
-        found, made = table.find(symbols[:-1], symbols[1:])
-        same = row[:-1] == row[1:]
-        rank[:-1] = np.where(same, found, NEVER)
-        result[:-1] = np.where(same, made, 0)
-    return rank, result

@@ -2,6 +2,7 @@ r"""Splitting texts by a published pattern written with ``\p{L}``, ``\p{N}``, ``
 
 import re
 
+import numpy as np
 import regex
 
 # Letters of the alphabet that the standard module can split by explicit ranges.
@@ -37,6 +38,39 @@ def plain(text: str) -> bool:
     return text.isascii() or _PLAIN(text) is not None
 
 
+# The pattern whose matches ``plain_spans`` finds in bytes.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+
+
+def plain_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``begin, size`` of all matches of ``BYTE_PATTERN`` in the UTF-8 bytes of plain text."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _KIND[data]
+    edge = kind == _DIGIT
+    edge[1:] |= kind[1:] != kind[:-1]
+    edge[0] = True
+    begin = np.flatnonzero(edge)
+    of, end = kind[begin], np.r_[begin[1:], len(data)]
+    # A quote alone before letters takes the first of them where they are an ending's.
+    quote = np.flatnonzero((data[begin] == ord("'")) & (end - begin == 1))
+    quote = quote[quote + 1 < len(begin)]
+    quote = quote[of[quote + 1] == _LETTER]
+    at = begin[quote + 1]
+    one, two = data[at], np.where(end[quote + 1] - at > 1, data[np.minimum(at + 1, len(data) - 1)], 0)
+    taken = np.isin(one, list(b"stmd")).astype(np.int64)
+    taken[(two == ord("e")) & ((one == ord("r")) | (one == ord("v"))) | (one == ord("l")) & (two == ord("l"))] = 2
+    end[quote] += taken
+    begin[quote + 1] += taken
+    kept = (of != _SPACE) & (begin < end)
+    return begin[kept], (end - begin)[kept]
+
+
 class Splitter:
     """All matches of a pattern; Latin texts take the standard module's faster scan."""
 

@@ -5,6 +5,7 @@ import re
 import sys
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,15 @@ from pyspark.sql import DataFrame
 from lectern.llm.batches import annotate, longs, per_text
 from lectern.llm.byte_bpe import groups_of_texts
 from lectern.llm.merges import PairTable, merge
-from lectern.llm.pretokens import Splitter, plain
+from lectern.llm.pretokens import BYTE_PATTERN, Splitter, plain, plain_spans
+from lectern.llm.wordtable import PADDING, WordTable
 
 # Bytes of words and their ids that a task remembers, about.
 REMEMBERED_BYTES = 64 << 20
+# The same of a table of words in arrays.
+TABLE_BYTES = 32 << 20
+# Letters that are coded at once; a text without spaces may be longer.
+CODED_LETTERS = 1 << 20
 # What an entry takes beside its letters and ids, about.
 _ENTRY = 150
 
@@ -64,6 +70,8 @@ class WordBpe:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = Splitter(split)
+        # Whether the words of plain texts can be told by their bytes.
+        self.by_bytes = split == BYTE_PATTERN
         self.known: dict[str, int] = {}
         self.held = 0
         self.library = None
@@ -81,14 +89,17 @@ class WordBpe:
         parts = self.special.split(text)
         return len(parts) - 1, [w for part in parts for w in self.words(self.normal(part))]
 
-    def learn(self, words: list[str]) -> None:
-        coded = [w.encode() for w in words]
-        sizes = np.array([len(b) for b in coded])
-        raw = np.frombuffer(b"".join(coded), np.uint8)
+    def spell(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words whose bytes lie one after another, and the number of each one's."""
         symbols = self.inner[raw]
         ends = np.cumsum(sizes) - 1
         symbols[ends] = self.last[raw[ends]]
-        _, counts = merge(symbols, sizes, self.table)
+        return merge(symbols, sizes, self.table)
+
+    def learn(self, words: list[str]) -> None:
+        coded = [w.encode() for w in words]
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        _, counts = self.spell(raw, np.array([len(b) for b in coded]))
         self.known.update(zip(words, counts.tolist()))
         self.held += len(raw) + _ENTRY * len(words)
 
@@ -123,48 +134,84 @@ class WordIds(WordBpe):
         with open(path, encoding="utf-8") as text:
             added = json.load(text)["added_tokens"]
         self.special_ids = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
-
-    def learn(self, words: list[str]) -> None:
-        coded = [w.encode() for w in words]
-        sizes = np.array([len(b) for b in coded])
-        raw = np.frombuffer(b"".join(coded), np.uint8)
-        symbols = self.inner[raw]
-        ends = np.cumsum(sizes) - 1
-        symbols[ends] = self.last[raw[ends]]
-        ids, counts = merge(symbols, sizes, self.table)
-        data = ids.astype("<u4").tobytes()
-        stops = (np.cumsum(counts) * 4).tolist()
-        self.known.update((w, data[low:high]) for w, low, high in zip(words, [0, *stops], stops))
-        self.held += len(data) + sum(sizes.tolist()) + _ENTRY * len(words)
+        self.table_of_words = WordTable(self.spell)
+
+    def spans(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes that hold the words of normal texts, ``begin`` and ``size`` of each word, and
+        the index of each text's first word (one more entry than texts)."""
+        easy = [self.by_bytes and plain(piece) for piece in pieces]
+        coded = [piece.encode() for piece, e in zip(pieces, easy) if e]
+        # White space between texts parts their words.
+        body = b" ".join(coded)
+        begin, size = plain_spans(np.frombuffer(body, np.uint8))
+        before = np.cumsum([0, *(len(c) + 1 for c in coded)])
+        first = np.searchsorted(begin, before)
+        if len(coded) < len(pieces):
+            words = [[] if e else [w.encode() for w in self.words(piece)] for piece, e in zip(pieces, easy)]
+            more = [w for found in words for w in found]
+            sizes = np.array([len(w) for w in more], np.int64)
+            order = np.argsort(~np.array(easy), kind="stable")
+            n_words = np.array([len(w) for w in words])
+            n_words[easy] = np.diff(first)
+            # Words of the plain texts lie before all others; they are put in the texts' order.
+            place = np.zeros(len(pieces), np.int64)
+            place[order] = np.cumsum(n_words[order]) - n_words[order]
+            begin = np.r_[begin, len(body) + np.cumsum(sizes) - sizes]
+            size = np.r_[size, sizes]
+            first = np.r_[0, np.cumsum(n_words)]
+            taken = np.repeat(place - first[:-1], n_words) + np.arange(len(begin))
+            begin, size = begin[taken], size[taken]
+            body += b"".join(more)
+        return np.frombuffer(body + bytes(PADDING), np.uint8), begin, size, first
+
+    def coded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of normal texts, which are told by arrays over all their bytes."""
+        if self.table_of_words.n_bytes > TABLE_BYTES:
+            self.table_of_words.clear()
+        data, begin, size, first = self.spans(pieces)
+        ids, count = self.table_of_words.ids(data, begin, size)
+        raw = ids.astype("<u4").tobytes()
+        stops = (np.r_[0, np.cumsum(count)][first] * 4).tolist()
+        return [raw[low:high] for low, high in zip(stops, stops[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, special strings in it included."""
         unsure = [self.unsure(t) for t in texts]
         special = [[] if u or self.special is None or "<|" not in t else self.special.findall(t) for t, u in zip(texts, unsure)]
-        parts = [
-            [] if u else [self.words(self.normal(part)) for part in (self.special.split(t) if s else [t])]
-            for t, s, u in zip(texts, special, unsure)
-        ]
-        if self.held > REMEMBERED_BYTES:
-            self.known, self.held = {}, 0
-        fresh = set().union(*(words for text in parts for words in text)).difference(self.known)
-        if fresh:
-            self.learn(list(fresh))
-        known = self.known.__getitem__
+        pieces, n_pieces = [], []
+        for text, marks, u in zip(texts, special, unsure):
+            for part in [] if u else self.special.split(text) if marks else [text]:
+                found = cut_at_spaces(self.normal(part))
+                pieces += found
+                n_pieces.append(len(found))
+        coded, group, held = [], [], 0
+        for piece in pieces:
+            if group and held + len(piece) > CODED_LETTERS:
+                coded += self.coded(group)
+                group, held = [], 0
+            group.append(piece)
+            held += len(piece)
+        coded += self.coded(group)
+        rest = iter(coded)
+        parts = iter([b"".join(islice(rest, n)) for n in n_pieces])
         out = []
-        for text, words, marks, u in zip(texts, parts, special, unsure):
+        for text, marks, u in zip(texts, special, unsure):
             if u:
                 out.append(np.array(self.published(text), "<u4").tobytes())
-            elif not marks:
-                out.append(b"".join(map(known, words[0])))
             else:
-                pieces = [b"".join(map(known, words[0]))]
-                for mark, part in zip(marks, words[1:]):
-                    pieces += [self.special_ids[mark], *map(known, part)]
-                out.append(b"".join(pieces))
+                out.append(b"".join([next(parts), *(x for mark in marks for x in (self.special_ids[mark], next(parts)))]))
         return out
 
 
+def cut_at_spaces(text: str) -> list[str]:
+    """A long text in parts of about ``CODED_LETTERS`` that begin with a space."""
+    out, at = [], 0
+    while len(text) - at > CODED_LETTERS and (stop := text.find(" ", at + CODED_LETTERS)) >= 0:
+        out.append(text[at:stop])
+        at = stop
+    return [*out, text[at:]]
+
+
 def _pair(merge_rule):
     return merge_rule.split(" ") if isinstance(merge_rule, str) else merge_rule
 

@@ -8,8 +8,9 @@ import tiktoken
 from plain import SF, docs_of, edge_rows
 from tokenizers import Tokenizer
 
-from lectern.llm import byte_bpe, token_counts
+from lectern.llm import byte_bpe, merges, token_counts
 from lectern.llm.merges import PairTable, merge
+from lectern.llm.pretokens import BYTE_PATTERN, Splitter
 from lectern.llm.queries import BYTE_RANKS, WORD_BPE
 
 ODD = [
@@ -138,3 +139,61 @@ def test_remembered_words_are_bounded(monkeypatch):
     for n in range(50):
         bpe.encode([" ".join(f"w{n}x{i}" for i in range(50))])
     assert sum(len(w) for w in bpe.known) < 20_000
+
+
+PIECES = ["'", "s", "re", "ll", "d", "v", "B", "É", "ß", "İ", "Ɓ", "0", "²", " ", "\n", "\x1c", "\x00", "\x85", "\xa0", "　", "-", "×", "日本", "Σ", "́", "😀", "<|endoftext|>", "<|", "a" * 15, "a" * 16, "é" * 8, "я"]
+
+
+def test_ids_of_odd_texts(monkeypatch):
+    monkeypatch.setattr(token_counts, "CODED_LETTERS", 40)
+    published, coder = Tokenizer.from_file(WORD_BPE), token_counts.WordIds(WORD_BPE)
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(PIECES, k=rng.randrange(60))) for _ in range(1500)]
+    texts += ["", "'", "'s", "''s", "x's's", "x'", "'l", "'v", "'r e", "\x00", "\x00\x00", "a\x00"]
+    for low in range(0, len(texts), 200):
+        group = texts[low : low + 200]
+        want = [published.encode(t, add_special_tokens=False).ids for t in group]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(group)] == want
+
+
+def test_plain_texts_make_no_words():
+    """Words of plain texts are found in their bytes, and each is spelled once."""
+    published, coder = Tokenizer.from_file(WORD_BPE), token_counts.WordIds(WORD_BPE)
+    coder.words = None
+    spelled, spell = [], coder.spell
+    coder.table_of_words.spell = lambda raw, sizes: spelled.append(len(sizes)) or spell(raw, sizes)
+    text = "It's 1984, naïve élan; WE'LL SEE... " * 3 + "x" * 40
+    for texts in ([text], [text, text + " again"]):
+        want = [published.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in coder.encode(texts)] == want
+    assert sum(spelled) == len(set(Splitter(BYTE_PATTERN)(coder.normal(text)))) + 1
+
+
+def test_table_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "TABLE_BYTES", 100_000)
+    coder = token_counts.WordIds(WORD_BPE)
+    sizes = []
+    for n in range(60):
+        coder.encode([" ".join(f"{a}{b}{n % 7}w {a}{b}{'long' * 5}" for a in "abcdefgh" for b in "klmnopqrst")])
+        sizes.append(coder.table_of_words.n_bytes)
+    assert max(sizes) < 200_000
+
+
+@pytest.mark.parametrize("block", [1, 300, 1 << 16])
+def test_words_merged_at_once_and_alone(monkeypatch, block):
+    ranks = byte_bpe.read_ranks(BYTE_RANKS)
+    bpe = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b"aabetion 's", k=n)) for n in [*range(1, 40), 255, 256, 257] * 3] + [b"a" * n for n in range(1, 60)]
+    rng.shuffle(words)
+    symbols, sizes = bpe.bytes[np.frombuffer(b"".join(words), np.uint8)], np.array([len(w) for w in words])
+    monkeypatch.setattr(merges, "LONG_WORD", 1)
+    alone = merge(symbols, sizes, bpe.table)
+    monkeypatch.setattr(merges, "LONG_WORD", 256)
+    monkeypatch.setattr(merges, "BLOCK_LETTERS", block)
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(merges.np, "searchsorted", lambda a, v, *more: searched.append(np.size(v)) or search(a, v, *more))
+    at_once = merge(symbols, sizes, bpe.table)
+    assert all(np.array_equal(a, b) for a, b in zip(alone, at_once))
+    # Pairs were looked up by bisection, for each letter and again after each merge.
+    assert sum(searched) < len(symbols) / 2
