@@ -313,3 +313,80 @@ spark.stop()
     sizes = [e["Task Metrics"]["Result Size"] for e in events if e["Event"] == "SparkListenerTaskEnd"]
     # One number for each word alone would be 960,000 bytes.
     assert sizes and sum(max(0, size - 10_000) for size in sizes) < 500_000
+
+
+@pytest.fixture(scope="module")
+def shuffled(tmp_path_factory):
+    """Records that fit and prediction shuffle, and the pairs of row and word."""
+    import json
+    import subprocess
+    import sys
+
+    # The event log of a session of its own tells what every task wrote.
+    tmp_path = tmp_path_factory.mktemp("shuffled")
+    code = f"""
+import sys
+sys.path[:0] = {sys.path!r}
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+    .config("spark.sql.shuffle.partitions", "2").config("spark.sql.autoBroadcastJoinThreshold", "-1").config("spark.checkpoint.dir", "file://{tmp_path}/shared")
+    .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", "file://{tmp_path}")
+    .config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false").getOrCreate())
+from lectern.operators import linear, profile
+from lectern.operators.postings import postings
+from lectern.plans.shared import saved
+# As for tables too large for a broadcast.
+linear.small_side = lambda df: df
+rows = [(i, i % 2, " ".join(f"w{{(i * j + j) % 499}}" for j in range(1, 400))) for i in range(400)]
+df = saved(spark.createDataFrame(rows, "doc_id BIGINT, label INT, text STRING").repartition(2), "texts")
+words, weights = saved(postings(df), "postings"), saved(profile.class_weights(df), "weights")
+print(words.count())
+spark.sparkContext.setJobDescription("fit")
+model = linear.fit_linear(df, weights, max_iter=2)
+spark.sparkContext.setJobDescription("predict")
+linear.predict_linear(df, model).collect()
+spark.stop()
+"""
+    said = subprocess.run([sys.executable, "-c", code], check=True, timeout=300, stdout=subprocess.PIPE, text=True).stdout
+    logs = [p for p in tmp_path.iterdir() if p.is_file() and p.name.startswith("local")]
+    events = [json.loads(line) for p in logs for line in p.read_text().splitlines()]
+    step = {s: e["Properties"].get("spark.job.description") for e in events if e["Event"] == "SparkListenerJobStart" for s in e["Stage IDs"]}
+    records = Counter()
+    for e in events:
+        if e["Event"] == "SparkListenerTaskEnd":
+            records[step[e["Stage ID"]]] += e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Records Written"]
+    return records, int(said.split()[-1])
+
+
+@pytest.mark.parametrize("step", ["fit", "predict"])
+def test_rows_of_the_linear_model_meet_their_words_without_a_shuffle_of_pairs(shuffled, step):
+    records, n_pairs = shuffled
+    assert 0 < records[step] < n_pairs / 10
+
+
+def test_linear_fit_of_texts_of_very_different_lengths_takes_few_rounds(spark, corpus):
+    from lectern.operators.postings import postings
+    from lectern.plans.shared import saved
+
+    rng = np.random.default_rng(5)
+    pairs = []
+    for i in range(300):
+        label = int(rng.integers(3))
+        n = int(rng.choice([3, 10, 40, 3000], p=[0.4, 0.3, 0.2, 0.1]))
+        found = np.where(rng.random(n) < 0.3, 1000 * label, 0) + rng.zipf(1.3, n) % 1000
+        pairs.append((label, " ".join(f"w{x}" for x in found)))
+    df = corpus(pairs)
+    weights = profile.class_weights(df)
+    model = linear.fit_linear(df, weights, max_iter=12)
+    betas = saved(linear.coefficients(spark, model), "betas")
+    found = linear.gradient_norms(saved(postings(df), "postings"), weights, betas).collect()
+    assert len(found) == 3 and all(r.norm < 1e-4 * r.start for r in found)
+
+
+def test_a_seed_tells_all_words_apart(spark):
+    from lectern.operators import blocks
+
+    words = spark.createDataFrame([(w,) for w in ("a", "b", "c")], "word STRING")
+    assert blocks.seed_of(words) == 0
+    # Keys that are the same under the first seeds.
+    assert blocks.seed_of(words, lambda word, seed: F.when(F.lit(seed < 2), F.lit(7)).otherwise(F.ascii(word))) == 2
