@@ -317,7 +317,7 @@ spark.stop()
 
 @pytest.fixture(scope="module")
 def shuffled(tmp_path_factory):
-    """Records that fit and prediction shuffle, and the pairs of row and word."""
+    """Records that fit, prediction and gradient shuffle, and the pairs of row and word."""
     import json
     import subprocess
     import sys
@@ -345,6 +345,8 @@ spark.sparkContext.setJobDescription("fit")
 model = linear.fit_linear(df, weights, max_iter=2)
 spark.sparkContext.setJobDescription("predict")
 linear.predict_linear(df, model).collect()
+spark.sparkContext.setJobDescription("gradient")
+linear.gradient_norms(words, weights, linear.coefficients(spark, model)).collect()
 spark.stop()
 """
     said = subprocess.run([sys.executable, "-c", code], check=True, timeout=300, stdout=subprocess.PIPE, text=True).stdout
@@ -358,7 +360,7 @@ spark.stop()
     return records, int(said.split()[-1])
 
 
-@pytest.mark.parametrize("step", ["fit", "predict"])
+@pytest.mark.parametrize("step", ["fit", "predict", "gradient"])
 def test_rows_of_the_linear_model_meet_their_words_without_a_shuffle_of_pairs(shuffled, step):
     records, n_pairs = shuffled
     assert 0 < records[step] < n_pairs / 10
